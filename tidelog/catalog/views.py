@@ -199,9 +199,12 @@ def with_views(sql: str) -> str:
     names = _order(_refs(sql))
     body = [f"{n} AS ({epoch.sub(r'(epoch_us(\1) // 1000000)', VIEWS[n])}\n)" for n in names]
     sql = sql.strip()
-    if sql.upper().startswith("WITH "):
-        return "WITH " + ",\n".join(body) + ",\n" + sql[5:] if body else sql
-    return ("WITH " + ",\n".join(body) + "\n" + sql) if body else sql
+    if not body:
+        return sql
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if sql.startswith(head):
+            return head + ",\n".join(body) + ",\n" + sql[len(head):]
+    return "WITH " + ",\n".join(body) + "\n" + sql
 
 
 _SPARK_EPOCH = (

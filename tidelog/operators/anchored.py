@@ -6,9 +6,9 @@ row (``restart="same"``) or from the row after it (``restart="next"``). Fixed wi
 session gaps and division of elapsed time all give other answers, so the walk itself is kept, but
 never over a whole entity in one task:
 
-* an episode shorter than ``gap`` cannot fire and is dropped by an aggregate;
-* of the rows of one second only the first two can matter, so an aggregate by second bounds an
-  entity by its time span and not by its rows;
+* only the first row of a second can fire, and of the others it only matters whether there are
+  any, so an aggregate by second bounds an entity by its time span and not by its rows;
+* an episode shorter than ``gap`` cannot fire and is dropped;
 * the rest is cut into time chunks. Each chunk is summarised as a map from the incoming anchor to
   the outgoing one, the maps are composed per entity, and every chunk is walked once more with its
   true incoming anchor.
@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.operators import lineage
+
 CHUNK_SECS_BITS = 20
 
 
@@ -38,24 +40,15 @@ def chain(
     if restart not in ("same", "next"):
         raise ValueError(f"unknown restart: {restart}")
     again = restart == "next"
-    span = df.groupBy(entity, episode).agg(F.min(ts).alias("__a"), F.max(ts).alias("__b"))
-    long_enough = span.filter(F.col("__b") - F.col("__a") >= gap).select(entity, episode)
-    rows = df.select(
-        F.col(entity), F.col(episode).cast("long").alias(episode),
-        F.col(order).cast("long").alias(order), F.col(ts).cast("long").alias(ts),
-    ).join(long_enough, [entity, episode], "left_semi")
-    seconds = rows.groupBy(entity, episode, ts).agg(
-        F.min(order).alias("first"), F.count("*").alias("rows")
+    seconds = lineage.cut(
+        df.groupBy(F.col(entity), F.col(episode).cast("long").alias(episode),
+                   F.col(ts).cast("long").alias(ts))
+        .agg(F.min(F.col(order).cast("long")).alias(order), (F.count("*") > 1).alias("more"))
     )
-    if again:
-        second = rows.join(
-            seconds.filter("rows > 1").select(entity, episode, ts, "first"), [entity, episode, ts]
-        ).filter(F.col(order) > F.col("first"))
-        extra = second.groupBy(entity, episode, ts).agg(F.min(order).alias(order))
-        picked = seconds.select(entity, episode, ts, F.col("first").alias(order)).unionByName(extra)
-    else:
-        picked = seconds.select(entity, episode, ts, F.col("first").alias(order))
-    chunked = picked.withColumn("__chunk", F.shiftright(ts, chunk_bits))
+    span = seconds.groupBy(entity, episode).agg(F.min(ts).alias("__a"), F.max(ts).alias("__b"))
+    long_enough = span.filter(F.col("__b") - F.col("__a") >= gap).select(entity, episode)
+    chunked = seconds.join(long_enough, [entity, episode], "left_semi").withColumn(
+        "__chunk", F.shiftright(ts, chunk_bits))
 
     key_type = df.schema[entity].dataType.simpleString()
     map_schema = (
@@ -69,15 +62,16 @@ def chain(
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([episode, order])
         eps, times = pdf[episode].to_numpy(), pdf[ts].to_numpy()
+        more = pdf["more"].to_numpy() & again
         first, last = int(eps[0]), int(eps[-1])
-        head = times[eps == first]
-        tail = times[eps == last]
+        head, head_more = times[eps == first], more[eps == first]
+        tail, tail_more = times[eps == last], more[eps == last]
         # The incoming anchor is older than the chunk, so it fires at one of the rows of the first
         # ``gap`` seconds or not at all.
         reach = int(np.searchsorted(head, head[0] + gap, "left")) + 1
         entries = [int(t) for t in head[:reach]]
-        exits = [_walk(head, i, gap, again) for i in range(len(entries))]
-        own = _walk_fresh(tail, gap, again)
+        exits = [_walk(head, head_more, i, gap, again) for i in range(len(entries))]
+        own = _walk_fresh(tail, tail_more, gap, again)
         return pd.DataFrame({
             entity: [pdf[entity].iloc[0]], "__chunk": [int(pdf["__chunk"].iloc[0])],
             "ep_first": [first], "ep_last": [last], "one_ep": [first == last],
@@ -116,7 +110,8 @@ def chain(
             ep = None if pd.isna(r["in_ep"]) else int(r["in_ep"])
             anchor = None if pd.isna(r["in_anchor"]) else int(r["in_anchor"])
             n = int(r["in_n"])
-        for e, o, t in zip(left[episode].tolist(), left[order].tolist(), left[ts].tolist(), strict=True):
+        cols = [left[c].tolist() for c in (episode, order, ts, "more")]
+        for e, o, t, more in zip(*cols, strict=True):
             if e != ep:
                 ep, anchor, n = e, t, 0
             elif anchor is None:
@@ -124,7 +119,7 @@ def chain(
             elif t - anchor >= gap:
                 n += 1
                 fired.append((e, o, t, n, t - anchor))
-                anchor = None if again else t
+                anchor = t if more or not again else None
         out = pd.DataFrame(fired, columns=[episode, order, ts, "n", "elapsed"], dtype="int64")
         out.insert(0, entity, left[entity].iloc[0] if len(left) else None)
         return out
@@ -138,24 +133,27 @@ def chain(
     )
 
 
-def _walk(times: np.ndarray, fire: int, gap: int, again: bool) -> tuple[int, int]:
-    """Outgoing (anchor, firings) when row ``fire`` is the first to fire; anchor -1 is unset."""
+def _walk(
+    times: np.ndarray, more: np.ndarray, fire: int, gap: int, again: bool
+) -> tuple[int, int]:
+    """Outgoing (anchor, firings) when second ``fire`` is the first to fire; anchor -1 is unset.
+
+    The next anchor is the firing second itself, or with ``again`` the next row, which lies in the
+    same second when that holds ``more`` rows."""
     n = 1
-    at = fire + 1 if again else fire
+    at = fire + 1 if again and not more[fire] else fire
     while at < len(times):
         nxt = int(np.searchsorted(times, times[at] + gap, "left"))
-        if nxt <= at:
-            nxt = at + 1
         if nxt >= len(times):
             return int(times[at]), n
         n += 1
-        at = nxt + 1 if again else nxt
+        at = nxt + 1 if again and not more[nxt] else nxt
     return -1, n
 
 
-def _walk_fresh(times: np.ndarray, gap: int, again: bool) -> tuple[int, int]:
-    """Outgoing (anchor, firings) when row 0 sets the anchor."""
-    nxt = max(int(np.searchsorted(times, times[0] + gap, "left")), 1)
+def _walk_fresh(times: np.ndarray, more: np.ndarray, gap: int, again: bool) -> tuple[int, int]:
+    """Outgoing (anchor, firings) when the first second sets the anchor."""
+    nxt = int(np.searchsorted(times, times[0] + gap, "left"))
     if nxt >= len(times):
         return int(times[0]), 0
-    return _walk(times, nxt, gap, again)
+    return _walk(times, more, nxt, gap, again)

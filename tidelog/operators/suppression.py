@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions import text as tx
-from tidelog.operators import anchored, ordered
+from tidelog.operators import anchored, lineage, ordered
 from tidelog.vocab import DEFAULT_THRESHOLDS, DEFAULT_VOCABULARY, Thresholds, Vocabulary
 
 _STAMP_PREFIX = r"^\d{4}-\d{2}-\d{2}T[0-9:.,+-]*\s*"
@@ -72,16 +72,17 @@ def suppress_paused(
 
 
 def stale_polls(df: DataFrame, entity: str = "entity", order: str = "seq", **kw) -> DataFrame:
-    """Polls whose content repeated at least twice while not busy, numbered by stretch: ``stretch``
-    is the position of the last poll that was not stale."""
-    a = ordered.scan(df, [entity], order, previous={"__h": F.col("hash")}, **kw)
-    a = a.withColumn("__same", F.coalesce(F.col("hash") == F.col("__h"), F.lit(False)))
-    b = ordered.scan(a, [entity], order, previous={"__same2": F.col("__same")}, **kw)
-    stale = F.col("__same") & F.coalesce("__same2", F.lit(False)) & ~F.col("busy")
-    b = b.withColumn("__stale", stale)
-    fresh_at = F.when(~F.col("__stale"), F.col(order))
-    c = ordered.scan(b, [entity], order, last={"stretch": fresh_at}, **kw)
-    return c.filter("__stale").select(*df.columns, F.coalesce("stretch", F.lit(-1)).alias("stretch"))
+    """Polls whose content repeated at least twice while not busy. ``stretch`` tells stretches
+    apart and rises: the start of the run of equal content, or the last busy poll in it."""
+    rows = df.withColumn("__at", F.col(order))
+    before = {"__h": F.col("hash"), "__prev": F.col("__at")}
+    busy_at = {"__busy": F.when(F.col("busy"), F.col(order))}
+    a = ordered.scan(rows, [entity], order, previous=before, last=busy_at, **kw)
+    a = a.withColumn("__start", F.when(~F.col("hash").eqNullSafe(F.col("__h")), F.col(order)))
+    b = ordered.scan(a, [entity], order, last={"__run": F.col("__start")}, **kw)
+    # Stale: neither this poll nor the one before it begins a run of equal content.
+    stale = F.col("__start").isNull() & (F.col("__run") != F.col("__prev")) & ~F.col("busy")
+    return b.filter(stale).select(*df.columns, F.greatest("__run", "__busy").alias("stretch"))
 
 
 def wedge_escalations(
@@ -120,11 +121,12 @@ def idle_anchor(
     a = ordered.scan(df, [entity], order, previous={"__t": F.col(ts)}, **kw)
     step = F.greatest(F.coalesce(F.col("__t") - F.col(ts), F.lit(0)), F.lit(0)).cast("long")
     b = ordered.scan(a.withColumn("__step", step), [entity], order, total={"__sum": F.col("__step")}, **kw)
+    b = lineage.cut(b.drop("__t", "__step"))
     mark = F.when(F.col("state") == "idle", F.struct(F.col(ts).alias("t"), F.col("__sum").alias("s")))
     c = ordered.scan(b.withColumn("__mark", mark), [entity], order, last={"__idle": F.col("__mark")}, **kw)
     idle = F.coalesce("__mark", "__idle")
     moved = F.greatest(idle["t"] - (F.col("__sum") - idle["s"]), F.lit(0))
-    return c.select(*df.columns, moved.alias("anchor"))
+    return c.select(*df.columns, F.when(idle.isNotNull(), moved).alias("anchor"))
 
 
 def pauses(

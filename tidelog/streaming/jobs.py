@@ -7,7 +7,7 @@ and sees the ledger as it was, so every job is safe to repeat.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.errors import AnalysisException
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import text as tx
-from tidelog.operators import folds, joins
+from tidelog.operators import folds, joins, lineage
 from tidelog.sources import ledgers
 from tidelog.streaming import keyed, rules
 from tidelog.vocab import DEFAULT_VOCABULARY, OPEN_VERBS, Vocabulary
@@ -24,14 +24,8 @@ BatchFn = Callable[[DataFrame, int], None]
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's ``spark.checkpoint.dir``; without that setting (local runs
-    and tests) below a temporary folder, which then becomes the setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tidelog-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    unique = spark.range(1).select(F.expr("uuid()")).first()[0]
-    return f"{base.rstrip('/')}/{name}-{unique}"
+    """A new folder name below the cluster's shared folder."""
+    return f"{lineage.shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
