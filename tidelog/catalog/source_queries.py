@@ -1 +1,286 @@
-"""Registered queries."""
+"""Readers and writers, fed with files and tables that Spark derives from the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog.catalog import query
+from tidelog.catalog.views import table, view, with_views
+from tidelog.functions import text as tx
+from tidelog.operators import folds, rollups
+from tidelog.sources import backlog as bl
+from tidelog.sources import ledgers, logs
+from tidelog.streaming.jobs import shared_folder
+
+
+def _write_logs(spark: SparkSession, sf: str) -> str:
+    """The status logs as text: a folder per log; a large log may span several ordered files."""
+    path = shared_folder(spark, "status-logs")
+    lines = view(spark, sf, "status_events").select(F.col("task").alias("log"), "seq", "line")
+    lines.repartition("log").sortWithinPartitions("log", "seq").select("log", "line").write.partitionBy(
+        "log").text(path)
+    return path
+
+
+@query("read_status_lines", with_views("""
+SELECT task, row_number() OVER (PARTITION BY task ORDER BY seq) AS line_no, line FROM status_events"""))
+def read_status_lines(spark: SparkSession, sf: str) -> DataFrame:
+    lines = logs.read_lines(spark, _write_logs(spark, sf))
+    task = F.regexp_extract("file", "log=([0-9]+)", 1).cast("long")
+    return lines.select(task.alias("task"), "line_no", "line")
+
+
+@query("read_and_fold_logs", with_views("""
+SELECT task, key, verb, note FROM (
+  SELECT task, key, arg_max(verb, seq) AS verb, arg_max(note, seq) AS note FROM status_events
+  WHERE verb IN ('needs-decision', 'blocked', 'resolved', 'captain-held')
+    AND (NOT starts_with(key, 'pending-reply-') OR starts_with(note, 'pending-reply-missed:'))
+  GROUP BY task, key) WHERE verb IN ('needs-decision', 'blocked')"""))
+def read_and_fold_logs(spark: SparkSession, sf: str) -> DataFrame:
+    lines = logs.read_lines(spark, _write_logs(spark, sf))
+    task = F.regexp_extract("file", "log=([0-9]+)", 1).cast("long")
+    parsed = tx.parse_status(lines.select(task.alias("task"), F.col("line_no").alias("seq"), "line"))
+    return folds.open_decisions(parsed).select("task", "key", "verb", "note")
+
+
+def _kv(spark: SparkSession, sf: str) -> DataFrame:
+    base = view(spark, sf, "status_base")
+    k = F.col("k") % 4
+    field = F.when(k == 0, "window").when(k == 1, "project").when(k == 2, "kind").otherwise("home")
+    return base.filter("event_type <> 'view'").select(
+        "task", "seq", field.alias("k"), F.concat("event_type", F.lit("-"), F.col("k").cast("string")).alias("v"))
+
+
+_KV = """kv AS (SELECT task, seq, CASE k % 4 WHEN 0 THEN 'window' WHEN 1 THEN 'project' WHEN 2 THEN 'kind' ELSE 'home' END AS f,
+  concat(event_type, '-', CAST(k AS VARCHAR)) AS v FROM status_base WHERE event_type <> 'view')"""
+
+
+@query("pivot_kv_last", with_views(f"""
+WITH {_KV} SELECT task, arg_max(v, seq) FILTER (WHERE f = 'window') AS window, arg_max(v, seq) FILTER (WHERE f = 'project') AS project,
+  arg_max(v, seq) FILTER (WHERE f = 'kind') AS kind FROM kv WHERE f <> 'home' GROUP BY task"""))
+def pivot_kv_last(spark: SparkSession, sf: str) -> DataFrame:
+    return logs.pivot_kv(_kv(spark, sf), ["window", "project", "kind"])
+
+
+@query("pivot_kv_exactly_one", """
+SELECT l_orderkey AS task, CASE WHEN count(*) FILTER (WHERE l_returnflag = 'R') = 1 THEN max(l_shipdate::DATE::VARCHAR) FILTER (WHERE l_returnflag = 'R') END AS "R",
+  CASE WHEN count(*) FILTER (WHERE l_returnflag = 'A') = 1 THEN max(l_shipdate::DATE::VARCHAR) FILTER (WHERE l_returnflag = 'A') END AS "A"
+FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY l_orderkey""")
+def pivot_kv_exactly_one(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("task"), F.col("l_linenumber").alias("seq"), F.col("l_returnflag").alias("k"),
+        F.to_date("l_shipdate").cast("string").alias("v"))
+    return logs.pivot_kv(lines, ["R", "A"], "exactly_one")
+
+
+def backlog_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Backlog rows as markdown lines, one file per home."""
+    rows = view(spark, sf, "backlog_base")
+    place = F.when(F.col("state") == "in_flight", 1).when(F.col("state") == "queued", 2).otherwise(3).cast("long")
+    base = place * 1000000000000 + F.col("id") * 10
+    mark = F.when(F.col("state") == "done", "x").otherwise(" ")
+    hold = F.when(F.col("hold_reason").isNotNull(),
+                  F.expr("concat(' (hold: ', hold_reason, ') (hold-kind: ', hold_kind, ')')")).otherwise("")
+    done = F.when((F.col("state") == "done") & F.col("date").isNotNull(),
+                  F.expr("concat(' (merged ', date, ')')")).otherwise("")
+    blockers = F.when(F.col("id") % 4 == 0, F.expr(
+        "concat(' blocked-by: ', id - 1, ' blocked-by: ', id - 7, ' blocked-by: ', id - 1)")).otherwise("")
+    link = F.when(F.col("id") % 6 == 0, F.expr("concat(' https://forge.example.com/r/pull/', id)")).otherwise("")
+    row = F.when(F.col("structured"), F.concat(
+        F.lit("- ["), mark, F.lit("] "), F.col("id").cast("string"), F.lit(" - "), "title", link, blockers,
+        F.lit(" (repo: r"), F.col("home").cast("string"), F.lit(") (kind: "), "kind", F.lit(")"), hold, done,
+    )).otherwise(F.concat(F.lit("- free-form "), F.col("id").cast("string")))
+    home = F.col("home").cast("string").alias("file")
+    lines = rows.select(home, base.alias("line_no"), row.alias("line"))
+    bodies = rows.select(home, (base + 1).alias("line_no"), F.concat(F.lit("  "), "body_excerpt").alias("line"))
+    more = rows.filter("id % 5 = 0").select(
+        home, (base + 2).alias("line_no"), F.concat(F.lit("    "), F.repeat(F.lit("more text "), 40)).alias("line"))
+    blank = rows.filter("id % 3 = 0").select(home, (base + 3).alias("line_no"), F.lit("").alias("line"))
+    heads = rows.select("home").distinct().select(
+        home, F.explode(F.array(*[
+            F.struct(F.lit(i * 1000000000000 - 1).alias("line_no"), F.lit(f"## {name}").alias("line"))
+            for i, name in ((1, "In flight"), (2, "Queued"), (3, "Done"), (4, "Notes"))])).alias("h"),
+    ).select("file", "h.*")
+    notes = rows.filter("id % 50 = 0").select(
+        home, (F.lit(4000000000000) + F.col("id")).alias("line_no"), F.lit("- [ ] 7 - outside any section").alias("line"))
+    out = lines
+    for part in (bodies, more, blank, heads, notes):
+        out = out.unionByName(part)
+    return out
+
+
+@query("parse_backlog", with_views("""
+SELECT CAST(home AS VARCHAR) AS file, state, structured, CASE WHEN structured THEN CAST(id AS VARCHAR) END AS id,
+  CASE WHEN structured THEN title END AS title, CASE WHEN structured THEN concat('r', CAST(home AS VARCHAR)) END AS repo,
+  CASE WHEN structured THEN kind END AS kind, CASE WHEN structured THEN hold_reason END AS hold_reason,
+  CASE WHEN structured THEN hold_kind END AS hold_kind,
+  CASE WHEN NOT structured THEN '' WHEN id % 4 = 0 THEN concat(CAST(id - 1 AS VARCHAR), ',', CAST(id - 7 AS VARCHAR)) ELSE '' END AS blocked_by_ids,
+  CASE WHEN structured AND state = 'done' AND date IS NOT NULL THEN 'merged' END AS done_verb,
+  CASE WHEN structured AND state = 'done' THEN date END AS done_date,
+  CASE WHEN structured AND id % 6 = 0 THEN concat('https://forge.example.com/r/pull/', CAST(id AS VARCHAR)) END AS pr_url,
+  CASE WHEN structured THEN substr(concat(body_excerpt, CASE WHEN id % 5 = 0 THEN concat(' ', rtrim(repeat('more text ', 40))) ELSE '' END), 1, 240) END AS body_excerpt
+FROM backlog_base
+UNION ALL SELECT CAST(home AS VARCHAR), state, false, NULL, NULL, NULL, NULL, NULL, NULL, '', NULL, NULL, NULL, NULL FROM backlog_base WHERE NOT structured
+UNION ALL SELECT CAST(home AS VARCHAR), state, false, NULL, NULL, NULL, NULL, NULL, NULL, '', NULL, NULL, NULL, NULL FROM backlog_base WHERE NOT structured AND id % 5 = 0"""))
+def parse_backlog(spark: SparkSession, sf: str) -> DataFrame:
+    rows, _ = bl.parse_backlog(backlog_lines(spark, sf))
+    return rows.select(
+        "file", "state", "structured", "id", "title", "repo", "kind", "hold_reason", "hold_kind",
+        F.coalesce(F.array_join("blocked_by_ids", ","), F.lit("")).alias("blocked_by_ids"),
+        F.col("completion.verb").alias("done_verb"), F.col("completion.date").alias("done_date"), "pr_url", "body_excerpt")
+
+
+@query("parse_registry", """
+WITH l AS (SELECT c_nationkey AS home, c_custkey AS n, concat('m', CAST(c_custkey % 900 AS VARCHAR)) AS id, c_name, c_mktsegment FROM customer)
+SELECT id, CASE WHEN min(n) % 10 < 8 AND min(n) % 10 <> 4 THEN arg_min(concat('/homes/', CAST(home AS VARCHAR)), n) WHEN min(n) % 10 = 4 THEN '' END AS home,
+  CASE WHEN min(n) % 10 IN (2, 3) THEN arg_min(concat('host', CAST(n % 5 AS VARCHAR)), n) END AS host,
+  CASE WHEN min(n) % 10 < 8 THEN arg_min(c_mktsegment, n) END AS scope, CASE WHEN min(n) % 10 < 8 THEN '1996-01-02' END AS added,
+  min(n) % 10 IN (2, 3) AS remote,
+  CASE WHEN count(*) > 1 THEN 'duplicate home id in registry' WHEN min(n) % 10 >= 8 OR min(n) % 10 = 4 THEN 'registry entry has no home' END AS registry_error
+FROM l GROUP BY id""")
+def parse_registry(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer")
+    shape = F.col("c_custkey") % 10
+    home = F.when(shape == 4, "").otherwise(F.concat(F.lit("/homes/"), F.col("c_nationkey").cast("string")))
+    tail = F.concat(F.lit("; scope: "), "c_mktsegment", F.lit("; projects: a, b; added 1996-01-02)"))
+    where = F.when(shape.isin(2, 3), F.concat(
+        F.lit("(host: host"), (F.col("c_custkey") % 5).cast("string"), F.lit("; root: /r; home: "), home)
+    ).otherwise(F.concat(F.lit("(home: "), home))
+    line = F.when(shape < 8, F.concat(
+        F.lit("- m"), (F.col("c_custkey") % 900).cast("string"), F.lit(" - "), "c_name", F.lit(" "), where, tail)
+    ).otherwise(F.concat(F.lit("- m"), (F.col("c_custkey") % 900).cast("string"), F.lit(" - damaged entry")))
+    rows = bl.parse_registry(c.select(F.col("c_custkey").alias("line_no"), line.alias("line")))
+    return rows.select("id", "home", "host", "scope", "added", "remote", "registry_error")
+
+
+@query("number_wakes", with_views("""
+SELECT epoch, row_number() OVER (ORDER BY seq) + 5000 AS seq, kind, replace(key, 'u', ' ') AS key, payload
+FROM (SELECT epoch, seq, CASE WHEN kind = 'check' AND seq % 3 = 0 THEN 'unheard-of' ELSE kind END AS kind, key, payload FROM wakes)
+WHERE kind <> 'unheard-of'"""))
+def number_wakes(spark: SparkSession, sf: str) -> DataFrame:
+    wakes = view(spark, sf, "wakes").withColumnRenamed("seq", "place")
+    odd = (F.col("kind") == "check") & (F.col("place") % 3 == 0)
+    dirty = wakes.withColumn("kind", F.when(odd, "unheard-of").otherwise(F.col("kind"))).withColumn(
+        "key", F.replace(F.col("key"), F.lit("u"), F.lit("\t")))
+    return ledgers.number_wakes(dirty, "place", 5000)
+
+
+@query("append_wakes", with_views("""
+SELECT kind, count(*) AS wakes, min(seq) AS first_seq, max(seq) AS last_seq FROM (
+  SELECT kind, row_number() OVER (ORDER BY late, seq) AS seq FROM (SELECT kind, seq, seq % 2 AS late FROM wakes)) GROUP BY kind"""))
+def append_wakes(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_folder(spark, "wakes")
+    wakes = view(spark, sf, "wakes").withColumnRenamed("seq", "place")
+    for half in (0, 1):
+        ledgers.append_wakes(wakes.filter(F.col("place") % 2 == half), "place", path)
+    return spark.read.parquet(path).groupBy("kind").agg(
+        F.count("*").alias("wakes"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
+@query("append_once", with_views("""
+SELECT DISTINCT task, verb, key FROM status_events"""))
+def append_once(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_folder(spark, "append-once")
+    rows = view(spark, sf, "status_events").select("task", "verb", "key", "k")
+    for part in (rows.filter("k < 60"), rows.filter("k > 30")):
+        ledgers.append_once(part.drop("k"), path, ["task", "verb", "key"])
+    return spark.read.parquet(path)
+
+
+EVENTS_SQL = """
+e AS (SELECT o_orderkey AS n, CAST(o_orderkey AS VARCHAR) AS ob, CAST(o_custkey AS VARCHAR) AS work, o_orderpriority AS outcome,
+    sha256(concat('ob', CAST(o_orderkey AS VARCHAR), chr(31), 'r', chr(31), 'h', chr(31), CAST(o_custkey AS VARCHAR), chr(31), '1', chr(31), o_orderpriority, chr(31), '{}')) AS good FROM orders),
+f AS (SELECT n, CASE WHEN n % 10 = 1 THEN concat(good, '/x') WHEN n % 10 = 5 THEN concat('0', substr(good, 2)) ELSE good END AS event_id,
+    CASE WHEN n % 10 = 1 THEN 'unsafe event name' WHEN n % 10 = 2 THEN 'event exceeds 8192 bytes' WHEN n % 10 = 3 THEN 'event is not valid JSON'
+      WHEN n % 10 = 4 THEN 'declared event_id does not match the name'
+      WHEN n % 10 = 5 AND substr(good, 1, 1) <> '0' THEN 'event id does not match its own identity fields' END AS reason FROM e)"""
+
+
+def terminal_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Terminal events derived from orders; every tenth breaks one of the rules."""
+    n = F.col("o_orderkey")
+    fields = table(spark, sf, "orders").select(
+        n.alias("n"), F.concat(F.lit("ob"), n.cast("string")).alias("obligation_id"), F.lit("r").alias("relation_id"),
+        F.lit("h").alias("source_home_id"), F.col("o_custkey").cast("string").alias("work_id"), F.lit("1").alias("generation"),
+        F.col("o_orderpriority").alias("outcome_type"), F.lit("{}").alias("deliverables"))
+    good = tx.derive_event_id(*[F.col(c) for c in ledgers.EVENT_ID_FIELDS])
+    shape = F.col("n") % 10
+    withid = fields.withColumn("good", good).withColumn(
+        "event_id", F.when(shape == 1, F.concat("good", F.lit("/x")))
+        .when(shape == 5, F.concat(F.lit("0"), F.substring("good", 2, 63))).otherwise(F.col("good")))
+    return withid.withColumn("declared_id", F.when(shape == 4, "other").otherwise(F.col("event_id"))).withColumn(
+        "bytes", F.when(shape == 2, 9000).otherwise(300)).withColumn(
+        "payload", F.when(shape == 3, "{not json").otherwise('{"a": 1}')).drop("good")
+
+
+@query("split_quarantine", f"""
+WITH {EVENTS_SQL}
+SELECT n, event_id, coalesce(reason, 'accepted') AS outcome FROM f WHERE n % 7 <> 0 OR n % 10 IN (1, 5)""")
+def split_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    events = terminal_events(spark, sf)
+    consumed = events.filter("n % 7 = 0 AND n % 10 NOT IN (1, 5)").select("event_id")
+    accepted, rejected = ledgers.split_quarantine(events, ledgers.event_rules(), consumed)
+    return accepted.select("n", "event_id", F.lit("accepted").alias("outcome")).unionByName(
+        rejected.select("n", "event_id", F.col("reason").alias("outcome")))
+
+
+def log_snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """An old and a new state of every log; the new one differs by the log's number modulo 6."""
+    from tidelog.operators import ordered
+
+    lines = ordered.rank(view(spark, sf, "status_events").select(F.col("task").alias("log"), "seq", "line"), ["log"], "seq")
+    lines = lines.select("log", F.col("rn").alias("seq"), "line")
+    shape = F.col("log") % 6
+    old = lines.filter((F.col("seq") <= 40) & ((shape != 5) | (F.col("seq") <= 3)))
+    new = lines.filter(
+        (shape != 0) & ((shape != 1) | (F.col("seq") <= 10)) & ((shape != 2) | (F.col("seq") <= 40)))
+    changed = (shape == 3) & (F.col("seq") == 7)
+    wide = (shape == 5) & (F.col("seq") == 4)
+    new = new.withColumn("line", F.when(changed, F.reverse("line")).when(wide, F.repeat("line", 200)).otherwise(F.col("line")))
+    return old, new
+
+
+@query("audit_continuity", with_views("""
+WITH l AS (SELECT task AS log, row_number() OVER (PARTITION BY task ORDER BY seq) AS seq, line FROM status_events),
+o AS (SELECT * FROM l WHERE seq <= 40 AND (log % 6 <> 5 OR seq <= 3)),
+n AS (SELECT log, seq, CASE WHEN log % 6 = 3 AND seq = 7 THEN reverse(line) WHEN log % 6 = 5 AND seq = 4 THEN repeat(line, 200) ELSE line END AS line
+  FROM l WHERE log % 6 <> 0 AND (log % 6 <> 1 OR seq <= 10) AND (log % 6 <> 2 OR seq <= 40)),
+oc AS (SELECT log, count(*) AS at, sum(strlen(line) + 1) AS bytes, string_agg(line, chr(10) ORDER BY seq) AS body FROM o GROUP BY log),
+nc AS (SELECT n.log, sum(strlen(n.line) + 1) AS bytes, string_agg(n.line, chr(10) ORDER BY n.seq) FILTER (WHERE n.seq <= oc.at) AS body FROM n JOIN oc ON oc.log = n.log GROUP BY n.log),
+d AS (SELECT n.log, sum(strlen(n.line) + 1) OVER (PARTITION BY n.log ORDER BY n.seq) AS upto FROM n JOIN oc ON oc.log = n.log WHERE n.seq > oc.at),
+dd AS (SELECT log, count(*) AS lines, max(upto) AS bytes FROM d WHERE upto <= 900 GROUP BY log),
+s AS (SELECT oc.log, CASE WHEN nc.log IS NULL THEN 'missing' WHEN nc.bytes < oc.bytes THEN 'truncated' WHEN nc.body <> oc.body THEN 'prefix-changed'
+  WHEN nc.bytes = oc.bytes THEN 'unchanged' WHEN dd.lines > 0 THEN 'delta' ELSE 'line-exceeds-bound' END AS status, dd.lines, dd.bytes
+  FROM oc LEFT JOIN nc ON nc.log = oc.log LEFT JOIN dd ON dd.log = oc.log)
+SELECT log, status, CASE WHEN status = 'delta' THEN lines ELSE 0 END AS delta_lines, CAST(CASE WHEN status = 'delta' THEN bytes ELSE 0 END AS BIGINT) AS delta_bytes FROM s"""))
+def audit_continuity(spark: SparkSession, sf: str) -> DataFrame:
+    old, new = log_snapshots(spark, sf)
+    return ledgers.audit_continuity(ledgers.log_digest(old), new, 900)
+
+
+@query("timing_artifacts", with_views("""
+SELECT family, count(*) AS scripts, CAST(sum(duration_ms) AS BIGINT) AS duration_ms,
+  CAST(sum(exit) AS BIGINT) AS failed FROM timings GROUP BY family"""))
+def timing_artifacts(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_folder(spark, "timings")
+    t = view(spark, sf, "timings")
+    script = F.struct("path", "family", F.lit("none").alias("expected_gate_skip"), "duration_ms",
+                      F.col("exit").cast("long").alias("exit"), "gate_skip")
+    # An artifact holds at most one lane's scripts of one size class of 1,000 keys.
+    part = F.floor(F.regexp_extract("path", "-([0-9]+)$", 1).cast("long") / 1000)
+    docs = t.groupBy("lane", part.alias("part")).agg(F.collect_list(script).alias("scripts"))
+    docs.select(F.concat_ws("-", "lane", F.col("part").cast("string")).alias("run_id"), F.col("lane").alias("selection"),
+                "scripts").write.json(path)
+    _, scripts = ledgers.read_timings(spark, path, multi_line=False)
+    return rollups.family_rollup(scripts)
+
+
+@query("snapshot_export", with_views("""
+SELECT state, count(*) AS tasks FROM task_rows GROUP BY state"""))
+def snapshot_export(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_folder(spark, "snapshot")
+    tasks = view(spark, sf, "task_rows")
+    ledgers.write_snapshot({"tasks": tasks}, path, "json")
+    back = spark.read.schema(tasks.schema).json(f"{path}/tasks")
+    return back.groupBy("state").agg(F.count("*").alias("tasks"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import text as tx
-from tidelog.operators import joins, ordered
+from tidelog.operators import joins, lineage, ordered
 from tidelog.sources.logs import read_lines
 
 # Section names and the shapes of structured rows.
@@ -49,13 +49,15 @@ def number_rows(lines: DataFrame, **kw) -> DataFrame:
     a = ordered.scan(base, ["file"], "line_no", last={"state": F.col("__head")}, **kw)
     inside = a.filter(F.col("__head").isNull() & (F.coalesce("state", F.lit("")) != "")
                       & (tx.trim_space(line) != ""))
+    inside = lineage.cut(inside.select("file", "line_no", "line", "state"))
     shaped = inside.withColumn("structured", line.rlike(CHECK_ROW) | line.rlike(BOLD_ROW))
     indented = line.rlike(r"^\s+") & ~F.col("structured")
     # An indented line belongs to the row above when that row is structured; else it is a row of
     # its own, so only lines that cannot be a body decide what "the row above" is.
     b = shaped.withColumn("__row", F.when(~indented, F.struct("line_no", "structured")))
     c = ordered.scan(b, ["file"], "line_no", last={"__above": F.col("__row")}, **kw)
-    return c.withColumn("body_of", F.when(indented & F.col("__above.structured"), F.col("__above.line_no")))
+    body_of = F.when(indented & F.col("__above.structured"), F.col("__above.line_no"))
+    return lineage.cut(c.select("file", "line_no", "line", "state", "structured", body_of.alias("body_of")))
 
 
 def parse_backlog(lines: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:

@@ -146,9 +146,11 @@ TIMING_SCHEMA = (
 )
 
 
-def read_timings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Lanes and scripts of timing artifacts (one JSON document per file)."""
-    docs = spark.read.schema(TIMING_SCHEMA).json(path, multiLine=True)
+def read_timings(
+    spark: SparkSession, path: str, multi_line: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Lanes and scripts of timing artifacts: one JSON document per file, or per line."""
+    docs = spark.read.schema(TIMING_SCHEMA).json(path, multiLine=multi_line)
     lanes = docs.select("run_id", "selection", "started_at", "finished_at", "summary.*")
     scripts = docs.select(
         F.col("selection").alias("lane"), F.col("run_id"), F.inline("scripts"))
