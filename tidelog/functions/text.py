@@ -155,18 +155,19 @@ def first_change_link(links: Column) -> Column:
 
 
 def capture(col: Column, pattern: str, group: int = 1) -> Column:
-    """Trimmed capture, null when the pattern does not match."""
+    """Trimmed capture, null when the pattern does not match. Patterns that begin with a wildcard
+    must be anchored, or a failing search starts over at every character."""
     return F.when(col.rlike(pattern), trim_space(F.regexp_extract(col, pattern, group)))
 
 
 def extract_meta(col: Column, key: str) -> Column:
     """``(key: value)`` or ``, key: value`` inside row text; the last occurrence wins."""
-    return capture(col, rf".*(?:\(|,\s*){key}:\s*([^,)]*)")
+    return capture(col, rf"^.*(?:\(|,\s*){key}:\s*([^,)]*)")
 
 
 def extract_meta_word(col: Column, key: str) -> Column:
     """``(key value)`` inside row text; the last occurrence wins."""
-    return capture(col, rf".*(?:\(|,\s*){key}\s+([^,)]*)")
+    return capture(col, rf"^.*(?:\(|,\s*){key}\s+([^,)]*)")
 
 
 def check_rollup(checks: Column) -> Column:

@@ -88,7 +88,7 @@ def parse_backlog(lines: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
     )
     rest = F.col("rest")
     ids = F.array_distinct(F.regexp_extract_all(rest, F.lit(r"blocked-by:\s+([^\s)]+)"), 1))
-    reason = clean_title(tx.capture(rest, r".*blocked-by:\s*[^\s)]+\s+-\s*(.*)$"))
+    reason = clean_title(tx.capture(rest, r"^.*blocked-by:\s*[^\s)]+\s+-\s*(.*)$"))
     bare = F.regexp_replace(rest, TRAILING_METADATA, "")
     words = {w: tx.extract_meta_word(rest, w) for w in ("merged", "reported", "done")}
     verb = F.coalesce(*[F.when(v.isNotNull(), F.lit(w)) for w, v in words.items()])
@@ -108,15 +108,15 @@ def parse_backlog(lines: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
         tx.extract_meta(rest, "priority").alias("priority"),
         tx.extract_meta(rest, "hold").alias("hold_reason"),
         tx.extract_meta(rest, "hold-kind").alias("hold_kind"),
-        tx.capture(rest, r".*blocked-by:\s*([^\s)]+).*").alias("blocked_by"),
+        tx.capture(rest, r"^.*blocked-by:\s*([^\s)]+)").alias("blocked_by"),
         ids.alias("blocked_by_ids"),
         F.when(reason != "", reason).alias("blocked_reason"),
         tx.extract_meta_word(rest, "since").alias("since"),
         F.struct(verb.alias("verb"), F.coalesce(*words.values()).alias("date")).alias("completion"),
         links.alias("links"),
         tx.first_change_link(links).alias("pr_url"),
-        tx.capture(rest, rf".*({REPORT_PATH}).*").alias("report_path"),
-        tx.capture(bare, r".*(?:^|\s+-\s+|\s)(local main)$").alias("local_note"),
+        tx.capture(rest, rf"^.*({REPORT_PATH})").alias("report_path"),
+        tx.capture(bare, r"(?:^|\s)(local main)$").alias("local_note"),
         "raw",
         excerpt.alias("body_excerpt"),
     )
