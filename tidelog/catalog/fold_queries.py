@@ -79,20 +79,23 @@ def run_state(spark: SparkSession, sf: str) -> DataFrame:
     return folds.run_state(view(spark, sf, "run_steps"))
 
 
-@query("current_busy", with_views("""
-WITH armed AS (SELECT user_id AS task,
+BUSY_SQL = """
+armed AS (SELECT user_id AS task,
     CASE WHEN user_id % 9 = 4 THEN NULL WHEN user_id % 9 = 5 THEN 'g0' ELSE
       concat('g', CAST(CAST(floor(max(event_id) / 1000.0) AS BIGINT) AS VARCHAR)) END AS gen,
     CASE WHEN user_id % 5 = 0 THEN 'other' ELSE 'main' END AS producer FROM events GROUP BY user_id
   UNION ALL SELECT -1, 'g0', 'main'),
-cur AS (SELECT task, arg_max(gen, seq) AS gen, arg_max(record_seq, seq) AS rs, arg_max(state, seq) AS state,
+busy_cur AS (SELECT task, arg_max(gen, seq) AS gen, arg_max(record_seq, seq) AS rs, arg_max(state, seq) AS state,
     arg_max(source, seq) AS source, arg_max(event, seq) AS event FROM busy_records GROUP BY task),
-j AS (SELECT a.task, a.gen AS ag, a.producer, c.gen, c.state, c.source, c.task IS NOT NULL AS present,
-    regexp_matches(c.rs, '^[0-9]+$') AND c.state IN ('busy', 'idle', 'unknown') AS ok FROM armed a LEFT JOIN cur c ON c.task = a.task),
-r AS (SELECT task, state, source, CASE WHEN NOT present THEN 'missing' WHEN ag IS NULL OR NOT ok THEN 'malformed'
+busy_j AS (SELECT a.task, a.gen AS ag, a.producer, c.gen, c.state, c.source, c.task IS NOT NULL AS present,
+    regexp_matches(c.rs, '^[0-9]+$') AND c.state IN ('busy', 'idle', 'unknown') AS ok FROM armed a LEFT JOIN busy_cur c ON c.task = a.task),
+busy_r AS (SELECT task, state, source, CASE WHEN NOT present THEN 'missing' WHEN ag IS NULL OR NOT ok THEN 'malformed'
     WHEN gen <> ag THEN 'gen-mismatch'
-    WHEN NOT ((producer = 'main' AND source = 'main-hook') OR (producer = 'other' AND source = 'other-hook')) THEN 'source-mismatch' END AS reason FROM j)
-SELECT task, CASE WHEN reason IS NULL THEN state ELSE 'unknown' END AS state, coalesce(reason, source) AS source FROM r"""))
+    WHEN NOT ((producer = 'main' AND source = 'main-hook') OR (producer = 'other' AND source = 'other-hook')) THEN 'source-mismatch' END AS reason FROM busy_j),
+busy AS (SELECT task, CASE WHEN reason IS NULL THEN state ELSE 'unknown' END AS state, coalesce(reason, source) AS source FROM busy_r)"""
+
+
+@query("current_busy", with_views(f"WITH {BUSY_SQL} SELECT * FROM busy"))
 def current_busy(spark: SparkSession, sf: str) -> DataFrame:
     task = F.col("user_id").alias("task")
     newest = F.concat(F.lit("g"), F.floor(F.max("event_id") / 1000).cast("long").cast("string"))

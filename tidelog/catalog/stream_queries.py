@@ -1 +1,237 @@
-"""Registered queries."""
+"""Streaming forms, run over the event table until everything available is processed."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog.catalog import query
+from tidelog.catalog.fold_queries import OPEN_SQL
+from tidelog.catalog.source_queries import EVENTS_SQL, terminal_events
+from tidelog.catalog.text_queries import deploy_line
+from tidelog.catalog.views import table, view, view_over, with_views
+from tidelog.functions import text as tx
+from tidelog.operators import folds
+from tidelog.sources import ledgers
+from tidelog.streaming import jobs
+
+
+def stream_view(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A view over the event table as a stream; at most 64 files per trigger. The pattern lets the
+    table be one file or a folder of files."""
+    schema = table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{sf}/event[s].parquet")
+    return view_over(spark, name, events=events)
+
+
+def stream_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """A derived table as a stream: written to the shared folder and read back file by file."""
+    path = jobs.shared_folder(spark, name)
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 64).parquet(path)
+
+
+def finish(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    return jobs.run_to_table(stream, jobs.shared_folder(stream.sparkSession, name), mode)
+
+
+def through(stream: DataFrame, name: str, make: Callable[[str], jobs.BatchFn]) -> str:
+    path = jobs.shared_folder(stream.sparkSession, name)
+    jobs.run_batches(stream, make(path), path)
+    return path
+
+
+@query("stream_open_decisions", with_views(OPEN_SQL))
+def stream_open_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    path = jobs.shared_folder(spark, "open-decisions")
+    lines = tx.parse_status(stream_view(spark, sf, "status_events").select("task", "seq", "line"))
+    jobs.run_batches(jobs.stream_open_decisions(lines), jobs.apply_moves(f"{path}/moves"), path, "update")
+    return jobs.open_set(spark, f"{path}/moves")
+
+
+@query("drain_wakes", with_views("""
+SELECT min(seq) AS first_seq, arg_max(epoch, seq) AS epoch, max(seq) AS seq, kind, arg_max(key, seq) AS key,
+       arg_max(payload, seq) AS payload
+FROM wakes GROUP BY kind, CASE WHEN kind = 'heartbeat' THEN 'heartbeat' ELSE key END"""))
+def drain_wakes(spark: SparkSession, sf: str) -> DataFrame:
+    path = through(stream_view(spark, sf, "wakes"), "drain", lambda p: jobs.drain_wakes(f"{p}/drained"))
+    cols = ["epoch", "seq", "kind", "key", "payload"]
+    merge = F.when(F.col("kind") == "heartbeat", "heartbeat").otherwise(F.col("key")).alias("merge")
+    top = F.max_by(F.struct(*cols), F.col("seq")).alias("top")
+    # Batches are drained one by one; merged again they equal one drain of everything.
+    return spark.read.parquet(f"{path}/drained").groupBy(F.col("kind").alias("of"), merge).agg(
+        F.min("first_seq").alias("first_seq"), top).select("first_seq", *[f"top.{c}" for c in cols])
+
+
+@query("coalesce_signals")
+def coalesce_signals(spark: SparkSession, sf: str) -> DataFrame:
+    rows = stream_view(spark, sf, "status_events").select(
+        F.col("task").alias("home"), "ts", "seq", F.col("key").alias("name"), F.col("note").alias("content"))
+    return finish(jobs.coalesce_signals(rows, grace=36000), "signals")
+
+
+@query("batch_escalations")
+def batch_escalations(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.when(F.col("k") == 7, "down").when(F.col("k") == 8, "up").otherwise("item")
+    rows = stream_view(spark, sf, "status_events").select(
+        (F.col("task") % 20).alias("channel"), "ts", "seq", kind.alias("kind"), F.col("note").alias("item"))
+    return finish(jobs.batch_escalations(rows, batch=9000, max_defer=30000), "escalations")
+
+
+def timer_rows(base: DataFrame, checks: DataFrame | None = None) -> DataFrame:
+    """Polls, checks and log lines of an entity in one row shape."""
+    k = F.col("k")
+    kind = F.when(F.col("event_type") == "view", "log").when(k % 4 == 0, "check").otherwise("poll")
+    return base.select(
+        (F.col("task") % 20).alias("entity"), "ts", "seq", kind.alias("kind"),
+        (F.floor(F.col("seq") / 400) % 3).cast("long").alias("hash"), (k % 37 == 0).alias("busy"),
+        F.when(k % 13 == 0, "parked").when(k % 5 == 0, "done").otherwise("working").alias("phase"),
+        F.concat(F.lit("t"), (F.floor(F.col("seq") / 700) % 3).cast("string")).alias("token"),
+        F.when(k % 17 == 0, "dead").otherwise("alive").alias("agent"),
+        F.when(k % 2 == 0, "paused").otherwise("working").alias("verb"))
+
+
+@query("stream_timers")
+def stream_timers(spark: SparkSession, sf: str) -> DataFrame:
+    return finish(jobs.stream_timers(timer_rows(stream_view(spark, sf, "status_events"))), "timers")
+
+
+def alert_rows(base: DataFrame) -> DataFrame:
+    blank = (F.col("event_type") != "error") & (F.col("k") % 7 == 2)
+    line = F.when(blank, "").otherwise(deploy_line())
+    to = (F.when(F.col("event_type") == "signup", "working").when(F.col("event_type") == "error", "blocked")
+          .otherwise("idle"))
+    return base.select(
+        F.col("task").alias("entity"), "ts", "seq", (F.col("value") >= 40).alias("over"), tx.line_failed(line).alias("failed"),
+        F.regexp_replace(line, r"^\d{4}-\d{2}-\d{2}T[0-9:.,+-]*\s*", "").alias("text"), to.alias("to_status"))
+
+
+@query("stream_rising_edges", with_views("""
+SELECT task AS entity, seq FROM (SELECT task, seq, value >= 40 AS over_it,
+  lag(value >= 40) OVER (PARTITION BY task ORDER BY seq) AS was FROM status_events) WHERE over_it AND NOT coalesce(was, false)"""))
+def stream_rising_edges(spark: SparkSession, sf: str) -> DataFrame:
+    rows = alert_rows(stream_view(spark, sf, "status_events"))
+    return finish(jobs.stream_alert_edges(rows, "rising"), "rising").select("entity", "seq")
+
+
+@query("stream_alert_texts", with_views("""
+WITH d AS (SELECT task, seq, CASE WHEN event_type = 'error' THEN concat('Z FAILED: code ', CAST(k % 4 AS STRING))
+    WHEN k % 7 = 0 THEN concat('ALERT raised ', note) WHEN k % 7 = 1 THEN 'ALERTS are off' WHEN k % 7 = 2 THEN '' ELSE concat('ok ', note) END AS txt FROM status_events),
+x AS (SELECT *, regexp_matches(txt, 'FAILED:|(^|[ ])ALERT([ ]|$)') AS bad FROM d WHERE txt <> ''),
+p AS (SELECT *, lag(bad) OVER w AS was_bad, lag(txt) OVER w AS was_txt FROM x WINDOW w AS (PARTITION BY task ORDER BY seq))
+SELECT task AS entity, seq, txt AS text FROM p WHERE bad AND NOT (coalesce(was_bad, false) AND was_txt = txt)"""))
+def stream_alert_texts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = alert_rows(stream_view(spark, sf, "status_events"))
+    return finish(jobs.stream_alert_edges(rows, "text"), "texts").select("entity", "seq", "text")
+
+
+@query("stream_fresh_edges", with_views("""
+SELECT entity, seq FROM (SELECT entity, seq, to_status, lag(to_status) OVER (PARTITION BY entity ORDER BY seq) AS was
+  FROM transitions WHERE to_status IN ('blocked', 'working')) WHERE to_status = 'blocked' AND coalesce(was, 'working') = 'working'"""))
+def stream_fresh_edges(spark: SparkSession, sf: str) -> DataFrame:
+    rows = alert_rows(stream_view(spark, sf, "status_events"))
+    return finish(jobs.stream_alert_edges(rows, "edge"), "edges").select("entity", "seq")
+
+
+@query("stream_busy_state", with_views("""
+WITH r AS (SELECT task, seq, event_type = 'signup' AS arm, seq - CASE WHEN k % 4 = 0 THEN 900 ELSE 0 END AS gen_seq,
+    CASE WHEN event_type = 'signup' THEN CAST(seq AS VARCHAR) END AS armed_gen, k FROM status_base),
+g AS (SELECT *, coalesce(last_value(armed_gen IGNORE NULLS) OVER w, '') AS current_gen,
+    count(*) FILTER (WHERE arm) OVER w AS life FROM r WINDOW w AS (PARTITION BY task ORDER BY seq)),
+e AS (SELECT *, life > 0 AND k % 5 <> 0 AS gen_ok FROM g WHERE NOT arm),
+m AS (SELECT *, max(CASE WHEN gen_ok THEN gen_seq END) OVER (PARTITION BY task, life ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM e)
+SELECT task, seq, CASE WHEN gen_ok AND gen_seq > greatest(coalesce(top, -1), -1) THEN 'accepted' ELSE 'stale' END AS kind FROM m
+UNION ALL SELECT task, seq, 'armed' FROM r WHERE arm"""))
+def stream_busy_state(spark: SparkSession, sf: str) -> DataFrame:
+    from tidelog.operators import ordered
+
+    base = view(spark, sf, "status_base").select("task", "seq", "ts", "k", "event_type")
+    arm = F.col("event_type") == "signup"
+    marked = base.withColumn("__own", F.when(arm, F.col("seq").cast("string")))
+    known = ordered.scan(marked, ["task"], "seq", last={"__gen": F.col("__own")})
+    gen = F.when(arm, F.col("__own")).when(F.col("k") % 5 == 0, "other").otherwise(F.coalesce("__gen", F.lit("none")))
+    rows = known.select(
+        "task", "ts", "seq", F.when(arm, "arm").otherwise("event").alias("kind"), gen.alias("gen"),
+        (F.col("seq") - F.when(F.col("k") % 4 == 0, 900).otherwise(0)).alias("gen_seq"),
+        F.when(F.col("k") % 2 == 0, "busy").otherwise("idle").alias("state"))
+    out = finish(jobs.stream_busy_state(stream_table(spark, rows, "busy-rows")), "busy")
+    return out.select("task", "seq", "kind")
+
+
+def reply_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests with the activity, recovery outcomes and reports that follow them, per token."""
+    base = view(spark, sf, "status_base")
+    asked = F.when(F.col("event_type") == "signup", F.col("seq")).otherwise(F.col("seq") - 1 - F.col("k") % 20)
+    kind = (F.when(F.col("event_type") == "signup", "request").when(F.col("event_type") == "view", "idle")
+            .when(F.col("event_type") == "click", "busy").when(F.col("event_type") == "error", "outcome").otherwise("report"))
+    text = (F.when(F.col("event_type") == "error", F.when(F.col("k") % 3 == 0, "confirmed").when(F.col("k") % 3 == 1, "failed")
+                   .otherwise("unknown")).when(F.col("event_type") == "purchase", "status"))
+    return base.select(
+        F.substring(F.md5(asked.cast("string")), 1, 16).alias("corr"), "ts", "seq", kind.alias("kind"), text.alias("text"))
+
+
+@query("stream_replies")
+def stream_replies(spark: SparkSession, sf: str) -> DataFrame:
+    rows = reply_rows(spark, sf)
+    return finish(jobs.stream_replies(stream_table(spark, rows, "reply-rows"), grace=120), "replies")
+
+
+@query("offer_once", with_views("SELECT DISTINCT concat('r', CAST(k AS VARCHAR), '-', CAST(task % 5 AS VARCHAR)) AS request FROM status_base"))
+def offer_once(spark: SparkSession, sf: str) -> DataFrame:
+    rows = stream_view(spark, sf, "status_base").select(
+        F.concat(F.lit("r"), F.col("k").cast("string"), F.lit("-"), (F.col("task") % 5).cast("string")).alias("request"),
+        F.timestamp_seconds("ts").alias("event_time"))
+    return finish(jobs.offer_once(rows, "60 days"), "offers").select("request")
+
+
+@query("consume_events", f"""
+WITH {EVENTS_SQL} SELECT n, event_id, coalesce(reason, 'accepted') AS outcome FROM f""")
+def consume_events(spark: SparkSession, sf: str) -> DataFrame:
+    events = terminal_events(spark, sf)
+    twice = events.unionByName(events.filter("n % 3 = 0"))
+    path = through(stream_table(spark, twice, "terminal-events"), "consumed",
+                   lambda p: jobs.consume_events(ledgers.event_rules(), f"{p}/out"))
+    accepted = spark.read.parquet(f"{path}/out/accepted").select("n", "event_id", F.lit("accepted").alias("outcome"))
+    return accepted.unionByName(
+        spark.read.parquet(f"{path}/out/rejected").select("n", "event_id", F.col("reason").alias("outcome")))
+
+
+@query("reannounce", with_views("""
+SELECT task AS source, seq FROM status_events WHERE event_type = 'click' AND k % 3 <> 0"""))
+def reannounce(spark: SparkSession, sf: str) -> DataFrame:
+    from tidelog.catalog.join_queries import result_tables
+
+    results, handled = result_tables(spark, sf)
+    found, marks = jobs.shared_folder(spark, "results"), jobs.shared_folder(spark, "handled")
+    results.write.parquet(found)
+    handled.write.parquet(marks)
+    ticks = stream_view(spark, sf, "status_base").select("seq")
+    path = through(ticks, "announced", lambda p: jobs.reannounce(found, marks, f"{p}/out"))
+    out = spark.read.parquet(f"{path}/out")
+    newest = out.agg(F.max("batch_id").alias("batch_id"))
+    return out.join(newest, "batch_id").select("source", "seq")
+
+
+@query("mirror_log", with_views("""
+SELECT task AS log, min(rn) AS seq, line FROM (SELECT task, verb AS line, row_number() OVER (PARTITION BY task ORDER BY seq) AS rn FROM status_events)
+GROUP BY task, line"""))
+def mirror_log(spark: SparkSession, sf: str) -> DataFrame:
+    from tidelog.operators import ordered
+
+    lines = ordered.rank(view(spark, sf, "status_events").select(F.col("task").alias("log"), "seq", F.col("verb").alias("line")), ["log"], "seq")
+    rows = lines.select("log", F.col("rn").alias("seq"), "line")
+    path = through(stream_table(spark, rows.coalesce(1), "mirror-rows"), "mirror", lambda p: jobs.mirror_log(f"{p}/out"))
+    return spark.read.parquet(f"{path}/out/lines").select("log", "seq", "line")
+
+
+@query("catch_all_sweep", with_views("""
+WITH c AS (SELECT task, arg_max(line, seq) AS line, arg_max(verb, seq) AS verb, max(seq) AS seq FROM status_events GROUP BY task),
+s AS (SELECT task, arg_max(line, seq) AS line FROM status_events WHERE k % 4 <> 0 GROUP BY task)
+SELECT c.task, c.seq, c.line FROM c LEFT JOIN s ON s.task = c.task
+WHERE c.verb IN ('done', 'needs-decision', 'blocked', 'failed') AND c.line IS DISTINCT FROM s.line"""))
+def catch_all_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    logs = view(spark, sf, "status_events")
+    surfaced = folds.latest_event(logs.filter("k % 4 <> 0"), ["line"])
+    return jobs.catch_all_sweep(logs, surfaced).select("task", "seq", "line")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions import text as tx
-from tidelog.operators import folds, joins, ranking, rollups
+from tidelog.operators import folds, joins, lineage, ranking, rollups
 from tidelog.plans import state as st
 from tidelog.sources.backlog import with_roles
 from tidelog.vocab import DEFAULT_VOCABULARY, Vocabulary
@@ -110,8 +110,9 @@ def bearings(
 ) -> dict[str, DataFrame]:
     """The bounded digest: seven sections and ``omitted``, one row per thing left out.
 
-    Every cap is a top-k plan or a per-home group limit, and what a cap hides is counted."""
-    rows, tasks = snapshot["backlog"], snapshot["tasks"]
+    Every cap is a top-k plan or a per-home group limit, and what a cap hides is counted. The
+    sections read the backlog and the tasks several times, so both are computed once here."""
+    rows, tasks = lineage.cut(snapshot["backlog"]), lineage.cut(snapshot["tasks"])
     landed = landed_rows(rows).select(
         "home", "id", "title", F.col("completion.date").alias("date"),
         F.coalesce("pr_url", "report_path", "local_note", F.lit("-")).alias("artifact"))
