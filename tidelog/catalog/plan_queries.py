@@ -110,7 +110,7 @@ def snapshot_tasks(spark: SparkSession, sf: str) -> DataFrame:
     "snap_tasks AS (SELECT c.home, s.task AS id, s.state FROM crew c JOIN states s ON s.task = c.task),\n"
     f"snap_open AS (SELECT c.home, o.verb FROM ({OPEN_SQL}) o JOIN crew c ON c.task = o.task WHERE o.task NOT IN (SELECT task FROM states WHERE kind <> 'home' "
     "AND ((source IN ('run-step', 'pane') AND state NOT IN ('parked', 'blocked')) OR state IN ('done', 'failed'))))\n"
-    "SELECT * FROM (" + HOMES_SQL.replace("task_rows", "snap_tasks").replace("FROM home_decisions", "FROM snap_open") + ")"))
+    "SELECT * REPLACE (CAST(home AS BIGINT) AS home) FROM (" + HOMES_SQL.replace("task_rows", "snap_tasks").replace("FROM home_decisions", "FROM snap_open") + ")"))
 def snapshot_homes(spark: SparkSession, sf: str) -> DataFrame:
     return snapshot_of(spark, sf)["homes"]
 
