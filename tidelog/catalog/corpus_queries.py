@@ -49,7 +49,7 @@ _PAIR = f"""CASE WHEN regexp_matches(l1, {_NEAR}) THEN l1 || ' ' || w WHEN regex
 WITH {_CLAUSES}, h AS (SELECT doc_id, clause_no, {_PAIR} AS pair FROM n WHERE regexp_matches(w, '^({corpus.PAIR_HEADS})$'))
 SELECT doc_id, CAST(clause_no AS BIGINT) AS clause_no, pair, count(*) AS hits FROM h WHERE pair IS NOT NULL GROUP BY ALL"""))
 def pair_hits(spark: SparkSession, sf: str) -> DataFrame:
-    clauses = view(spark, sf, "briefs").select(
+    clauses = corpus.spread(view(spark, sf, "briefs").select("doc_id", "text")).select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("clause_no", "text"))
     return corpus.pair_hits(clauses).groupBy(
         "doc_id", F.col("clause_no").cast("long").alias("clause_no"), "pair").agg(F.count("*").alias("hits"))

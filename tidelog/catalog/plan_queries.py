@@ -79,7 +79,7 @@ def absorb_class(spark: SparkSession, sf: str) -> DataFrame:
     return st.absorb_class(states_of(spark, sf), view(spark, sf, "status_events"), live)
 
 
-def snapshot_of(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+def snapshot_of(spark: SparkSession, sf: str, materialise: bool = False) -> dict[str, DataFrame]:
     """The whole snapshot, with backlog columns the tables lack filled in."""
     none = F.lit(None).cast("string")
     rows = backlog(spark, sf).withColumn("home", F.col("home").cast("long"))
@@ -90,7 +90,7 @@ def snapshot_of(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     registry = view(spark, sf, "registry_rows")
     return snap.fleet_snapshot(
         rows, crew(spark, sf), crew_runs(spark, sf), busy_of(spark, sf), view(spark, sf, "status_events"),
-        registry, view(spark, sf, "report_rows"))
+        registry, view(spark, sf, "report_rows"), materialise=materialise)
 
 
 SNAP_TASKS = f"""
@@ -169,7 +169,7 @@ UNION ALL SELECT 'omitted', concat('landed showing 6 of ', CAST(sum(least(n, 6))
 UNION ALL SELECT 'omitted', concat('landed per-home capped at 6 for ', CAST(count(*) FILTER (WHERE n > 6) AS VARCHAR), ' home(s)') FROM per_home HAVING count(*) FILTER (WHERE n > 6) > 0
 UNION ALL SELECT 'omitted', concat('in-flight backlog item(s) have no child metadata: ', CAST(n AS VARCHAR)) FROM orphan WHERE n > 0"""))
 def bearings(spark: SparkSession, sf: str) -> DataFrame:
-    sections = snap.bearings(snapshot_of(spark, sf))
+    sections = snap.bearings(snapshot_of(spark, sf, materialise=True))
     ids = {"landed": "id", "in_flight": "id", "decisions_open": "id", "gates": "id", "reports": "id", "homes": "home",
            "omitted": "surface"}
     out = None

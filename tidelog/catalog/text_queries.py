@@ -235,7 +235,7 @@ SELECT seq, lower(regexp_extract(line, 'corr=([A-Fa-f0-9]{16})', 1)) AS corr,
             WHEN regexp_matches(line, 'via-helper|mate-report') THEN 'helper' ELSE 'status' END AS via
 FROM report_lines WHERE regexp_matches(line, 'corr=[A-Fa-f0-9]{16}') AND NOT contains(line, 'pending-reply-missed')"""))
 def correlation_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    rows = view(spark, sf, "report_lines").withColumn("corr", tx.extract_corr(F.col("line")))
+    rows = tx.computed(view(spark, sf, "report_lines"), corr=tx.extract_corr(F.col("line")))
     return rows.filter("corr IS NOT NULL").select("seq", "corr", tx.resolve_via(F.col("line")).alias("via"))
 
 

@@ -46,25 +46,26 @@ def strip_ts(col: Column) -> Column:
     return F.regexp_replace(col, _STAMP, "")
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns that filters use as well. A filter moves below a projection by copying
+    the column's expression, once per mention; unpacking a one-element array keeps it above, so
+    every column is computed once per row."""
+    fields = [c.alias(name) for name, c in columns.items()]
+    return df.select("*", F.inline(F.array(F.struct(*fields))))
+
+
 def parse_status(df: DataFrame, line: str = "line") -> DataFrame:
     """Add ``verb``, ``key`` and ``note``. A malformed key gives a null key: folds ignore the row."""
     text, head = F.col("__text"), F.col("__head")
     token = F.regexp_extract(head, _KEY_TOKEN, 1)
     after_colon = tail_from(text, F.instr(text, ":") + 1)
-    return (
-        df.withColumn("__text", strip_ts(F.col(line)))
-        .withColumn("__head", F.substring_index("__text", ":", 1))
-        .withColumn("verb", trim_space(F.regexp_replace(head, r"(?s)\[key=.*$", "")))
-        .withColumn(
-            "key",
-            F.when(~head.rlike(_KEY_TOKEN), F.lit("default")).when(token.rlike(_KEY_SLUG), token),
-        )
-        .withColumn(
-            "note",
-            F.when(text.contains(":"), F.regexp_replace(after_colon, r"^\s+", "")).otherwise(text),
-        )
-        .drop("__text", "__head")
-    )
+    key = F.when(~head.contains("[key="), "default").when(token.rlike(_KEY_SLUG), token)
+    key = F.when(head.contains("[key=") & ~head.rlike(_KEY_TOKEN), "default").otherwise(key)
+    note = F.when(text.contains(":"), F.regexp_replace(after_colon, r"^\s+", "")).otherwise(text)
+    verb = trim_space(F.substring_index(head, "[key=", 1))
+    prepared = df.withColumn("__text", strip_ts(F.col(line))).withColumn(
+        "__head", F.substring_index("__text", ":", 1))
+    return computed(prepared, verb=verb, key=key, note=note).drop("__text", "__head")
 
 
 def is_paused(verb: Column, vocab: Vocabulary = DEFAULT_VOCABULARY) -> Column:

@@ -49,6 +49,15 @@ def tokens(col: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(col), F.lit("([a-z0-9]+)"), 1)
 
 
+def spread(documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Use all cores when the source offers fewer splits than there are cores (a table of one small
+    file); a table of many splits is left as it is, without a shuffle of its texts."""
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    if documents.rdd.getNumPartitions() >= cores:
+        return documents
+    return documents.repartition(cores, key)
+
+
 def narrow_scope(documents: DataFrame) -> DataFrame:
     """``doc_id, clauses``: the clauses of each document that describe the work. The state a parser
     carries through a document makes this a Python job; documents are independent."""
@@ -59,7 +68,8 @@ def narrow_scope(documents: DataFrame) -> DataFrame:
                 briefs.narrow(t) if t is not None else [] for t in pdf["text"]]})
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, clauses array<string>")
+    texts = spread(documents.select("doc_id", "text"))
+    return texts.mapInPandas(run, f"doc_id {kind}, clauses array<string>")
 
 
 def scope_clauses(documents: DataFrame) -> DataFrame:
@@ -128,5 +138,5 @@ def chunk_texts(documents: DataFrame, limit: int, cap: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "k", "n", "chunk"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInPandas(
+    return spread(documents.select("doc_id", "text")).mapInPandas(
         run, f"doc_id {kind}, k long, n long, chunk string")

@@ -203,7 +203,7 @@ def misplaced_hits(lines: DataFrame, requests: DataFrame) -> DataFrame:
     ``lines``: ``home, path, line_no, line``; ``requests``: ``corr, home, phase, delivered_epoch``
     where ``home`` is the wrong place to answer."""
     live = requests.filter((F.col("phase") != "resolved") & F.col("delivered_epoch").isNotNull())
-    tokens = lines.withColumn("corr", tx.extract_corr(F.col("line"))).filter("corr IS NOT NULL")
+    tokens = tx.computed(lines, corr=tx.extract_corr(F.col("line"))).filter("corr IS NOT NULL")
     sightings = tokens.select("corr", "home", "path", "line_no", "line").distinct()
     per_token = sightings.groupBy("corr", "home").agg(F.count("*").alias("hits"))
     return (

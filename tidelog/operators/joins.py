@@ -168,7 +168,7 @@ def resolve_requests(requests: DataFrame, lines: DataFrame) -> DataFrame:
 
     ``requests``: ``corr, seq``; ``lines``: ``seq, line``. Lines without a token leave before the
     shuffle, and a token's lines join the one request that owns it."""
-    hits = lines.withColumn("corr", tx.extract_corr(F.col("line"))).filter(F.col("corr").isNotNull())
+    hits = tx.computed(lines, corr=tx.extract_corr(F.col("line"))).filter(F.col("corr").isNotNull())
     later = requests.select("corr", F.col("seq").alias("asked")).join(
         hits.select("corr", "seq", "line"), "corr"
     ).filter(F.col("seq") > F.col("asked"))

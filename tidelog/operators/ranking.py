@@ -196,12 +196,30 @@ def _rank_by_name(df: DataFrame, keys: Sequence[str], name: str, chars: int = 3)
     )
 
 
+SMALL_RUN = 32
+
+
+def _take_turns(loads: np.ndarray, w: int, n: int) -> list[int]:
+    """Bins of ``n`` items of one weight, in order."""
+    now = loads.tolist()
+    order = []
+    for _ in range(n):
+        best = now.index(min(now))
+        now[best] += w
+        order.append(best)
+    return order
+
+
 def _slots_per_bin(loads: np.ndarray, w: int, n: int) -> np.ndarray:
     """How many of ``n`` items of weight ``w`` each bin takes, starting from ``loads``."""
     if w == 0:
         out = np.zeros(len(loads), dtype=np.int64)
         out[int(np.argmin(loads))] = n
         return out
+    if n <= SMALL_RUN:
+        out = np.zeros(len(loads), dtype=np.int64)
+        np.add.at(out, _take_turns(loads, w, n), 1)
+        return out
     # Slot i of bin j starts at loads[j] + i * w; the n smallest (start, bin) pairs are taken.
     low, high = int(loads.min()), int(loads.min()) + w * n
     while low < high:
@@ -235,6 +253,8 @@ def _slot_bin(loads: pd.Series, weight: pd.Series, rank: pd.Series) -> pd.Series
             out[i] = int(np.argmin(arr))
         elif r >= level:
             out[i] = order[(int(r) - level) % len(order)]
+        elif r < SMALL_RUN:
+            out[i] = _take_turns(arr, int(w), int(r) + 1)[-1]
         else:
             gained = _slots_per_bin(arr, int(w), int(r) + 1) - _slots_per_bin(arr, int(w), int(r))
             out[i] = int(np.flatnonzero(gained)[0])

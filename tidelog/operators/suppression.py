@@ -35,11 +35,9 @@ def alert_changes(df: DataFrame, entity: str, order: str, line: str = "line", **
     """Fire on a failing line whose text, without its timestamp, differs from the last one fired;
     a healthy line arms again and blank lines do not count. After any failing row the last fired
     text equals that row's text, so one look back is enough."""
-    rows = (
-        df.filter(F.col(line) != "")
-        .withColumn("__bad", tx.line_failed(F.col(line)))
-        .withColumn("__text", F.regexp_replace(line, _STAMP_PREFIX, ""))
-    )
+    rows = tx.computed(
+        df.filter(F.col(line) != ""),
+        __bad=tx.line_failed(F.col(line)), __text=F.regexp_replace(line, _STAMP_PREFIX, ""))
     prev = {"__was_bad": F.col("__bad"), "__was_text": F.col("__text")}
     seen = ordered.scan(rows, [entity], order, previous=prev, **kw)
     repeat = F.coalesce(F.col("__was_bad"), F.lit(False)) & (F.col("__was_text") == F.col("__text"))

@@ -20,14 +20,17 @@ MAIN = "(main)"
 def fleet_snapshot(
     backlog: DataFrame, tasks: DataFrame, runs: DataFrame, busy: DataFrame, logs: DataFrame,
     registry: DataFrame, reports: DataFrame, *, registry_complete: bool = True,
-    vocab: Vocabulary = DEFAULT_VOCABULARY,
+    materialise: bool = False, vocab: Vocabulary = DEFAULT_VOCABULARY,
 ) -> dict[str, DataFrame]:
     """Sections of the snapshot as lazy DataFrames; only the sections used are computed.
 
     ``backlog``: rows of :func:`tidelog.sources.backlog.parse_backlog` plus ``home``, before roles;
-    ``tasks``: ``home, task, seq, kind, reachable``; the rest as in the operators named."""
+    ``tasks``: ``home, task, seq, kind, reachable``; the rest as in the operators named.
+    ``materialise`` computes the rows and the states once for all sections that read them."""
     rows = with_roles(backlog)
     states = st.current_state(tasks.select("task", "kind", "reachable"), runs, busy, logs, vocab)
+    if materialise:
+        rows, states = lineage.cut(rows), lineage.cut(states)
     live = tasks.select("home", "task", "seq").join(states, "task").withColumn("id", F.col("task"))
     decisions = st.reconciled_open_decisions(logs, states, vocab).join(
         tasks.select("home", "task"), "task").withColumn("id", F.col("task"))
@@ -110,9 +113,9 @@ def bearings(
 ) -> dict[str, DataFrame]:
     """The bounded digest: seven sections and ``omitted``, one row per thing left out.
 
-    Every cap is a top-k plan or a per-home group limit, and what a cap hides is counted. The
-    sections read the backlog and the tasks several times, so both are computed once here."""
-    rows, tasks = lineage.cut(snapshot["backlog"]), lineage.cut(snapshot["tasks"])
+    Every cap is a top-k plan or a per-home group limit, and what a cap hides is counted. Several
+    sections read the backlog and the tasks: build the snapshot with ``materialise``."""
+    rows, tasks = snapshot["backlog"], snapshot["tasks"]
     landed = landed_rows(rows).select(
         "home", "id", "title", F.col("completion.date").alias("date"),
         F.coalesce("pr_url", "report_path", "local_note", F.lit("-")).alias("artifact"))

@@ -79,13 +79,15 @@ def parse_backlog(lines: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
         tx.trim_space(F.regexp_extract(line, BOLD_ROW, 1)))
     rest_text = F.when(check, F.regexp_extract(line, CHECK_ROW, 3)).otherwise(
         F.regexp_extract(line, BOLD_ROW, 2))
-    rows = numbered.filter("body_of IS NULL").select(
-        "file", F.col("line_no").alias("seq"), "state", "structured",
-        F.when(F.col("structured"), ident).alias("id"),
-        F.when(F.col("structured"), F.lower(F.regexp_extract(line, CHECK_ROW, 1)) == "x").alias("checked"),
-        F.when(F.col("structured"), rest_text).alias("rest"),
-        F.col("line").alias("raw"),
-    )
+    structured = F.col("structured")
+    heads = numbered.filter("body_of IS NULL").select(
+        "file", F.col("line_no").alias("seq"), "state", "structured", F.col("line").alias("line"))
+    rows = tx.computed(
+        heads,
+        id=F.when(structured, ident),
+        checked=F.when(structured, F.lower(F.regexp_extract(line, CHECK_ROW, 1)) == "x"),
+        rest=F.when(structured, rest_text),
+    ).withColumnRenamed("line", "raw")
     rest = F.col("rest")
     ids = F.array_distinct(F.regexp_extract_all(rest, F.lit(r"blocked-by:\s+([^\s)]+)"), 1))
     reason = clean_title(tx.capture(rest, r"^.*blocked-by:\s*[^\s)]+\s+-\s*(.*)$"))
