@@ -63,22 +63,17 @@ def uncovered_decisions(open_set: DataFrame, inventory: DataFrame) -> DataFrame:
 def run_state(df: DataFrame) -> DataFrame:
     """Per log: ``busy`` when a run started and did not end, ``settled`` when all ended, ``none``
     when no run ever started. ``df``: ``task, run_id, seq, event``."""
-    steps = df.filter(F.col("event").isin("started", "terminal"))
-    runs = steps.groupBy("task", "run_id").agg(
-        F.max_by("event", "seq").alias("final"),
-        F.max((F.col("event") == "started").cast("int")).alias("seen"),
-    )
-    seen_by_log = runs.groupBy("task").agg(
-        F.max("seen").alias("seen"),
-        F.max((F.col("final") == "started").cast("int")).alias("busy"),
-    )
-    logs = df.select("task").distinct()
+    started = (F.col("event") == "started").cast("int")
+    step_at = F.when(F.col("event").isin("started", "terminal"), F.col("seq"))
+    # Flags and positions are fixed-width, so both aggregates stay in hash aggregation.
+    runs = df.groupBy("task", "run_id").agg(
+        F.max_by(started, step_at).alias("open"), F.max(started).alias("seen"))
     state = (
-        F.when(F.coalesce("seen", F.lit(0)) == 0, "none")
-        .when(F.col("busy") == 1, "busy")
+        F.when(F.max("seen") == 0, "none")
+        .when(F.max(F.coalesce("open", F.lit(0))) == 1, "busy")
         .otherwise("settled")
     )
-    return logs.join(seen_by_log, "task", "left").select("task", state.alias("run_state"))
+    return runs.groupBy("task").agg(state.alias("run_state"))
 
 
 def current_busy(records: DataFrame, armed: DataFrame, trust: DataFrame) -> DataFrame:

@@ -12,15 +12,14 @@ from pyspark.sql import functions as F
 from tidelog.operators import ordered
 
 
-def landed_per_home(df: DataFrame, limit: int | None = 6) -> DataFrame:
+def landed_per_home(df: DataFrame, limit: int = 6) -> DataFrame:
     """Newest ``limit`` landed rows per home with their rank: date descending, id descending, a
     missing date sorts as the empty string. The rank filter becomes a per-task group limit, so a
     huge home ships only ``limit`` rows per input partition."""
     newest = Window.partitionBy("home").orderBy(
         F.coalesce("date", F.lit("")).desc(), F.col("id").desc()
     )
-    ranked = df.withColumn("rn", F.row_number().over(newest))
-    return ranked if limit is None else ranked.filter(F.col("rn") <= limit)
+    return df.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= limit)
 
 
 def round_robin(df: DataFrame, limit: int, per_home: int | None = None) -> DataFrame:
