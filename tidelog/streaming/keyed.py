@@ -23,7 +23,8 @@ State = dict[str, Any]
 
 
 class Rule(Protocol):
-    """One rule: fresh state, effect of a row, next timer and its effect. All times in seconds."""
+    """One rule: fresh state, effect of a row, next timer and its effect, and whether a state is
+    worth keeping. All times in seconds."""
 
     columns: tuple[str, ...]
     output: str
@@ -36,6 +37,8 @@ class Rule(Protocol):
 
     def on_timer(self, state: State, at: int) -> list[tuple]: ...
 
+    def keep(self, state: State) -> bool: ...
+
 
 def replay(rule: Rule, state: State, rows: list[Row], until: int) -> list[tuple]:
     """Feed ordered rows, then the timers due by ``until``. Also the batch form of every rule."""
@@ -61,32 +64,41 @@ def _fields(schema: str) -> list[str]:
     return [part.strip().split(" ")[0] for part in schema.split(",")]
 
 
+def _ordered(batches: Iterator[pd.DataFrame], columns: list[str]) -> list[Row]:
+    """Rows of one key in order, with nulls as None. Most keys have few rows per trigger, so plain
+    lists are much faster here than frame operations."""
+    rows: list[Row] = []
+    for batch in batches:
+        values = zip(*[batch[c].tolist() for c in columns], strict=True)
+        rows += [{c: None if v is None or v != v else v for c, v in zip(columns, row, strict=True)}
+                 for row in values]
+    rows.sort(key=lambda r: (r["ts"], r["seq"]))
+    return rows
+
+
 def stream(df: DataFrame, key: str, rule: Rule, delay: str = "0 seconds") -> DataFrame:
     """Run ``rule`` over a stream with the key column, ``ts`` (epoch seconds), ``seq`` and the
     rule's columns. Output: the key and the rule's columns, ``kind, ts, seq`` first."""
     key_type = df.schema[key].dataType.simpleString()
     names = _fields(rule.output)
+    wanted = ["ts", "seq", *rule.columns]
     timed = df.select(key, "ts", "seq", *rule.columns).withColumn(
         "event_time", F.timestamp_seconds("ts")).withWatermark("event_time", delay)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         state = json.loads(held.get[0]) if held.exists else rule.fresh()
         mark = held.getCurrentWatermarkMs()
-        rows: list[Row] = []
-        if not held.hasTimedOut:
-            parts = [b.drop(columns=["event_time"]) for b in batches]
-            pdf = pd.concat(parts).sort_values(["ts", "seq"])
-            pdf = pdf.astype(object).where(pdf.notna(), None)
-            rows = pdf.to_dict("records")
+        rows: list[Row] = [] if held.hasTimedOut else _ordered(batches, wanted)
         out = replay(rule, state, rows, mark // 1000 if mark > 0 else -1)
-        held.update((json.dumps(state),))
-        due = rule.due(state)
-        if due is not None:
-            held.setTimeoutTimestamp(max(due * 1000, mark + 1))
+        if rule.keep(state):
+            held.update((json.dumps(state),))
+            due = rule.due(state)
+            if due is not None:
+                held.setTimeoutTimestamp(max(due * 1000, mark + 1))
+        elif held.exists:
+            held.remove()
         if out:
-            frame = pd.DataFrame(out, columns=names)
-            frame.insert(0, key, k[0])
-            yield frame
+            yield pd.DataFrame([(k[0], *o) for o in out], columns=[key, *names])
 
     return timed.groupBy(key).applyInPandasWithState(
         step, f"{key} {key_type}, {rule.output}", "blob string", "append",

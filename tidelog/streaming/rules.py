@@ -8,7 +8,12 @@ from tidelog.streaming.keyed import Row, State
 from tidelog.vocab import DEFAULT_THRESHOLDS, Thresholds
 
 
-class _NoTimer:
+class _Kept:
+    def keep(self, state: State) -> bool:
+        return True
+
+
+class _NoTimer(_Kept):
     def due(self, state: State) -> int | None:
         return None
 
@@ -17,7 +22,7 @@ class _NoTimer:
 
 
 @dataclass(frozen=True)
-class CoalesceSignals:
+class CoalesceSignals(_Kept):
     """After the first change wait ``grace`` seconds, then emit the last write of every changed
     name. The window is anchored at its first row and does not slide."""
 
@@ -44,7 +49,7 @@ class CoalesceSignals:
 
 
 @dataclass(frozen=True)
-class BatchEscalations:
+class BatchEscalations(_Kept):
     """Flush the buffer as one digest when its oldest item is ``batch`` seconds old. While the sink
     is down (rows of kind ``down``/``up``) the buffer stays, and an alarm comes when the oldest is
     ``max_defer`` seconds old, then once per further window."""
@@ -88,7 +93,7 @@ class BatchEscalations:
 
 
 @dataclass(frozen=True)
-class Timers:
+class Timers(_Kept):
     """Staleness, pause and stall timers of one entity over ``poll``, ``check`` and ``log`` rows."""
 
     limits: Thresholds = DEFAULT_THRESHOLDS
@@ -211,6 +216,10 @@ class Replies:
     columns: tuple[str, ...] = ("kind", "text")
     output: str = "kind string, ts long, seq long, phase string, detail string"
 
+    def keep(self, state: State) -> bool:
+        """Tokens nobody asked for leave nothing behind; a request stays until the end of time."""
+        return state["phase"] is not None
+
     def fresh(self) -> State:
         return {"phase": None, "delivered": None, "completed": None, "escalated": False}
 
