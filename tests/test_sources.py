@@ -79,6 +79,14 @@ def test_backlog(spark, tmp_path):
     assert not got["free text row"].structured
 
 
+def test_backlogs_of_several_files_keep_apart(spark, tmp_path):
+    (tmp_path / "a.md").write_text("## Queued\n- [ ] run - Run blocked-by: dep (kind: ship)\n\n## Done\n- [x] dep - Dep\n")
+    (tmp_path / "b.md").write_text("## Queued\n- [ ] run - Run blocked-by: dep (kind: ship)\n- [ ] dep - Dep\n")
+    rows, _ = bl.read_backlog(spark, str(tmp_path))
+    got = {r.file.rsplit("/", 1)[1]: r.unresolved for r in bl.with_roles(rows, ["file"]).filter("id = 'run'").collect()}
+    assert got == {"a.md": [], "b.md": ["dep"]}
+
+
 def test_registry(spark, tmp_path):
     path = tmp_path / "homes.md"
     path.write_text(

@@ -64,31 +64,35 @@ def owned_with_state(backlog: DataFrame, tasks: DataFrame, states: Sequence[str]
     )
 
 
-def resolved_ids(backlog: DataFrame) -> DataFrame:
+def resolved_ids(backlog: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Ids whose **last** structured record is done: a later record replaces an earlier verdict."""
     done = F.max_by(F.col("state") == "done", F.col("seq"))
-    return backlog.filter("structured").groupBy("id").agg(done.alias("resolved"))
+    return backlog.filter("structured").groupBy(*scope, "id").agg(done.alias("resolved"))
 
 
-def unresolved_blockers(backlog: DataFrame) -> DataFrame:
-    """Blockers of each row not yet done, in order of first mention; unknown ids stay open.
-    Returns ``seq, id, unresolved`` for every structured row."""
-    rows = backlog.filter("structured")
-    mentions = rows.select(
-        "seq", "id", F.posexplode_outer(F.array_distinct("blocked_by_ids")).alias("pos", "blocker")
-    )
-    verdict = resolved_ids(backlog).filter("resolved").select(F.col("id").alias("blocker"), "resolved")
-    open_one = F.col("blocker").isNotNull() & F.col("resolved").isNull()
-    gathered = F.array_sort(
-        F.collect_list(F.when(open_one, F.struct("pos", "blocker")))
-    )
+def open_blockers_by_row(backlog: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """``scope, seq, unresolved`` for the rows that still wait; rows without blockers never enter
+    the joins. ``scope`` names the columns that tell several backlogs apart."""
+    mentions = backlog.filter(F.col("structured") & (F.size("blocked_by_ids") > 0)).select(
+        *scope, "seq", F.posexplode(F.array_distinct("blocked_by_ids")).alias("pos", "blocker"))
+    done = resolved_ids(backlog, scope).filter("resolved").select(*scope, F.col("id").alias("blocker"))
+    gathered = F.array_sort(F.collect_list(F.struct("pos", "blocker")))
     return (
-        mentions.join(verdict, "blocker", "left")
-        .groupBy("seq", "id")
+        mentions.join(done, [*scope, "blocker"], "left_anti")
+        .groupBy(*scope, "seq")
         .agg(F.transform(gathered, lambda s: s["blocker"]).alias("unresolved"))
     )
 
 
+def unresolved_blockers(backlog: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Blockers of each row not yet done, in order of first mention; unknown ids stay open.
+    Returns ``scope, seq, id, unresolved`` for every structured row."""
+    rows = backlog.filter("structured").select(*scope, "seq", "id", "blocked_by_ids")
+    none = F.slice("blocked_by_ids", 1, 0)
+    return rows.join(open_blockers_by_row(backlog, scope), [*scope, "seq"], "left").select(
+        *scope, "seq", "id", F.coalesce("unresolved", none).alias("unresolved"))
+
+
 def relevant_reports(reports: DataFrame, live: DataFrame, landed: DataFrame) -> DataFrame:
     """Reports that belong to live or landed ids."""
     wanted = live.select("id").unionByName(landed.select("id"))

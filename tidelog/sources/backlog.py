@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,9 +132,12 @@ def read_backlog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parse_backlog(read_lines(spark, path))
 
 
-def with_roles(rows: DataFrame) -> DataFrame:
-    """Add ``unresolved``, ``role``, ``requires_child`` and ``actionable`` to structured rows."""
-    open_ids = joins.unresolved_blockers(rows).select("seq", "unresolved")
+def with_roles(rows: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Add ``unresolved``, ``role``, ``requires_child`` and ``actionable`` to structured rows.
+
+    ``scope`` names the columns that tell several backlogs apart, ``["file"]`` for rows read from
+    many files; without it, ``seq`` must be unique over all rows and ids are shared."""
+    open_ids = joins.open_blockers_by_row(rows, scope)
     held = F.col("hold_reason").isNotNull() & F.col("hold_kind").isNotNull()
     in_flight = F.col("state") == "in_flight"
     role = (
@@ -142,7 +147,12 @@ def with_roles(rows: DataFrame) -> DataFrame:
         .when(F.col("state") == "queued", "queued")
         .otherwise("done")
     )
-    marked = rows.join(open_ids, "seq", "left").withColumn("role", F.when(F.col("structured"), role))
+    none = F.slice("blocked_by_ids", 1, 0)
+    marked = (
+        rows.join(open_ids, [*scope, "seq"], "left")
+        .withColumn("unresolved", F.when(F.col("structured"), F.coalesce("unresolved", none)))
+        .withColumn("role", F.when(F.col("structured"), role))
+    )
     captain = (F.col("kind") == "captain") & (F.col("hold_kind") == "captain")
     ready = (F.col("state") == "queued") & captain & F.col("hold_reason").isNotNull() & (F.size("unresolved") == 0)
     return marked.withColumn("requires_child", F.coalesce(F.col("role") == "worker", F.lit(False))).withColumn(
