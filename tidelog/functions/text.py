@@ -8,7 +8,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.vocab import DEFAULT_VOCABULARY, RELEVANT_TEXT, TERMINAL_VERBS, Vocabulary
+from tidelog.vocab import (
+    DEFAULT_VOCABULARY,
+    MESSAGE_MARK,
+    RELEVANT_TEXT,
+    TERMINAL_VERBS,
+    Vocabulary,
+)
 
 # A full date, an optional time with seconds, fraction and zone, then whitespace. The possessive
 # quantifiers forbid giving characters back, so an unfinished part leaves the line untouched.
@@ -230,8 +236,6 @@ def resolve_via(line: Column) -> Column:
 def message_kind(text: Column, kinds: Sequence[str], label: str, version: str = "v1") -> Column:
     """Kind from a structural header ``<mark><label>: <version> <kind>: <body>``; unknown kinds and
     empty bodies are ordinary messages."""
-    from tidelog.vocab import MESSAGE_MARK
-
     head = f"{MESSAGE_MARK}{label}: {version} "
     rest = tail_from(text, F.lit(len(head) + 1))
     kind = F.substring_index(rest, ": ", 1)

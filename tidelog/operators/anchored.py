@@ -16,8 +16,6 @@ never over a whole entity in one task:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame

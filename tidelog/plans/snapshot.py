@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions import text as tx
-from tidelog.operators import folds, joins, lineage, ranking, rollups
+from tidelog.operators import joins, lineage, ranking, rollups
 from tidelog.plans import state as st
 from tidelog.sources.backlog import with_roles
 from tidelog.vocab import DEFAULT_VOCABULARY, Vocabulary
@@ -197,9 +197,3 @@ def open_decision_report(decisions: DataFrame, *, item_chars: int = 219, total:
     lines = decisions.select("seq", tx.cap_line(line, item_chars).alias("line")).withColumn(
         "size", (F.length("line") + 1).cast("long"))
     return ranking.fit_budget(lines, [], "seq", "size", total)
-
-
-__all__ = [
-    "Bounds", "actionable_decisions", "bearings", "fleet_snapshot", "folds", "in_flight_rows",
-    "landed_rows", "open_decision_report", "open_gates", "pending_commitments",
-]
