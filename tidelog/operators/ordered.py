@@ -45,9 +45,9 @@ def scan(
         src = src.withColumn(f"__in_{name}", value)
 
     tails = []
-    if previous:
-        boxed = F.struct(*[F.col(f"__in_{n}").alias(n) for n in previous])
-        tails.append(F.max_by(boxed, F.col(order)).alias("__prev_tail"))
+    # One max_by per column, not one over a struct: fixed-width buffers keep hash aggregation.
+    for name in previous:
+        tails.append(F.max_by(f"__in_{name}", F.col(order)).alias(f"__tail_{name}"))
     for name in last:
         held = F.col(f"__in_{name}")
         tails.append(F.max_by(held, F.when(held.isNotNull(), F.col(order))).alias(f"__tail_{name}"))
@@ -57,8 +57,8 @@ def scan(
     over_chunks = Window.partitionBy(*keys).orderBy(_CHUNK)
     before = over_chunks.rowsBetween(Window.unboundedPreceding, -1)
     carry = src.groupBy(*keys, _CHUNK).agg(*tails)
-    if previous:
-        carry = carry.withColumn("__prev_carry", F.lag("__prev_tail").over(over_chunks))
+    for name in previous:
+        carry = carry.withColumn(f"__carry_{name}", F.lag(f"__tail_{name}").over(over_chunks))
     for name in last:
         carry = carry.withColumn(
             f"__carry_{name}", F.last(f"__tail_{name}", ignorenulls=True).over(before)
@@ -66,7 +66,7 @@ def scan(
     for name in total:
         carry = carry.withColumn(f"__carry_{name}", F.sum(f"__tail_{name}").over(before))
     carry = carry.select(
-        *keys, _CHUNK, *[c for c in carry.columns if c.startswith(("__carry_", "__prev_carry"))]
+        *keys, _CHUNK, *[c for c in carry.columns if c.startswith("__carry_")]
     )
 
     within = Window.partitionBy(*keys, _CHUNK).orderBy(order)
@@ -74,8 +74,9 @@ def scan(
     upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = src
     if previous:
-        boxed = F.struct(*[F.col(f"__in_{n}").alias(n) for n in previous])
-        rows = rows.withColumn("__prev_near", F.lag(boxed).over(within))
+        rows = rows.withColumn("__first", F.row_number().over(within) == 1)
+    for name in previous:
+        rows = rows.withColumn(f"__near_{name}", F.lag(f"__in_{name}").over(within))
     for name in last:
         rows = rows.withColumn(
             f"__near_{name}", F.last(f"__in_{name}", ignorenulls=True).over(earlier)
@@ -85,9 +86,10 @@ def scan(
 
     rows = rows.join(carry, [*keys, _CHUNK], "left")
     out = [F.col(c) for c in df.columns]
-    if previous:
-        both = F.coalesce("__prev_near", "__prev_carry")
-        out += [both.getField(n).alias(n) for n in previous]
+    out += [
+        F.when(F.col("__first"), F.col(f"__carry_{n}")).otherwise(F.col(f"__near_{n}")).alias(n)
+        for n in previous
+    ]
     out += [F.coalesce(f"__near_{n}", f"__carry_{n}").alias(n) for n in last]
     out += [
         (F.coalesce(F.col(f"__near_{n}"), F.lit(0)) + F.coalesce(F.col(f"__carry_{n}"), F.lit(0))).alias(n)
