@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tidelog import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
@@ -34,12 +35,15 @@ def canonical(columns, rows):
     return sorted(tuple(one(r[i]) for i in order) for r in rows), [columns[i] for i in order]
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+catalog.load()
+
+
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, duck, name):
-    df = entry.queries()[name](spark, SF)
+    df = catalog.QUERIES[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
     assert rows, f"{name} gives no rows"
-    sql = entry.oracle_sql().get(name)
+    sql = catalog.ORACLES.get(name)
     if sql is None:
         return
     result = duck.execute(sql)
@@ -55,7 +59,7 @@ def test_entry(spark):
 
 
 def test_queries_without_sql_are_the_known_ones():
-    missing = set(entry.queries()) - set(entry.oracle_sql())
+    missing = set(catalog.QUERIES) - set(catalog.ORACLES)
     assert missing == {
         "scope_clauses", "chunk_texts", "risk_scan", "coalesce_signals", "batch_escalations",
         "stream_timers", "stream_replies",
