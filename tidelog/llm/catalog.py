@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tidelog.llm import chat, decontaminate, digest, language, mixing, quality, simhash, suffixes, url_filter  # noqa: F401
+from tidelog.llm import chat, decontaminate, digest, language, lines, mixing, quality, simhash, suffixes, url_filter  # noqa: F401
 from tidelog.llm.base import ORACLES, QUERIES  # noqa: F401
