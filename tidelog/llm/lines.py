@@ -188,10 +188,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
     n = F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long")
     left = F.coalesce(F.when(F.col("text").isNotNull(), F.size(kept)), F.lit(0)).cast("long")
+    new = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(text)
+    # In two steps: in one, a lambda's "text" would mean the new column.
+    met = met.withColumns({"__text": new, "__n": n, "__left": left})
     return met.select(
-        *[F.when(F.col("__gone").isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(c)
-          for c in docs.columns],
-        n.alias("n_lines"), (n - left).alias("n_removed"),
+        *[F.col("__text").alias("text") if c == "text" else F.col(c) for c in docs.columns],
+        F.col("__n").alias("n_lines"), (F.col("__n") - F.col("__left")).alias("n_removed"),
     )
 
 
