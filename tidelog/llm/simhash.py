@@ -57,15 +57,18 @@ def simhash(data: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` (the bits as a signed long)."""
+    """``doc_id, mark, fp``: the bits as a signed long, and a hash that tells texts of equal ids apart."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((simhash(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter((simhash(t.as_py(), shingle) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "mark", "fp"]
+            )
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
+    return marked.mapInArrow(run, f"doc_id {kind}, mark long, fp long")
 
 
 def cover_masks(radius: int = RADIUS, bits: int = BITS) -> np.ndarray:
@@ -150,7 +153,7 @@ def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def link_documents(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``doc_id, fp, component_id`` of every document; the component id is the least document id reachable."""
+    """``doc_id, mark, fp, component_id`` of every document; the component id is the least document id reachable."""
     fps = stage(fingerprints(docs, shingle))
     nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     roots = stage(components(near_links(nodes, radius)))
