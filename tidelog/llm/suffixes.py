@@ -12,8 +12,8 @@ that equal ones can meet, without sending every window anywhere:
    refinement (prefix doubling that sorts only groups not yet single), its common prefixes from Kasai's rule in its
    permuted form: a pair of neighbours that moved on by one together has one byte less in common. Neighbours with
    ``LENGTH`` bytes in common are a class of equal windows.
-4. A key with more text than a shard holds is split over several. Each of them sends a digest for each of its classes,
-   and sorted digests are merged by binary search: a class met in two shards is repeated.
+4. A key with more text than a shard holds is split over several. Each of them sends the sorted digests of its classes,
+   cut into ranges, and each range is merged by binary search: a class met in two shards is repeated.
 
 Texts move once by their id, for both cutting and removing; hot keys and hot copies are counted before they move.
 
@@ -40,6 +40,8 @@ GRAM = 32
 #: Longest run of windows kept in one region, and bytes of regions in a shard.
 MAX_RUN = 2048
 SHARD_BYTES = 2 << 20
+#: Most ranges that the digests of a split key are cut into; there are as many as it has shards.
+MAX_RANGES = 1 << 16
 _PIECE = 1 << 18
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -197,38 +199,47 @@ def intervals(flags: np.ndarray) -> tuple[list[int], list[int]]:
     return edges[::2].tolist(), edges[1::2].tolist()
 
 
-def _judge_shard(rows: list[tuple[int, bytes, int, int, bytes, bool]], length: int):
-    """``rows``: key, region id, copies, windows, bytes, whether the key is split over shards. Gives, for each region
-    with repeated windows, their intervals, and for split keys one digest a class."""
+def _judge_shard(rows: list[tuple[int, bytes, int, int, bytes, int]], length: int) -> Iterator[tuple]:
+    """``rows``: key, region id, copies, windows, bytes, shards of the key. Gives, for each region with repeated
+    windows, their intervals; for keys of several shards also the sorted digests of all classes, cut into ranges."""
     counts = np.array([r[3] for r in rows], np.int64)
     of = repeated_windows([r[4] for r in rows], counts, length)
     owner = np.repeat(np.arange(len(rows)), counts)
-    place = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+    bounds = np.cumsum(counts) - counts
+    place = np.arange(len(of)) - np.repeat(bounds, counts)
     copies = np.array([r[2] for r in rows], np.int64)
     _, dense = np.unique(of, return_inverse=True)
-    total = np.bincount(dense, weights=copies[owner])
-    twice = total[dense] >= 2
-    bounds = np.cumsum(counts) - counts
+    twice = np.bincount(dense, weights=copies[owner])[dense] >= 2
     for i, (key, rid, n, many, _, _) in enumerate(rows):
         flags = twice[bounds[i] : bounds[i] + many]
         if n == 1 and flags.any():
-            begins, ends = intervals(flags)
-            yield key, rid, begins, ends, None
-    split = np.array([r[5] for r in rows])
-    if split.any():
-        _, firsts = np.unique(dense, return_index=True)
-        for w in firsts[split[owner[firsts]]]:
-            key, rid, _, _, data, _ = rows[owner[w]]
-            at = int(place[w])
-            digest = xxhash.xxh128_digest(data[at : at + length])
-            # A class that is repeated already needs no answer, the other shards need its digest.
-            yield key, (None if twice[w] else rid), [at], [at + 1], digest
-
-
-_FOUND = "key long, rid binary, begins array<int>, ends array<int>, digest binary"
+            yield key, rid, *intervals(flags), None, None, None
+    parts = np.array([r[5] for r in rows])
+    if parts.max(initial=1) == 1:
+        return
+    _, firsts = np.unique(dense, return_index=True)
+    firsts = firsts[parts[owner[firsts]] > 1]
+    keys = np.array([r[0] for r in rows])[owner[firsts]]
+    for key in np.unique(keys):
+        own = firsts[keys == key]
+        texts = (rows[owner[w]][4][place[w] : place[w] + length] for w in own)
+        digests = np.frombuffer(b"".join(map(xxhash.xxh128_digest, texts)), "S16")
+        by = np.argsort(digests)
+        own, digests = own[by], digests[by]
+        n_ranges = min(int(parts[owner[own[0]]]), MAX_RANGES)
+        ranges = digests.view(np.uint8).reshape(-1, 16)[:, :2].astype(np.int64) @ np.array([256, 1]) * n_ranges >> 16
+        cuts = np.flatnonzero(np.diff(ranges)) + 1
+        for part in np.split(np.arange(len(own)), cuts):
+            # A class that is repeated already needs no answer; the other shards need its digest.
+            rids = b"".join(_NO_RID if twice[w] else rows[owner[w]][1] for w in own[part])
+            yield int(key), None, place[own[part]].tolist(), None, int(ranges[part[0]]), digests[part].tobytes(), rids
+
+
+_NO_RID = bytes(16)
+_FOUND = "key long, rid binary, begins array<int>, ends array<int>, range int, digests binary, rids binary"
 _FOUND_SCHEMA = pa.schema([
     ("key", pa.int64()), ("rid", pa.binary()), ("begins", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())),
-    ("digest", pa.binary()),
+    ("range", pa.int32()), ("digests", pa.binary()), ("rids", pa.binary()),
 ])
 
 
@@ -241,7 +252,7 @@ def _found_batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 def shard_results(regions: DataFrame, length: int) -> DataFrame:
-    """Judge every shard of ``shard, key, rid, copies, windows, region, split``."""
+    """Judge every shard of ``shard, key, rid, copies, windows, region, parts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, rows = None, []
@@ -255,41 +266,42 @@ def shard_results(regions: DataFrame, length: int) -> DataFrame:
         if rows:
             yield from _found_batches(list(_judge_shard(rows, length)))
 
-    dealt = regions.select("shard", "key", "rid", "copies", "windows", "region", "split")
+    dealt = regions.select("shard", "key", "rid", "copies", "windows", "region", "parts")
     return dealt.repartition("shard").sortWithinPartitions("shard", "key", "rid").mapInArrow(run, _FOUND)
 
 
-def merge_shards(found: DataFrame) -> DataFrame:
-    """Windows whose digest two shards have: sorted digests, merged by binary search."""
+def _merge(key: int, held: list[tuple[list[int], bytes, bytes]]) -> Iterator[tuple]:
+    """``held``: offsets, sorted digests and region ids of one range of a key, from each of its shards."""
+    sorted_digests = np.sort(np.concatenate([np.frombuffer(d, "S16") for _, d, _ in held]))
+    hits: dict[bytes, list[int]] = {}
+    for offsets, digests, rids in held:
+        mine = np.frombuffer(digests, "S16")
+        many = np.searchsorted(sorted_digests, mine, "right") - np.searchsorted(sorted_digests, mine, "left")
+        for i in np.flatnonzero(many >= 2):
+            rid = rids[16 * i : 16 * i + 16]
+            if rid != _NO_RID:
+                hits.setdefault(rid, []).append(offsets[i])
+    for rid, begins in hits.items():
+        yield key, rid, begins, [b + 1 for b in begins], None, None, None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
 
-        def flush(whole: pa.Table) -> pa.RecordBatch:
-            digests = np.array(whole.column("digest").to_pylist(), dtype="S17")
-            many = np.searchsorted(digests, digests, "right") - np.searchsorted(digests, digests, "left")
-            keep = pa.array(many >= 2)
-            kept = whole.filter(keep)
-            return kept.filter(kept.column("rid").is_valid()).combine_chunks()
+def merge_shards(found: DataFrame) -> DataFrame:
+    """Windows whose digest two shards of a key have: sorted digests, merged by binary search."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            # Equal digests that cross a batch wait for the rest of them.
-            last = batch.column(4)[batch.num_rows - 1]
-            tail = batch.num_rows - 1
-            while tail > 0 and batch.column(4)[tail - 1] == last:
-                tail -= 1
-            held.append(batch.slice(0, tail))
-            if tail > 0:
-                yield from flush(pa.Table.from_batches(held)).to_batches()
-                held = []
-            held.append(batch.slice(tail))
+            for key, part, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (key, part) != at and held:
+                    yield from _found_batches(list(_merge(at[0], held)))
+                    held = []
+                at = key, part
+                held.append(tuple(row))
         if held:
-            yield from flush(pa.Table.from_batches(held)).to_batches()
+            yield from _found_batches(list(_merge(at[0], held)))
 
-    digests = found.filter(F.col("digest").isNotNull()).withColumn("digest", F.concat("digest", F.lit(b"\x01")))
-    return digests.repartition("digest").sortWithinPartitions("digest").mapInArrow(run, _FOUND)
+    ranges = found.filter(F.col("range").isNotNull()).select("key", "range", "begins", "digests", "rids")
+    return ranges.repartition("key", "range").sortWithinPartitions("key", "range").mapInArrow(run, _FOUND)
 
 
 # --- the whole ----------------------------------------------------------------------------------------------------
@@ -367,9 +379,9 @@ def remove_repeats(
     salt = F.pmod(F.xxhash64("rid"), F.col("parts"))
     # A split key's parts are shards of their own; the others share shards by a hash of the key.
     shard = F.when(F.col("parts") > 1, F.xxhash64("key", salt)).otherwise(F.pmod(F.xxhash64("key"), F.lit(n_shards)))
-    placed = placed.withColumn("shard", shard).withColumn("split", F.col("parts") > 1)
+    placed = placed.withColumn("shard", shard)
     judged = stage(shard_results(placed, length))
-    parts = judged.filter(F.col("digest").isNull()).select("key", "rid", "begins", "ends")
+    parts = judged.filter(F.col("range").isNull()).select("key", "rid", "begins", "ends")
     merged = merge_shards(judged).select("key", "rid", "begins", "ends")
     whole = kinds.filter("copies > 1").select(
         "key", "rid", F.array(F.lit(0)).alias("begins"), F.array("windows").alias("ends")
