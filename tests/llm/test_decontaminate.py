@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import plain
 import pytest
 
 from tidelog.llm import decontaminate as D
@@ -10,17 +11,6 @@ from tidelog.llm import decontaminate as D
 SF = "/root/testdata/sf0.001"
 
 
-def plain_edits(item, text):
-    """Least edits of the item against any part of the text."""
-    row = [0] * (len(text) + 1)
-    for i, c in enumerate(item, 1):
-        new = [i]
-        for j, d in enumerate(text, 1):
-            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
-        row = new
-    return min(row)
-
-
 def test_gram_hashes_tell_grams_apart():
     text = "".join(random.Random(1).choice("abcdé ") for _ in range(4000))
     for q in (1, 2, 3, 7, 8, 10, 13):
@@ -53,7 +43,7 @@ def test_every_match_within_the_budget_is_found():
         i = rng.randrange(len(items))
         changed = edit(rng, items[i], rng.randint(0, int(index.budget[i]) + 4))
         doc = rng.choice(["", text(30) + " "]) + changed + rng.choice(["", " " + text(30)])
-        want = {k: e for k, t in enumerate(items) if (e := plain_edits(t, D.normalize(doc))) <= index.budget[k]}
+        want = {k: e for k, t in enumerate(items) if (e := plain.edits(t, D.normalize(doc))) <= index.budget[k]}
         assert index.find(doc) == want
 
 

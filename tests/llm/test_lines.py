@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import plain
 import pytest
 
 from tidelog.llm import lines as L
@@ -13,22 +14,6 @@ SF = "/root/testdata/sf0.001"
 
 
 
-def token_set(line):
-    w = [x for x in line.replace("\t", " ").split(" ") if x]
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-
-def plain(rows):
-    placed = [(i, no, line) for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)) if t is not None
-              for no, line in enumerate(t.split("\n"))]
-    sets = [token_set(line) for _, _, line in placed]
-    out = {i: None if t is None else [] for i, t in rows}
-    for k, (i, _, line) in enumerate(placed):
-        if not any(sets[k] and len(sets[k] & s) * 9 >= 4 * (len(sets[k]) + len(s)) for s in sets[:k]):
-            out[i].append(line)
-    return {i: None if ls is None else "\n".join(ls) for i, ls in out.items()}
-
-
 @pytest.mark.parametrize("seed", range(2))
 def test_against_all_pairs(spark, seed):
     rng = random.Random(seed)
@@ -47,7 +32,7 @@ def test_against_all_pairs(spark, seed):
         rows.append((i, "\n".join(text)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     got = {r["doc_id"]: r["text"] for r in L.dedup_lines(docs).collect()}
-    assert got == plain(rows)
+    assert got == plain.lines(rows)
 
 
 def test_odd_rows(spark):
@@ -56,7 +41,7 @@ def test_odd_rows(spark):
     out = L.dedup_lines(docs)
     assert out.columns == ["doc_id", "text", "no", "n", "n_lines", "n_removed"]
     got = {r["doc_id"]: r["text"] for r in out.collect()}
-    assert got == plain(rows)
+    assert got == plain.lines(rows)
     assert got[4] == "a b\n \nA b" and got[None] == "c" and got[1] is None
     assert L.dedup_lines(docs.limit(0)).collect() == []
 

@@ -1,10 +1,8 @@
 """SimHash groups against brute force over all pairs."""
 
-import re
-
 import numpy as np
+import plain
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from tidelog.llm import simhash as S
@@ -13,37 +11,12 @@ from tidelog.llm.base import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-def plain_fingerprint(text):
-    text = "" if text is None else re.sub("[A-Z]", lambda m: m[0].lower(), text)
-    words = re.findall(r"[^\x20\x09-\x0D]+", text)
-    if not words:
-        return 0
-    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
-    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
-def plain_components(fps, radius=4):
-    root = list(range(len(fps)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(fps)):
-        for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= radius:
-                root[max(find(i), find(j))] = min(find(i), find(j))
-    return [find(i) for i in range(len(fps))]
-
-
 def check(spark, rows):
     rows = sorted(rows, key=lambda r: r[0])
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = {r["doc_id"]: (r["fp"] % 2**64, r["component_id"]) for r in S.link_documents(docs).collect()}
-    fps = [plain_fingerprint(t) for _, t in rows]
-    comps = plain_components(fps)
+    fps = [plain.fingerprint(t) for _, t in rows]
+    comps = plain.components(fps)
     want = {r[0]: (f, rows[c][0]) for r, f, c in zip(rows, fps, comps, strict=True)}
     assert got == want
 
@@ -93,7 +66,7 @@ def test_large_ball_has_a_spanning_forest():
     assert len(links) < len(members)
     assert all((a ^ b).bit_count() <= 4 for a, b in links)
     small = members[::7]
-    roots = plain_components([int(x) for x in small])
+    roots = plain.components([int(x) for x in small])
     assert len(small) - len(S.spanning_links(small)) == len(set(roots))
 
 

@@ -46,15 +46,16 @@ def _order_id(doc_id: Column) -> Column:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """``did, no, line`` of every line with words; ``did`` orders the documents."""
-    split = docs.select(_order_id(F.col("doc_id")).alias("did"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    split = docs.select(_order_id(F.col("doc_id")).alias("did"), F.posexplode_outer(F.split("text", "\n")).alias("no", "line"))
     return split.filter(F.length(F.btrim("line", F.lit(_BLANK_CHARS))) > 0)
 
 
-def tokens_of(line: Column, shingle: int = SHINGLE) -> Column:
-    """Hashes of the line's shingles, repeats included."""
-    words = F.split(F.btrim(line, F.lit(_BLANK_CHARS)), BLANKS)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (shingle - 1)))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, shingle)))
+def with_tokens(lines: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """Add ``tokens``, the hashes of each line's shingles, repeats included. The words are a column of their own first:
+    within the lambda, an expression would be computed for every shingle."""
+    split = lines.withColumn("words", F.split(F.btrim("line", F.lit(_BLANK_CHARS)), BLANKS))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - (shingle - 1)))
+    return split.withColumn("tokens", F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, shingle)))).drop("words")
 
 
 def _bucket(token: Column) -> Column:
@@ -63,7 +64,9 @@ def _bucket(token: Column) -> Column:
 
 def rarity_levels(lines: DataFrame) -> DataFrame:
     """One row with the rarity level of every bucket: a table of fixed size."""
-    counts = lines.select(F.explode(tokens_of(F.col("line"))).alias("t")).groupBy(_bucket(F.col("t")).alias("b")).count()
+    # Outer, as a plain explode adds a filter on the array's size, for which all of it is computed once more, and
+    # word by word. No line's tokens are empty.
+    counts = with_tokens(lines).select(F.explode_outer("tokens").alias("t")).groupBy(_bucket(F.col("t")).alias("b")).count()
     every = lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
     level = F.least(F.lit(127), F.floor(4 * F.log2(1 + F.coalesce("count", F.lit(0))))).cast("tinyint")
     return every.join(counts, "b", "left").agg(
@@ -79,9 +82,8 @@ def _needed(n: Column) -> Column:
 
 def prefixes(lines: DataFrame, levels: DataFrame) -> DataFrame:
     """``code, did, no, n, pos``: the rarest tokens of every line, with their place in its order."""
-    marked = lines.select("did", "no", F.array_distinct(tokens_of(F.col("line"))).alias("tokens")).withColumn(
-        "levels", levels.scalar()
-    )
+    marked = with_tokens(lines).select("did", "no", F.array_distinct("tokens").alias("tokens"))
+    marked = marked.withColumn("levels", levels.scalar())
 
     def code(t: Column) -> Column:
         level = F.get("levels", _bucket(t)).cast("long")
@@ -157,10 +159,8 @@ def later_matches(docs: DataFrame) -> DataFrame:
     texts = docs.select(_order_id(F.col("doc_id")).alias("did"), "text")
     picked = texts.join(wanted, F.col("did") == F.col("w")).withColumn("lines", F.split("text", "\n"))
     picked = picked.select("did", F.explode(F.transform("nos", lambda i: F.struct(i.alias("no"), F.get("lines", i).alias("line")))).alias("x"))
-    sets = stage(
-        picked.select("did", "x.no", "x.line").filter(F.col("line").isNotNull())
-        .select("did", "no", F.xxhash64("line").alias("h"), F.array_distinct(tokens_of(F.col("line"))).alias("tokens"))
-    )
+    picked = with_tokens(picked.select("did", "x.no", "x.line").filter(F.col("line").isNotNull()))
+    sets = stage(picked.select("did", "no", F.xxhash64("line").alias("h"), F.array_distinct("tokens").alias("tokens")))
     leaders = posted.filter((F.col("did") != F.col("first.did")) | (F.col("no") != F.col("first.no"))).filter(
         _may_match(F.col("first.n"), F.col("first.pos"), F.col("n"), F.col("pos"))
     ).select(F.col("first.did").alias("a_did"), F.col("first.no").alias("a_no"), F.col("did").alias("b_did"), F.col("no").alias("b_no"))
@@ -180,14 +180,17 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents without their later matches; adds ``n_lines`` and ``n_removed``."""
     gone = later_matches(docs).distinct().groupBy(F.col("did").alias("__did")).agg(F.collect_list(F.struct("no", "h")).alias("__gone"))
     met = docs.join(gone, _order_id(docs["doc_id"]) == F.col("__did"), "left")
-    lines = F.split("text", "\n")
-    every = F.sequence(F.lit(0), F.size(lines) - 1)
+    # Each array that a lambda reads is a column of its own first, as above.
+    met = met.withColumn("__lines", F.split("text", "\n"))
+    every = F.sequence(F.lit(0), F.size("__lines") - 1)
     # Rows that share an id share the list; the hash tells whose line it is.
-    own = F.transform(F.filter("__gone", lambda g: F.xxhash64(F.get(lines, g["no"])) == g["h"]), lambda g: g["no"])
-    kept = F.array_except(every, F.coalesce(own, F.array().cast("array<int>")))
-    text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    n = F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long")
-    left = F.coalesce(F.when(F.col("text").isNotNull(), F.size(kept)), F.lit(0)).cast("long")
+    own = F.transform(
+        F.filter("__gone", lambda g: F.xxhash64(F.get("__lines", g["no"])) == g["h"]), lambda g: g["no"]
+    )
+    met = met.withColumn("__kept", F.array_except(every, F.coalesce(own, F.array().cast("array<int>"))))
+    text = F.array_join(F.transform("__kept", lambda i: F.get("__lines", i)), "\n")
+    n = F.coalesce(F.when(F.col("text").isNotNull(), F.size("__lines")), F.lit(0)).cast("long")
+    left = F.coalesce(F.when(F.col("text").isNotNull(), F.size("__kept")), F.lit(0)).cast("long")
     new = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(text)
     # In two steps: in one, a lambda's "text" would mean the new column.
     met = met.withColumns({"__text": new, "__n": n, "__left": left})
