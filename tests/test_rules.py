@@ -402,3 +402,33 @@ def test_links(spark):
         ("extra", "b.md", "b.md"), ("unclassified", "a/y.md", "a/y.md"),
         ("unresolved-anchor", "a/x.md", "#one-2"), ("unresolved-anchor", "a/x.md", "y.md#three"),
         ("unresolved-link", "a/y.md", "<z w.md> \"t\"")]
+
+
+def test_names_are_found_anywhere_in_a_text(spark):
+    from tidelog.operators import audits
+
+    names = spark.createDataFrame([("fm-x.sh",), ("x.sh",), ("q",), ("",)], "name string")
+    texts = spark.createDataFrame(
+        [(1, "see fm-x.sh."), (2, "my-fm-x.sh"), (3, "x_sh\nfm-x"), (4, None), (5, "q")], "test long, text string")
+    got = sorted((r["name"], r["test"]) for r in audits.tests_referencing(names, texts).collect())
+    assert got == [("fm-x.sh", 1), ("fm-x.sh", 2), ("q", 5), ("x.sh", 1), ("x.sh", 2)]
+
+
+def test_a_stray_percent_sign_in_a_link_is_itself(spark):
+    from tidelog.operators import audits
+
+    pages = spark.createDataFrame([("a.md", "[x](b.md#50%off) [y](b.md#a%20b+c)")], "path string, text string")
+    assert sorted(r["fragment"] for r in audits.page_links(pages).collect()) == ["50%off", "a b+c"]
+
+
+def test_terminal_events_are_judged_before_repeats_go(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidelog.streaming import jobs
+
+    rows = [("e1", -1), ("e1", 5), ("e2", 7), ("e2", 7), ("e3", -2)]
+    df = spark.createDataFrame(rows, "event_id string, size int")
+    jobs.consume_events({"size": F.col("size") < 0}, str(tmp_path))(df, 0)
+    accepted = sorted(r["event_id"] for r in spark.read.parquet(f"{tmp_path}/accepted").collect())
+    refused = sorted(r["event_id"] for r in spark.read.parquet(f"{tmp_path}/rejected").collect())
+    assert accepted == ["e1", "e2"] and refused == ["e1", "e3"]

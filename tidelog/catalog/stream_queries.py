@@ -187,7 +187,8 @@ def offer_once(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("consume_events", f"""
-WITH {EVENTS_SQL} SELECT n, event_id, coalesce(reason, 'accepted') AS outcome FROM f""")
+WITH {EVENTS_SQL} SELECT n, event_id, coalesce(reason, 'accepted') AS outcome FROM f
+UNION ALL SELECT n, event_id, reason FROM f WHERE reason IS NOT NULL AND n % 3 = 0""")
 def consume_events(spark: SparkSession, sf: str) -> DataFrame:
     events = terminal_events(spark, sf)
     twice = events.unionByName(events.filter("n % 3 = 0"))

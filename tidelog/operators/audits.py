@@ -177,16 +177,21 @@ def impacted_families(paths: DataFrame, rules: Sequence[tuple[str, Sequence[str]
 
 
 def tests_referencing(names: DataFrame, tests: DataFrame) -> DataFrame:
-    """Tests whose text mentions a changed file name: words of the text equi-joined with the names.
+    """Tests whose text holds a name anywhere, letter by letter: ``name, test``.
 
-    ``names``: ``name`` made of word characters, dots and dashes; ``tests``: ``test, text``."""
-    words = tests.select("test", F.explode(F.array_distinct(
-        F.regexp_extract_all("text", F.lit("([A-Za-z0-9._-]+)"), 1))).alias("name"))
-    return words.join(names.select("name").distinct(), "name").select("name", "test")
+    ``names``: ``name``; ``tests``: ``test, text``. Candidates share the name's first characters (three, or all of a
+    shorter name), by an equi-join with the distinct short strings of each text; containment then decides."""
+    grams = F.concat(*[
+        F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{k}}}))"), 1)) for k in (1, 2, 3)])
+    held = tests.select("test", F.explode(grams).alias("gram"))
+    wanted = names.select("name").distinct().filter(F.length("name") > 0).withColumn("gram", F.substring("name", 1, 3))
+    pairs = held.join(wanted, "gram").select("name", "test")
+    return pairs.join(tests, "test").filter(F.col("text").contains(F.col("name"))).select("name", "test")
 
 
 # --- links -----------------------------------------------------------------------------------
 
+# The shapes of links, headings and anchors.
 MARKDOWN_LINK = r"!?\[[^\]]*\]\(([^)]+)\)"
 HTML_LINK = r"""(?i)\b(?:href|src)=["']([^"']+)["']"""
 HEADING = r"(?m)^#{1,6}[ \t]+(.+?)[ \t]*#*[ \t]*$"
@@ -207,9 +212,11 @@ def page_links(pages: DataFrame) -> DataFrame:
     value = F.element_at(F.split(value, r"\s+"), 1)
     rows = rows.withColumn("__v", value)
     before_fragment = F.substring_index("__v", "#", 1)
+    anchor = F.regexp_replace("__v", "^[^#]*#", "")
+    # A fragment with a stray percent sign stands for itself.
+    clear = F.coalesce(F.try_url_decode(F.regexp_replace(anchor, r"\+", "%2B")), anchor)
     rows = rows.withColumn("__p", F.substring_index(before_fragment, "?", 1)).withColumn(
-        "fragment", F.when(F.col("__v").contains("#"),
-                           F.url_decode(F.regexp_replace(F.regexp_replace("__v", "^[^#]*#", ""), r"\+", "%2B"))))
+        "fragment", F.when(F.col("__v").contains("#"), clear))
     folder = F.regexp_replace("path", "[^/]*$", "")
     decoded = F.try_url_decode(F.regexp_replace("__p", r"\+", "%2B"))
     joined = F.concat(folder, F.coalesce(decoded, F.col("__p")))

@@ -127,16 +127,17 @@ def risk_terms(scoped: DataFrame) -> DataFrame:
 
 
 def chunk_texts(documents: DataFrame, limit: int, cap: int) -> DataFrame:
-    """``doc_id, k, n, chunk``: numbered chunks of at most ``limit`` characters."""
+    """``doc_id, k, n, lost, chunk``: numbered chunks of at most ``limit`` characters; ``lost`` counts
+    the chunks that ``cap`` leaves out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                pieces = briefs.chunk(text or "", limit, cap)
-                rows += [(doc, k, len(pieces), p) for k, p in enumerate(pieces, 1)]
-            yield pd.DataFrame(rows, columns=["doc_id", "k", "n", "chunk"])
+                pieces, lost = briefs.cut(text or "", limit, cap)
+                rows += [(doc, k, len(pieces), lost, p) for k, p in enumerate(pieces, 1)]
+            yield pd.DataFrame(rows, columns=["doc_id", "k", "n", "lost", "chunk"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return spread(documents.select("doc_id", "text")).mapInPandas(
-        run, f"doc_id {kind}, k long, n long, chunk string")
+        run, f"doc_id {kind}, k long, n long, lost long, chunk string")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``). Only where the session names none,
-    as in tests, a temporary folder becomes the setting."""
+    """The cluster's shared folder (``spark.checkpoint.dir``). Only where a local session names none, as in tests, a
+    temporary folder becomes the setting; on a cluster that folder would be the driver's alone."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tidelog-")
         spark.conf.set("spark.checkpoint.dir", base)
     if not spark.sparkContext.getCheckpointDir():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators import ordered
@@ -34,21 +34,25 @@ def read_lines(spark: SparkSession, path: str, **options) -> DataFrame:
     )
 
 
+def _task_of(file: Column) -> Column:
+    """The task a file name stands for; a plus sign is no blank here."""
+    stem = F.regexp_extract(file, r"([^/]+?)(?:\.[^./]*)?$", 1)
+    return F.coalesce(F.try_url_decode(F.regexp_replace(stem, r"\+", "%2B")), stem)
+
+
 def read_status_logs(spark: SparkSession, path: str) -> DataFrame:
     """Status logs, one file per task: ``task, seq, line``; blank lines are dropped after
     numbering, so ``seq`` is the line's place in its file."""
-    stem = F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1)
     return read_lines(spark, path, pathGlobFilter="*.status").filter(
         F.col("line").rlike(r"\S")
-    ).select(F.url_decode(stem).alias("task"), F.col("line_no").alias("seq"), "line")
+    ).select(_task_of(F.col("file")).alias("task"), F.col("line_no").alias("seq"), "line")
 
 
 def read_kv(spark: SparkSession, path: str, glob: str = "*.meta") -> DataFrame:
     """``key=value`` files as a long table ``task, seq, k, v``."""
-    stem = F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1)
     at = F.instr("line", "=")
     return read_lines(spark, path, pathGlobFilter=glob).filter(at > 1).select(
-        F.url_decode(stem).alias("task"),
+        _task_of(F.col("file")).alias("task"),
         F.col("line_no").alias("seq"),
         F.substring(F.col("line"), F.lit(1), at - 1).alias("k"),
         F.substring(F.col("line"), at + 1, F.length("line")).alias("v"),

@@ -97,16 +97,16 @@ def offer_once(requests: DataFrame, ttl: str = "7 days", event_time: str = "even
 
 def consume_events(rules_of: Mapping[str, Column], out: str) -> BatchFn:
     """Terminal events: each id accepted once, refusals kept with their reason. Ids consumed by an
-    earlier batch are dropped; repeats inside a batch count once."""
+    earlier batch are dropped; accepted repeats inside a batch count once, refusals all stand."""
 
     def run(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         done = read_before(spark, f"{out}/accepted", batch_id)
-        once = df.dropDuplicates(["event_id"])
-        ledger = done if done is not None else once.filter(F.lit(False))
-        accepted, rejected = ledgers.split_quarantine(once, rules_of, ledger.select("event_id"))
+        ledger = done if done is not None else df.filter(F.lit(False))
+        accepted, rejected = ledgers.split_quarantine(df, rules_of, ledger.select("event_id"))
+        # Rows are judged before repeats go, so a bad row never hides a good one of the same id.
         write_batch(rejected, f"{out}/rejected", batch_id)
-        write_batch(accepted, f"{out}/accepted", batch_id)
+        write_batch(accepted.dropDuplicates(["event_id"]), f"{out}/accepted", batch_id)
 
     return run
 
