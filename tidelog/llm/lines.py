@@ -26,10 +26,12 @@ table gives an empty result; other columns are kept.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.base import BLANKS, query, stage, table
+from tidelog.llm.base import query, stage, table
 
 SHINGLE = 5
 #: Similarity as a fraction of whole numbers, so that bounds are exact.
@@ -50,28 +52,39 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return split.filter(F.length(F.btrim("line", F.lit(_BLANK_CHARS))) > 0)
 
 
-def with_tokens(lines: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Add ``tokens``, the hashes of each line's shingles, repeats included. The words are a column of their own first:
-    within the lambda, an expression would be computed for every shingle."""
-    split = lines.withColumn("words", F.split(F.btrim("line", F.lit(_BLANK_CHARS)), BLANKS))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - (shingle - 1)))
-    return split.withColumn("tokens", F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, shingle)))).drop("words")
+def with_shingles(lines: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """Add ``shingles``, repeats included: structs of word hashes, to be hashed into tokens by ``token_of``. The array
+    that others are cut from is a column of its own first, or it would be computed for each of them."""
+    other = _BLANK_CHARS.replace(" ", "")
+    # Splitting at one character needs no regular expression, so the rare other blanks become spaces before.
+    odd = reduce(lambda x, y: x | y, (F.contains("line", F.lit(c)) for c in other))
+    plain = F.when(odd, F.translate("line", other, " " * len(other))).otherwise(F.col("line"))
+    hashes = F.transform(F.split(plain, " "), lambda w: F.xxhash64(w))
+    words = lines.withColumn("words", F.array_remove(hashes, F.xxhash64(F.lit(""))))
+    shifted = [F.slice("words", k + 1, F.greatest(F.lit(0), F.size("words") - k)) for k in range(1, shingle)]
+    # The last places have shorter sequences; a line shorter than a shingle has one, at its start.
+    full = F.greatest(F.lit(1), F.size("words") - (shingle - 1))
+    return words.withColumn("shingles", F.slice(F.arrays_zip("words", *shifted), F.lit(1), full)).drop("words")
+
+
+def token_of(shingle: Column) -> Column:
+    return F.xxhash64(shingle)
 
 
 def _bucket(token: Column) -> Column:
-    return F.pmod(token, F.lit(BUCKETS)).cast("int")
+    return token.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def rarity_levels(lines: DataFrame) -> DataFrame:
-    """One row with the rarity level of every bucket: a table of fixed size."""
-    # Outer, as a plain explode adds a filter on the array's size, for which all of it is computed once more, and
-    # word by word. No line's tokens are empty.
-    counts = with_tokens(lines).select(F.explode_outer("tokens").alias("t")).groupBy(_bucket(F.col("t")).alias("b")).count()
+    """One row with the rarity level of every bucket, in the top bits of a long: a table of fixed size."""
+    # Outer, as a plain explode adds a filter on the array's size, for which all of it is computed once more. No line
+    # is without shingles.
+    tokens = with_shingles(lines).select(F.explode_outer("shingles").alias("s")).select(token_of(F.col("s")).alias("t"))
+    counts = tokens.groupBy(_bucket(F.col("t")).alias("b")).count()
     every = lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
-    level = F.least(F.lit(127), F.floor(4 * F.log2(1 + F.coalesce("count", F.lit(0))))).cast("tinyint")
-    return every.join(counts, "b", "left").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("b", level.alias("level")))), lambda x: x["level"]).alias("levels")
-    )
+    level = F.least(F.lit(127), F.floor(4 * F.log2(1 + F.coalesce("count", F.lit(0))))).cast("long")
+    rows = F.sort_array(F.collect_list(F.struct("b", F.shiftleft(level, 55).alias("level"))))
+    return every.join(counts, "b", "left").agg(F.transform(rows, lambda x: x["level"]).alias("levels"))
 
 
 def _needed(n: Column) -> Column:
@@ -82,14 +95,13 @@ def _needed(n: Column) -> Column:
 
 def prefixes(lines: DataFrame, levels: DataFrame) -> DataFrame:
     """``code, did, no, n, pos``: the rarest tokens of every line, with their place in its order."""
-    marked = with_tokens(lines).select("did", "no", F.array_distinct("tokens").alias("tokens"))
-    marked = marked.withColumn("levels", levels.scalar())
+    marked = with_shingles(lines).withColumn("levels", levels.scalar())
 
     def code(t: Column) -> Column:
-        level = F.get("levels", _bucket(t)).cast("long")
-        return F.shiftleft(level, 55).bitwiseOR(F.shiftrightunsigned(t, 9))
+        return F.get("levels", _bucket(t)).bitwiseOR(F.shiftrightunsigned(t, 9))
 
-    coded = marked.select("did", "no", F.sort_array(F.transform("tokens", code)).alias("codes"))
+    tokens = F.array_distinct(F.transform("shingles", token_of))
+    coded = marked.select("did", "no", F.sort_array(F.transform(tokens, code)).alias("codes"))
     sized = coded.withColumn("n", F.size("codes"))
     own = F.slice("codes", 1, F.col("n") - _needed(F.col("n")) + 1)
     return sized.select("did", "no", "n", F.posexplode(own).alias("pos", "code"))
@@ -97,7 +109,7 @@ def prefixes(lines: DataFrame, levels: DataFrame) -> DataFrame:
 
 def exact_repeats(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines equal to an earlier one (``did, no, h``), and the first copies of very frequent lines (``h1, h2, did, no``)."""
-    hashed = lines.select("did", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    hashed = stage(lines.select("did", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")))
     groups = hashed.groupBy("h1", "h2").agg(F.min(F.struct("did", "no")).alias("first"), F.count("*").alias("copies"))
     groups = stage(groups.filter("copies > 1").select(
         F.col("h1").alias("g1"), F.col("h2").alias("g2"), "copies", F.col("first.did").alias("did0"), F.col("first.no").alias("no0")
@@ -133,15 +145,17 @@ def _may_match(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (``a_did, a_no, b_did, b_no``) whose token sets are similar; gives the later lines, once each."""
+    """Pairs (``a_did, a_no, b_did, b_no``) whose token sets are similar; gives the later lines, once each. Both sides
+    read the same columns of ``sets`` (a line's hash, then its tokens, in one array), so they share one exchange."""
     top, bottom = SIMILAR
-    a = sets.select(F.col("did").alias("a_d"), F.col("no").alias("a_o"), F.col("tokens").alias("a_set"))
-    b = sets.select(F.col("did").alias("b_d"), F.col("no").alias("b_o"), F.col("tokens").alias("b_set"), "h")
+    a = sets.select(F.col("did").alias("a_d"), F.col("no").alias("a_o"), F.col("body").alias("a_body"))
+    b = sets.select(F.col("did").alias("b_d"), F.col("no").alias("b_o"), F.col("body").alias("b_body"))
     met = pairs.join(a, (F.col("a_did") == F.col("a_d")) & (F.col("a_no") == F.col("a_o"))).drop("a_d", "a_o")
     met = met.join(b, (F.col("b_did") == F.col("b_d")) & (F.col("b_no") == F.col("b_o"))).drop("b_d", "b_o")
-    shared = F.size(F.array_intersect("a_set", "b_set"))
-    alike = shared * (top + bottom) >= (F.size("a_set") + F.size("b_set")) * top
-    return met.filter(alike).select(F.col("b_did").alias("did"), F.col("b_no").alias("no"), "h").distinct()
+    n_a, n_b = F.size("a_body") - 1, F.size("b_body") - 1
+    shared = F.size(F.array_intersect(F.slice("a_body", F.lit(2), n_a), F.slice("b_body", F.lit(2), n_b)))
+    alike = shared * (top + bottom) >= (n_a + n_b) * top
+    return met.filter(alike).select(F.col("b_did").alias("did"), F.col("b_no").alias("no"), F.col("b_body")[0].alias("h")).distinct()
 
 
 def later_matches(docs: DataFrame) -> DataFrame:
@@ -159,8 +173,9 @@ def later_matches(docs: DataFrame) -> DataFrame:
     texts = docs.select(_order_id(F.col("doc_id")).alias("did"), "text")
     picked = texts.join(wanted, F.col("did") == F.col("w")).withColumn("lines", F.split("text", "\n"))
     picked = picked.select("did", F.explode(F.transform("nos", lambda i: F.struct(i.alias("no"), F.get("lines", i).alias("line")))).alias("x"))
-    picked = with_tokens(picked.select("did", "x.no", "x.line").filter(F.col("line").isNotNull()))
-    sets = stage(picked.select("did", "no", F.xxhash64("line").alias("h"), F.array_distinct("tokens").alias("tokens")))
+    picked = with_shingles(picked.select("did", "x.no", "x.line").filter(F.col("line").isNotNull()))
+    body = F.concat(F.array(F.xxhash64("line")), F.array_distinct(F.transform("shingles", token_of)))
+    sets = stage(picked.select("did", "no", body.alias("body")))
     leaders = posted.filter((F.col("did") != F.col("first.did")) | (F.col("no") != F.col("first.no"))).filter(
         _may_match(F.col("first.n"), F.col("first.pos"), F.col("n"), F.col("pos"))
     ).select(F.col("first.did").alias("a_did"), F.col("first.no").alias("a_no"), F.col("did").alias("b_did"), F.col("no").alias("b_no"))
