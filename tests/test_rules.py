@@ -432,3 +432,18 @@ def test_terminal_events_are_judged_before_repeats_go(spark, tmp_path):
     accepted = sorted(r["event_id"] for r in spark.read.parquet(f"{tmp_path}/accepted").collect())
     refused = sorted(r["event_id"] for r in spark.read.parquet(f"{tmp_path}/rejected").collect())
     assert accepted == ["e1", "e2"] and refused == ["e1", "e3"]
+
+
+def test_backlogs_of_two_homes_do_not_mix(spark):
+    from tidelog.operators import joins
+    from tidelog.sources.backlog import with_roles
+
+    rows = spark.createDataFrame(
+        [("h1", 1, "a", "queued", ["zz"]), ("h2", 1, "a", "done", []), ("h2", 2, "zz", "done", [])],
+        "home string, seq long, id string, state string, blocked_by_ids array<string>",
+    ).selectExpr("*", "true AS structured", "'ship' AS kind", "cast(null AS string) AS hold_reason", "cast(null AS string) AS hold_kind")
+    got = {(r["home"], r["id"]): r["unresolved"] for r in with_roles(rows, ["home"]).collect()}
+    assert got == {("h1", "a"): ["zz"], ("h2", "a"): [], ("h2", "zz"): []}
+    tasks = spark.createDataFrame([("h1", "a"), ("h2", "a"), ("h3", "a")], "home string, id string")
+    attached = joins.attach_backlog(tasks, rows.select("home", "id", "seq", "structured", "state"), ["home"])
+    assert {r["home"]: r["backlog_state"] for r in attached.collect()} == {"h1": "queued", "h2": "done", "h3": None}

@@ -15,12 +15,14 @@ from tidelog.functions import text as tx
 from tidelog.operators import ordered
 
 
-def attach_backlog(tasks: DataFrame, backlog: DataFrame) -> DataFrame:
-    """Every task with its first structured backlog row, columns prefixed ``backlog_``."""
-    cols = [c for c in backlog.columns if c not in ("id", "seq", "structured")]
-    first = ordered.earliest(backlog.filter("structured"), ["id"], "seq", ["seq", *cols])
-    named = first.select("id", *[F.col(c).alias(f"backlog_{c}") for c in ["seq", *cols]])
-    return tasks.join(named, "id", "left")
+def attach_backlog(tasks: DataFrame, backlog: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Every task with its first structured backlog row, columns prefixed ``backlog_``. ``scope``
+    names the columns that tell several backlogs apart; an id counts within them."""
+    keys = [*scope, "id"]
+    cols = [c for c in backlog.columns if c not in (*keys, "seq", "structured")]
+    first = ordered.earliest(backlog.filter("structured"), keys, "seq", ["seq", *cols])
+    named = first.select(*keys, *[F.col(c).alias(f"backlog_{c}") for c in ["seq", *cols]])
+    return tasks.join(named, keys, "left")
 
 
 def union_registry(registry: DataFrame, tasks: DataFrame, complete: bool) -> DataFrame:

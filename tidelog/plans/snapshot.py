@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,14 +20,16 @@ MAIN = "(main)"
 def fleet_snapshot(
     backlog: DataFrame, tasks: DataFrame, runs: DataFrame, busy: DataFrame, logs: DataFrame,
     registry: DataFrame, reports: DataFrame, *, registry_complete: bool = True,
-    materialise: bool = False, vocab: Vocabulary = DEFAULT_VOCABULARY,
+    materialise: bool = False, scope: Sequence[str] = (), vocab: Vocabulary = DEFAULT_VOCABULARY,
 ) -> dict[str, DataFrame]:
     """Sections of the snapshot as lazy DataFrames; only the sections used are computed.
 
     ``backlog``: rows of :func:`tidelog.sources.backlog.parse_backlog` plus ``home``, before roles;
     ``tasks``: ``home, task, seq, kind, reachable``; the rest as in the operators named.
+    ``scope``: ``["home"]`` where each home has a backlog of its own, with line numbers and ids that
+    others use too; without it ``seq`` and ids must be unique over all homes.
     ``materialise`` computes the rows and the states once for all sections that read them."""
-    rows = with_roles(backlog)
+    rows = with_roles(backlog, scope)
     states = st.current_state(tasks.select("task", "kind", "reachable"), runs, busy, logs, vocab)
     if materialise:
         rows, states = lineage.cut(rows), lineage.cut(states)
@@ -40,12 +42,13 @@ def fleet_snapshot(
     reported = reports.join(
         live.groupBy("id").agg(F.min("kind").alias("task_kind")), "id", "left"
     ).join(
-        rows.filter("structured").groupBy("id").agg(F.min_by("kind", "seq").alias("row_kind")), "id", "left"
+        rows.filter("structured").groupBy("id").agg(
+            F.min_by("kind", F.struct(*scope, "seq")).alias("row_kind")), "id", "left"
     ).withColumn("kind", F.coalesce("task_kind", "row_kind", F.lit("scout"))).drop("task_kind", "row_kind")
     return {
         "backlog": rows,
         "tasks": joins.attach_backlog(live, rows.select(
-            "id", "seq", "structured", "title", "role", "kind", "state", "hold_reason")),
+            "home", "id", "seq", "structured", "title", "role", "kind", "state", "hold_reason"), scope),
         "decisions": decisions,
         "inventory": rollups.inventory_validity(rows, live),
         "homes": rollups.home_summary(blocked, live, decisions),
