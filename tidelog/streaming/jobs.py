@@ -91,7 +91,8 @@ def drain_wakes(sink: str, annotate: BatchFn | None = None) -> BatchFn:
 
 
 def offer_once(requests: DataFrame, ttl: str = "7 days", event_time: str = "event_time") -> DataFrame:
-    """A request id wakes once in ``ttl``, even after its inbox row is gone."""
+    """A request id wakes once in ``ttl``, even after its inbox row is gone. Requests older than the newest one by more
+    than ``ttl`` are dropped, so ``ttl`` must cover how late a request may arrive."""
     return requests.withWatermark(event_time, ttl).dropDuplicatesWithinWatermark(["request"])
 
 
@@ -129,7 +130,8 @@ def mirror_log(out: str, max_bytes: int = 65536) -> BatchFn:
     """Mirror logs: scrubbed lines, each at most once per log; a break of continuity becomes one
     keyed ``blocked`` line and the log stops.
 
-    Batch rows: ``log, seq, line`` of the logs' current content."""
+    Batch rows: ``log, seq, line`` of the logs' whole current content, in every batch; of a log with more new bytes than
+    ``max_bytes`` the rest comes with the next batch that shows it again."""
 
     def run(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
