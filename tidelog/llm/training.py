@@ -7,12 +7,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts of a label in the first cut of a sample.
+SPREAD = 64
+
+
 def sample_per_class(rows: DataFrame, label: str, per_class: int, max_classes: int = 256) -> DataFrame:
-    """The ``per_class`` rows of each label that come first by a hash of ``doc_id``; ties by id. The group limit is
-    applied before the shuffle, so a frequent label is cut to size in each task. More than ``max_classes`` labels are
+    """The ``per_class`` rows of each label that come first by a hash of ``doc_id``; ties by id. A label is cut to size
+    in ``SPREAD`` parts first, so that no task takes all rows of a frequent one. More than ``max_classes`` labels are
     refused, so the sample is bounded."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), F.col("doc_id"))
-    picked = rows.withColumn("__place", F.row_number().over(order)).filter(F.col("__place") <= per_class).drop("__place")
+    picked = rows.withColumn("__part", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(SPREAD)))
+    for keys in ([label, "__part"], [label]):
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), F.col("doc_id"))
+        picked = picked.withColumn("__place", F.row_number().over(order)).filter(F.col("__place") <= per_class).drop("__place")
+    picked = picked.drop("__part")
     n = picked.select(label).distinct().limit(max_classes + 1).count()
     if n > max_classes:
         raise ValueError(f"more than {max_classes} classes in {label}")
