@@ -13,8 +13,8 @@ Equal lines are found by hash aggregates. For the others:
    one to reach the needed overlap.
 4. Verification by the Jaccard similarity of the token sets.
 
-A token's lines are first compared with the earliest of them alone, which settles families of near copies without their
-pairs; only lines that this leaves open meet the other earlier ones. Lines with very many equal copies take part with
+A token's lines are first compared with two of them alone, the earliest and the one in which the token is rarest, which
+settles families of near copies without their pairs; only lines that this leaves open meet the other earlier ones. Lines with very many equal copies take part with
 their first copy only; the table of these is bounded, as each stands for at least a ten-thousandth of all lines.
 
 All of it is DataFrame functions. Tokens are 64-bit hashes of the words.
@@ -124,14 +124,17 @@ def exact_repeats(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def candidates(postings: DataFrame, repeats: DataFrame) -> DataFrame:
-    """Rows of ``postings`` whose token is in another line's prefix too, without exact repeats, and with the first line
-    of the token (``first``)."""
+    """Rows of ``postings`` whose token is in another line's prefix too, without exact repeats, and with two lines of the
+    token to try before others: the ``first`` one, and the ``plain`` one, in which the token is rarest. Among variants
+    of one line that is the unchanged line, as every change puts rarer tokens before the shared ones."""
     whole = Window.partitionBy("code")
     met = postings.withColumn("lines", F.count("*").over(whole)).filter("lines > 1")
     gone = repeats.select(F.col("did").alias("d"), F.col("no").alias("o"))
     met = stage(met.join(gone, (F.col("did") == F.col("d")) & (F.col("no") == F.col("o")), "left_anti").drop("lines"))
     first = F.min(F.struct("did", "no", "n", "pos")).over(whole)
-    return stage(met.withColumn("lines", F.count("*").over(whole)).withColumn("first", first).filter("lines > 1").drop("lines"))
+    plain = F.min(F.struct("pos", "did", "no", "n")).over(whole)
+    marked = met.withColumns({"lines": F.count("*").over(whole), "first": first, "plain": plain})
+    return stage(marked.filter("lines > 1").drop("lines"))
 
 
 def _may_match(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column:
@@ -176,13 +179,21 @@ def later_matches(docs: DataFrame) -> DataFrame:
     picked = with_shingles(picked.select("did", "x.no", "x.line").filter(F.col("line").isNotNull()))
     body = F.concat(F.array(F.xxhash64("line")), F.array_distinct(F.transform("shingles", token_of)))
     sets = stage(picked.select("did", "no", body.alias("body")))
-    leaders = posted.filter((F.col("did") != F.col("first.did")) | (F.col("no") != F.col("first.no"))).filter(
-        _may_match(F.col("first.n"), F.col("first.pos"), F.col("n"), F.col("pos"))
-    ).select(F.col("first.did").alias("a_did"), F.col("first.no").alias("a_no"), F.col("did").alias("b_did"), F.col("no").alias("b_no"))
-    settled = stage(_similar(leaders.distinct(), sets))
+
+    def is_line(name: str) -> Column:
+        return (F.col("did") == F.col(f"{name}.did")) & (F.col("no") == F.col(f"{name}.no"))
+
+    def with_line(name: str) -> DataFrame:
+        before = (F.col(f"{name}.did") < F.col("did")) | ((F.col(f"{name}.did") == F.col("did")) & (F.col(f"{name}.no") < F.col("no")))
+        fits = _may_match(F.col(f"{name}.n"), F.col(f"{name}.pos"), F.col("n"), F.col("pos"))
+        return posted.filter(before & fits).select(
+            F.col(f"{name}.did").alias("a_did"), F.col(f"{name}.no").alias("a_no"), F.col("did").alias("b_did"), F.col("no").alias("b_no"))
+
+    leaders = with_line("first").unionByName(with_line("plain")).distinct()
+    settled = stage(_similar(leaders, sets))
     done = settled.select(F.col("did").alias("d"), F.col("no").alias("o")).distinct()
     rest = posted.join(done, (F.col("did") == F.col("d")) & (F.col("no") == F.col("o")), "left_anti")
-    a = posted.filter((F.col("did") != F.col("first.did")) | (F.col("no") != F.col("first.no"))).select(
+    a = posted.filter(~is_line("first") & ~is_line("plain")).select(
         F.col("code").alias("c"), F.col("did").alias("a_did"), F.col("no").alias("a_no"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos")
     )
     earlier = (F.col("a_did") < F.col("did")) | ((F.col("a_did") == F.col("did")) & (F.col("a_no") < F.col("no")))
