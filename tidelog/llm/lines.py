@@ -138,9 +138,11 @@ def candidates(postings: DataFrame, repeats: DataFrame) -> DataFrame:
 
 
 def _may_match(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column:
-    """Length and positional filters. Similar sets overlap by at least t / (1 + t) of their sizes' sum."""
+    """Length and positional filters. Similar sets overlap by at least t / (1 + t) of their sizes' sum. All that a pair
+    shares lies at or behind its first shared token in both, so at that token (which both prefixes hold) a similar pair
+    always passes."""
     top, bottom = SIMILAR
-    longest = F.least(n_a - pos_a, n_b - pos_b) + F.least(pos_a, pos_b)
+    longest = F.least(n_a - pos_a, n_b - pos_b)
     return (
         (F.least(n_a, n_b) * bottom >= F.greatest(n_a, n_b) * top)
         & (longest * (top + bottom) >= (n_a + n_b) * top)
