@@ -119,9 +119,12 @@ def whole_copies(bins: DataFrame, cap: int = CAP) -> DataFrame:
     return out
 
 
-def mix(docs: DataFrame, size: Column, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies`` of every document."""
-    sizes = stage(docs.select("doc_id", "source", size.cast("long").alias("size")))
+def mix(
+    docs: DataFrame, size: Column, weights: Sequence[int] = WEIGHTS, cap: int = CAP, key: Sequence[str] = ()
+) -> DataFrame:
+    """``doc_id, source, size, source_size, target, copies`` of every document, and the columns of ``key``, which also
+    order documents of equal id."""
+    sizes = stage(docs.select("doc_id", "source", size.cast("long").alias("size"), *key))
     targets = stage(source_targets(sizes, weights, cap))
     cells = targets.select("source", F.col("source_size").alias("tokens"))
     rates = balance(cells, {"source": targets}).select(F.col("source").alias("__key"), F.least("rate", F.lit(float(cap))).alias("rate"))
@@ -132,7 +135,7 @@ def mix(docs: DataFrame, size: Column, weights: Sequence[int] = WEIGHTS, cap: in
     bins = bins.join(known, F.col("source").eqNullSafe(F.col("__key"))).drop("__key")
     bins = whole_copies(bins, cap)
     # The documents of a bin are alike; its copies are dealt over them by their place in the total order.
-    order = [F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("doc_id").asc_nulls_last()]
+    order = [F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("doc_id").asc_nulls_last(), *map(F.col, key)]
     placed = global_rank(sizes, order, "__rank")
     starts = bins.select(
         F.col("source").alias("__source"), F.col("size").alias("__size"), "source_size", "target", "copies", "n_docs"
@@ -144,7 +147,7 @@ def mix(docs: DataFrame, size: Column, weights: Sequence[int] = WEIGHTS, cap: in
     met = placed.join(starts, F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size")))
     # Whole-number form of floor((place + 1) * k / n) - floor(place * k / n).
     own = F.expr("((__rank - __first + 1) * copies) div n_docs - ((__rank - __first) * copies) div n_docs")
-    return met.select("doc_id", "source", "size", "source_size", "target", own.alias("copies"))
+    return met.select("doc_id", "source", "size", "source_size", "target", own.alias("copies"), *key)
 
 
 @query("op4_mix_sources")
