@@ -2,8 +2,9 @@
 
 Rows of one key are replayed in order of (time, position); due timers fire before the row that
 passes them, and on the watermark when no row comes. The result therefore does not depend on how
-the input falls into micro-batches. Rows older than what the key has already seen come out as
-``late`` and are never dropped silently. A key's rows of one trigger are sorted in one task, so
+the input falls into micro-batches, as long as a key's rows come in order. Rows before what the
+key has already seen, or before a timer it has fired, come out as ``late``; the watermark only
+fires timers and drops no row. A rule that keeps no state for a key forgets its place. A key's rows of one trigger are sorted in one task, so
 the source's per-trigger limit (``maxFilesPerTrigger`` or ``maxBytesPerTrigger``) bounds it.
 """
 
@@ -18,6 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: The key under which Spark marks the watermark column, and the last time that pandas holds (year 2262).
+_MARK = "spark.watermarkDelayMs"
+_NEVER = 9_223_372_000
+
 Row = dict[str, Any]
 State = dict[str, Any]
 
@@ -46,11 +51,12 @@ def replay(rule: Rule, state: State, rows: list[Row], until: int) -> list[tuple]
 
     def timers(limit: int) -> None:
         while (due := rule.due(state)) is not None and due <= limit:
+            state["fired"] = due
             out.extend(rule.on_timer(state, due))
 
     for row in rows:
         place = [row["ts"], row["seq"]]
-        if place < state.get("seen", [-1, -1]):
+        if place < state.get("seen", [-1, -1]) or row["ts"] < state.get("fired", -1):
             out.append(("late", row["ts"], row["seq"], *[None] * (len(_fields(rule.output)) - 3)))
             continue
         timers(row["ts"])
@@ -84,6 +90,11 @@ def stream(df: DataFrame, key: str, rule: Rule, delay: str = "0 seconds") -> Dat
     wanted = ["ts", "seq", *rule.columns]
     timed = df.select(key, "ts", "seq", *rule.columns).withColumn(
         "event_time", F.timestamp_seconds("ts")).withWatermark("event_time", delay)
+    # Spark drops rows whose marked column is behind the watermark. The clock has been read above
+    # this point, so the mark moves to a column that never is.
+    mark = timed.schema["event_time"].metadata
+    never = F.timestamp_seconds(F.lit(_NEVER)).alias("event_time", metadata=mark or {_MARK: 0})
+    timed = timed.select(key, "ts", "seq", *rule.columns, never)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         state = json.loads(held.get[0]) if held.exists else rule.fresh()
