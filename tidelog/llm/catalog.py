@@ -2,5 +2,19 @@
 
 from __future__ import annotations
 
-from tidelog.llm import chat, decontaminate, digest, language, lines, mixing, quality, simhash, suffixes, url_filter  # noqa: F401
+from tidelog.llm import (  # noqa: F401
+    chat,
+    copies,
+    decontaminate,
+    digest,
+    language,
+    lines,
+    middle,
+    mixing,
+    quality,
+    simhash,
+    suffixes,
+    token_links,
+    url_filter,
+)
 from tidelog.llm.base import ORACLES, QUERIES  # noqa: F401
