@@ -52,9 +52,22 @@ def components(fps, radius=4):
 
 
 def near_copies(rows):
-    """Ids that stay: the first of each group; ``rows`` are sorted ``(id, text)``."""
-    groups = components([fingerprint(t) for _, t in rows])
-    return sorted(rows[i][0] for i, g in enumerate(groups) if i == g)
+    """Ids of the first document of each group of similar ones; ``rows`` are ``(id, text)``."""
+    rows = sorted(rows)
+    sets = [token_set((t or "").lower()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if 9 * shared >= 4 * (len(sets[i]) + len(sets[j])):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [rows[i][0] for i in range(len(rows)) if find(i) == i]
 
 
 def edits(item, text):

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -106,11 +107,34 @@ def test_both_libraries_encode_alike(tokenizers):
 def test_a_group_too_large_to_expand():
     """Sides that share no end but the last, and small groups around them."""
     rng = random.Random(7)
-    pair = SimpleNamespace(width_a=[2, 2, 5], width_b=[1, 2, 2, 5], bytes_a=[b""] * 3, bytes_b=[b""] * 4)
+    pair = SimpleNamespace(width_a=np.array([2, 2, 5]), width_b=np.array([1, 2, 2, 5]), bytes_a=[b""] * 3, bytes_b=[b""] * 4,
+                           names=[f"{i}{e}" for n, ends in ((3, ",|"), (4, ",;")) for i in range(n) for e in ends])
     side_a = [rng.randrange(2) for _ in range(32)]
     side_b = [0, *[rng.choice((1, 2)) for _ in range(31)], 0]
     links = token_links.Alignment(pair, [2, *side_a, 2, *side_a], [3, *side_b, 3, *side_b])
     want = Counter([(2, 3)] * 2 + [(x, y) for x in side_a for y in side_b] * 2)
-    found, times = links.pairs()
-    assert links.n_groups == 4 and links.n_links == sum(want.values()) > token_links.EXPANDED
-    assert dict(zip(found.tolist(), times.tolist(), strict=True)) == {4 * x + y: n for (x, y), n in want.items()}
+    got = links.whole()
+    assert got.n_groups == 4 and got.n_links == sum(want.values()) > token_links.EXPANDED
+    assert dict(zip(got.pairs.tolist(), got.times.tolist(), strict=True)) == {4 * x + y: n for (x, y), n in want.items()}
+    said = f"2|3;{','.join(map(str, side_a))}|{','.join(map(str, side_b))}"
+    assert got.groups == f"{said};{said}"
+    # The same in two stretches.
+    cut = links.cut(links.ends[[1, 3]])
+    assert [c[0] for c in cut] == [f"{said};"] * 2 and [c[2:] for c in cut] == [(33, 34)] * 2
+    assert b"".join(c[1] for c in cut) == np.array([4 * x + y for xs, ys in [([2], [3]), (side_a, side_b)] * 2 for x in xs for y in ys]).tobytes()
+
+
+@pytest.mark.parametrize("kept", [3, 1 << 17])
+def test_segments_give_what_whole_texts_give(monkeypatch, kept):
+    monkeypatch.setattr(token_links, "KEPT_SEGMENTS", kept)
+    pair = token_links.Pair(*token_links.read_files(token_links.FOLDER, token_links.FILE_A, token_links.FILE_B))
+    assert pair.by_segment
+    rng = random.Random(3)
+    pool = ["a", "bc", "Wort", "né", " ", "  ", "\n", " \n", "\n ", "\t", "\x1c ", "\x85", "　", "中文", "👍", "don't", "12", "...", " end", "x" * 90]
+    for _ in range(600):
+        text = "".join(rng.choice(pool) for _ in range(rng.randint(1, 16)))
+        parts = token_links.segments(text)
+        assert " ".join(parts) == text
+        got, want = pair.align(text.encode()), token_links.Alignment(pair, *pair._encode(text)).whole()
+        assert (got.groups, *got[3:]) == (want.groups, *want[3:]), text
+        assert got.pairs.tolist() == want.pairs.tolist() and got.times.tolist() == want.times.tolist()

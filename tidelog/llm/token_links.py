@@ -4,6 +4,11 @@ Each tokenizer gives a text token ids whose bytes, joined, are the text. The byt
 from end to index; the ends that both know cut the two id lists into groups, and every token of one side of a group is
 linked with every token of its other side. A large group is linked by its different ids and their counts, not pair by pair.
 
+Neither tokenizer has a token that goes on from a letter over a blank, so a text is a row of segments, each a blank and
+what follows it; both sides end at their borders. What a segment gives is kept in the worker, as words recur, and only
+those that are new to it are encoded and aligned, all of a text at once. That borders hold is tried out as the tokenizers
+are loaded; a pair for which they do not, or a text with a long segment, is taken whole.
+
 Corpus-wide, the count of an id pair is the number of documents that hold it linked. Documents are read once, in blocks:
 a block writes its documents with their pairs, and one row for each different pair with the number of its documents. The
 counts are sums over these rows, and go back to each block that has the pair, where its documents look them up. What
@@ -23,9 +28,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, count
+from itertools import count
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +48,13 @@ FOLDER = "/opt/tokenizers"
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: How a byte-level BPE cuts text before it merges. A fixed value of that format.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pairs of documents after which a block ends; documents encoded at a time; links of a group that are expanded one by one.
+#: Pairs of documents after which a block ends; documents a batch of the output; links of a group that are expanded one by one.
 BLOCK_PAIRS = 1 << 20
 STEP = 64
 EXPANDED = 64
+#: Longest segment of texts that are taken by segments, and how many a worker keeps (two times, newer and older).
+KEPT_CHARS, KEPT_SEGMENTS = 200, 1 << 17
+_BLANK_AFTER_SPACE = re.compile(r"\s ")
 
 
 def byte_letters() -> dict[str, int]:
@@ -74,23 +84,113 @@ class Pair:
             bytes([int(p[3:-1], 16)]) if self._b.is_byte(i) else p.replace("▁", " ").encode()
             for i, p in ((i, self._b.id_to_piece(i)) for i in ids_b)
         ]
-        self.width_a, self.width_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
+        self.width_a, self.width_b = (np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b))
         # Names of ids before another of their group, and at the end of their side of it.
         self.names = [f"{i}{end}" for n, ends in ((len(self.bytes_a), ",|"), (len(ids_b), ",;")) for i in range(n) for end in ends]
-
-    def encode(self, texts: list[bytes]) -> list[tuple[list[int], list[int]] | None]:
-        """Ids of A and of B for each text; None where there are no tokens."""
-        found: list[tuple[list[int], list[int]] | None] = []
-        plain = [_decoded(t) for t in texts]
-        b_ids = iter(self._b.encode([t for t in plain if t], num_threads=1))
-        for raw, text in zip(texts, plain, strict=True):
-            if not text:
-                found.append(None)
-                continue
-            a, b, whole = self._a.encode_ordinary(" " + text), next(b_ids), b" " + raw
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == whole == b"".join(map(self.bytes_b.__getitem__, b))
-            found.append((a, b) if same else None)
-        return found
+        pieces = (self._b.id_to_piece(i).lstrip("▁") for i in ids_b)
+        self.by_segment = not any("▁" in p for p in pieces) and all(map(self._cut_alike, (
+            "a", " a  b \n c  d\te ", "\n x\n\n y ", "e é  中 ", "a\n b\n  c", "　 x 　")))
+        # Newer and older segments: what is asked for again comes to the newer ones, what is not goes with the older.
+        # A blank alone, which B would take for an empty text, is always known.
+        only = Alignment(self, self._a.encode_ordinary(" "), [self._b.piece_to_id("▁")])
+        self._new: dict[str, Segment] = {}
+        self._old: dict[str, Segment] = {}
+        self._blank = only.cut(np.ones(1, np.int64))[0]
+
+    def _encode(self, text: str) -> tuple[list[int], list[int]] | None:
+        """Ids of a blank and the text; None where they do not join to it."""
+        a, b, whole = self._a.encode_ordinary(" " + text), self._b.encode(text), b" " + text.encode()
+        same = b"".join(map(self.bytes_a.__getitem__, a)) == whole == b"".join(map(self.bytes_b.__getitem__, b))
+        return (a, b) if same else None
+
+    def _cut_alike(self, text: str) -> bool:
+        """Whether segments, and several that are no neighbours, have the ids that they have in the text."""
+        parts = segments(text)
+        apart = [self._encode(p) if p else (self._a.encode_ordinary(" "), [self._b.piece_to_id("▁")]) for p in parts]
+        some = [k for k in range(len(parts)) if k % 2 or not parts[k]]
+        return all(
+            got is not None and all(got[side] == sum((apart[k][side] for k in which), []) for side in (0, 1))
+            for got, which in ((self._encode(text), range(len(parts))),
+                               (self._encode(" ".join(parts[k] for k in some)), some)) if any(parts[k] for k in which)
+        )
+
+    def align(self, raw: bytes) -> Aligned | None:
+        """What a text gives; None where there are no tokens."""
+        text = _decoded(raw)
+        if not text or "▁" in text:  # that letter stands for a blank on the side of B
+            return None
+        if self.by_segment:
+            parts = segments(text)
+            if max(map(len, parts)) <= KEPT_CHARS:
+                return self._by_segment(parts)
+        ids = self._encode(text)
+        return None if ids is None else Alignment(self, *ids).whole()
+
+    def _by_segment(self, parts: list[str]) -> Aligned | None:
+        if len(self._new) >= KEPT_SEGMENTS:
+            self._old, self._new = self._new, {}
+        missing = set(parts).difference(self._new)
+        if missing and not self._learn(missing, parts[-1]):
+            return None
+        groups, codes, n_a, n_b = zip(*map(self._new.__getitem__, parts))
+        text, links = "".join(groups)[:-1], np.frombuffer(b"".join(codes), np.int64)
+        pairs, times = np.unique(links, return_counts=True)
+        return Aligned(text, pairs, times, sum(n_a), sum(n_b), text.count(";") + 1, len(links))
+
+    def _learn(self, parts: set[str], last: str) -> bool:
+        """Puts segments among the newer ones; those that are new to the worker are encoded and aligned at once. A segment
+        that ends in white space is the ``last`` of its text, and stays the last."""
+        fresh = [p for p in parts if p not in self._old and p and p != last]
+        if last in parts and last and last not in self._old:
+            fresh.append(last)
+        self._new.update((p, self._old[p]) for p in parts.difference(fresh) if p)
+        if "" in parts:
+            self._new[""] = self._blank
+        if fresh:
+            ids = self._encode(" ".join(fresh))
+            if ids is None:
+                return False
+            ends = np.cumsum([len(p.encode()) + 1 for p in fresh])
+            self._new.update(zip(fresh, Alignment(self, *ids).cut(ends), strict=True))
+        return True
+
+
+def segments(text: str) -> list[str]:
+    """A text with a blank before it, cut before every blank that follows on what is no white space; without these blanks."""
+    parts = text.split(" ")
+    if not text.startswith(" ") and not _BLANK_AFTER_SPACE.search(text):
+        return parts
+    merged, held = [], None
+    for p in parts:
+        held = p if held is None else f"{held} {p}"
+        if held and not held[-1].isspace():
+            merged.append(held)
+            held = None
+    return merged if held is None else [*merged, held]
+
+
+#: Of a segment: its groups as text (each with the sign that ends it), the bytes of its linked pairs (one for each link),
+#: and its numbers of tokens.
+Segment = tuple[str, bytes, int, int]
+
+
+class Aligned(NamedTuple):
+    """Groups as text, different pairs in order, how often each is linked, and counts of a text."""
+
+    groups: str
+    pairs: np.ndarray
+    times: np.ndarray
+    n_a: int
+    n_b: int
+    n_groups: int
+    n_links: int
+
+
+def _summed(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, where = np.unique(codes, return_inverse=True)
+    total = np.zeros(len(keys), np.int64)
+    np.add.at(total, where, times)
+    return keys, total
 
 
 def _decoded(raw: bytes) -> str:
@@ -110,50 +210,60 @@ class Alignment:
     """Groups and links of two id lists whose tokens join to the same bytes."""
 
     def __init__(self, pair: Pair, a: list[int], b: list[int]) -> None:
-        ends_a = dict(zip(accumulate(map(pair.width_a.__getitem__, a)), count(1)))
-        ends_b = dict(zip(accumulate(map(pair.width_b.__getitem__, b)), count(1)))
-        common = sorted(ends_a.keys() & ends_b.keys())
         self.a, self.b, self.pair = np.array(a, np.int64), np.array(b, np.int64), pair
+        ends_a = dict(zip(np.cumsum(pair.width_a[self.a]).tolist(), count(1)))
+        ends_b = dict(zip(np.cumsum(pair.width_b[self.b]).tolist(), count(1)))
+        common = sorted(ends_a.keys() & ends_b.keys())
+        self.ends = np.array(common, np.int64)
         self.end_a = np.fromiter(map(ends_a.__getitem__, common), np.int64, len(common))
         self.end_b = np.fromiter(map(ends_b.__getitem__, common), np.int64, len(common))
         self.size_a, self.size_b = np.diff(self.end_a, prepend=0), np.diff(self.end_b, prepend=0)
-        self.n_groups = len(common)
-        self.n_links = int((self.size_a * self.size_b).sum())
+        self.links = self.size_a * self.size_b
 
-    def digest(self) -> str:
-        """SHA-256 of ``a1,a2|b1;a3|b2,b3``, the ids of all groups in order."""
-        start_a, start_b = self.end_a - self.size_a, self.end_b - self.size_b
+    def _names(self) -> list[str]:
+        """All ids in order of their groups, each with what follows it in ``a1,a2|b1;a3|b2,b3;``."""
+        start_b = self.end_b - self.size_b
         ends_a, ends_b = np.zeros(len(self.a), np.int64), np.zeros(len(self.b), np.int64)
         ends_a[self.end_a - 1] = ends_b[self.end_b - 1] = 1
         order = np.empty(len(self.a) + len(self.b), np.int64)
         # Before a token of A stand the B tokens of earlier groups, before one of B the A tokens up to its own group.
         order[np.arange(len(self.a)) + np.repeat(start_b, self.size_a)] = 2 * self.a + ends_a
         order[np.arange(len(self.b)) + np.repeat(self.end_a, self.size_b)] = 2 * (len(self.pair.bytes_a) + self.b) + ends_b
-        text = "".join(map(self.pair.names.__getitem__, order.tolist()))
-        return hashlib.sha256(text[:-1].encode()).hexdigest()
+        return list(map(self.pair.names.__getitem__, order.tolist()))
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Different linked pairs, sorted, as ``a * size of B's vocabulary + b``, and how often each is linked."""
-        width = len(self.pair.bytes_b)
-        size = self.size_a * self.size_b
-        small = np.flatnonzero(size <= EXPANDED)
-        group = np.repeat(small, size[small])
-        place = np.arange(len(group)) - np.repeat(np.cumsum(size[small]) - size[small], size[small])
+    def _codes(self, some: np.ndarray) -> np.ndarray:
+        """The links of some groups, in order, as ``a * size of B's vocabulary + b``."""
+        size = self.links[some]
+        group = np.repeat(some, size)
+        place = np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size)
         at_a = (self.end_a - self.size_a)[group] + place // self.size_b[group]
         at_b = (self.end_b - self.size_b)[group] + place % self.size_b[group]
-        found, times = np.unique(self.a[at_a] * width + self.b[at_b], return_counts=True)
-        keys, counts = [found], [times]
-        for g in np.flatnonzero(size > EXPANDED):
+        return self.a[at_a] * len(self.pair.bytes_b) + self.b[at_b]
+
+    def cut(self, ends: np.ndarray) -> list[Segment]:
+        """The stretches that end at these bytes, which both sides know as ends. For short ones: links are listed."""
+        group = np.searchsorted(self.ends, ends)
+        to_a, to_b, to_link = self.end_a[group], self.end_b[group], 8 * np.cumsum(self.links)[group]
+        names, codes = self._names(), self._codes(np.arange(len(self.ends))).tobytes()
+        out, name, link, a, b = [], 0, 0, 0, 0
+        for x, y, z in zip(to_a.tolist(), to_b.tolist(), to_link.tolist(), strict=True):
+            out.append(("".join(names[name : x + y]), codes[link:z], x - a, y - b))
+            name, link, a, b = x + y, z, x, y
+        return out
+
+    def whole(self) -> Aligned:
+        """All of it as one text, which may be long: a large group is linked by its different ids and their counts."""
+        width = len(self.pair.bytes_b)
+        keys, times = np.unique(self._codes(np.flatnonzero(self.links <= EXPANDED)), return_counts=True)
+        more, counts = [keys], [times]
+        for g in np.flatnonzero(self.links > EXPANDED):
             of_a, n_a = np.unique(self.a[self.end_a[g] - self.size_a[g] : self.end_a[g]], return_counts=True)
             of_b, n_b = np.unique(self.b[self.end_b[g] - self.size_b[g] : self.end_b[g]], return_counts=True)
-            keys.append((of_a[:, None] * width + of_b).ravel())
+            more.append((of_a[:, None] * width + of_b).ravel())
             counts.append((n_a[:, None] * n_b).ravel())
-        if len(keys) == 1:
-            return found, times
-        all_keys, where = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.zeros(len(all_keys), np.int64)
-        np.add.at(total, where, np.concatenate(counts))
-        return all_keys, total
+        if len(more) > 1:
+            keys, times = _summed(np.concatenate(more), np.concatenate(counts))
+        return Aligned("".join(self._names())[:-1], keys, times, len(self.a), len(self.b), len(self.ends), int(self.links.sum()))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -202,15 +312,15 @@ def linked_blocks(docs: DataFrame, files: tuple[bytes, bytes], block_pairs: int
             for at in range(0, batch.num_rows, STEP):
                 ids, texts = batch.column(0).slice(at, STEP), batch.column(1).slice(at, STEP)
                 rows = []
-                for found in tokenizers.encode([t.as_py() or b"" for t in texts]):
+                for t in texts:
+                    found = tokenizers.align(t.as_py() or b"")
                     if found is None:
                         rows.append((0, 0, 0, 0, "", none, none))
                         continue
-                    links = Alignment(tokenizers, *found)
-                    pairs, times = links.pairs()
-                    rows.append((len(found[0]), len(found[1]), links.n_groups, links.n_links, links.digest(), pairs, times))
-                    of_block.append(pairs)
-                    held += len(pairs)
+                    digest = hashlib.sha256(found.groups.encode()).hexdigest()
+                    rows.append((found.n_a, found.n_b, found.n_groups, found.n_links, digest, found.pairs, found.times))
+                    of_block.append(found.pairs)
+                    held += len(found.pairs)
                 yield batch_of(1, ids, rows)
                 if held >= block_pairs:
                     yield ended()
