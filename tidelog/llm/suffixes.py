@@ -431,4 +431,6 @@ def _drop(data: bytes, spans: list[dict] | None, length: int) -> tuple[int, int,
 
 @query("op7_suffix_dedup")
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    """What is left comes last, as text: characters that a removal has cut are replaced in it, not in its digest."""
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
