@@ -447,3 +447,42 @@ def test_backlogs_of_two_homes_do_not_mix(spark):
     tasks = spark.createDataFrame([("h1", "a"), ("h2", "a"), ("h3", "a")], "home string, id string")
     attached = joins.attach_backlog(tasks, rows.select("home", "id", "seq", "structured", "state"), ["home"])
     assert {r["home"]: r["backlog_state"] for r in attached.collect()} == {"h1": "queued", "h2": "done", "h3": None}
+
+
+def test_busy_record_faults(spark):
+    ok = "v1 gen=g.1 seq=3 state=busy source=main-hook event=turn_start ts=17\n"
+    cases = {
+        ok: None, "garbage\n": "version", ok.replace("v1", "v0"): "version", ok.replace("seq=3", "seq=NaN"): "seq",
+        ok.replace("busy", "frobbing"): "state", ok.replace("main-hook", "bad source"): "unknown-field", ok.replace("\n", " rogue=1\n"): "unknown-field",
+        ok + "second line\n": "lines", ok.rstrip(): "lines", "": "lines", None: "lines", ok.replace(" event=turn_start", ""): "event",
+        ok.replace("gen=g.1", "gen="): "gen", ok.replace("ts=17", "ts=-1"): "ts", " " + ok.replace(" ", "   "): None, ok + "tail": None,
+        ok.replace("\n", " state=idle\n"): None,
+    }
+    records = spark.createDataFrame([(str(i), i, t) for i, t in enumerate(cases)], "task string, seq long, record string")
+    got = {r["seq"]: r for r in folds.read_busy(records).collect()}
+    assert [got[i]["fault"] for i in range(len(cases))] == list(cases.values())
+    assert tuple(got[0])[2:8] == ("g.1", "3", "busy", "main-hook", "turn_start", "17") and got[len(cases) - 1]["state"] == "idle"
+    assert all(got[i]["gen"] is None for i, fault in enumerate(cases.values()) if fault)
+    armed = spark.createDataFrame([(str(i), "g.1", "main") for i in range(len(cases))], "task string, gen string, producer string")
+    trust = spark.createDataFrame([("main", "main-hook")], "producer string, source string")
+    states = {r["task"]: (r["state"], r["source"]) for r in folds.current_busy(folds.read_busy(records), armed, trust).collect()}
+    assert [states[str(i)][1] == "malformed" for i in range(len(cases))] == [f is not None for f in cases.values()]
+
+
+def test_names_of_one_prefix_meet_few_texts(spark, monkeypatch):
+    import random
+
+    from tidelog.operators import audits
+
+    rng = random.Random(1)
+    names = [f"fm-{rng.randrange(16 ** 6):06x}" for _ in range(500)] + ["ab", "x", "né☃", ""]
+    texts = [" ".join([*(f"fm-{rng.randrange(16 ** 6):06x}" for _ in range(30)), rng.choice(names)]) for _ in range(200)]
+    frames = spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(list(enumerate(texts)), "test int, text string")
+    out = audits.tests_referencing(*frames)
+    assert {tuple(r) for r in out.collect()} == {(n, i) for n in names for i, t in enumerate(texts) if n and n in t}
+    tried = []
+    join = type(out).join
+    monkeypatch.setattr(type(out), "join", lambda self, other, on=None, how=None: (
+        tried.append(self.count()) if on == "test" else None, join(self, other, on, how))[1])
+    found = audits.tests_referencing(*frames).count()
+    assert tried[0] < 10 * found < 4000

@@ -109,6 +109,34 @@ def current_busy(spark: SparkSession, sf: str) -> DataFrame:
     return folds.current_busy(view(spark, sf, "busy_records"), armed.unionByName(silent), trust)
 
 
+# The same text in both engines: whole records, and each way in which one can be broken.
+BUSY_TEXT = """CASE seq % 12 WHEN 0 THEN concat('garbage', chr(10)) WHEN 1 THEN concat('v0 ', body, chr(10))
+  WHEN 2 THEN concat('v1 ', body, ' rogue=1', chr(10)) WHEN 3 THEN concat('v1 ', body, chr(10), 'second line', chr(10))
+  WHEN 4 THEN concat('v1 ', body) WHEN 5 THEN concat('  v1   ', body, '  state=unknown', chr(10))
+  WHEN 6 THEN concat('v1 ', body, ' source=bad source', chr(10)) WHEN 7 THEN concat('v1 state=idle', chr(10))
+  ELSE concat('v1 ', body, chr(10)) END"""
+BUSY_BODY = """concat('gen=', gen, ' seq=', record_seq, ' state=', state, ' source=', source, ' event=', event, ' ts=', ts)"""
+
+
+@query("busy_lines", with_views(f"""
+WITH t AS (SELECT task, seq, {BUSY_BODY} AS body FROM busy_records), r AS (SELECT task, seq, {BUSY_TEXT} AS record FROM t),
+p AS (SELECT *, list_filter(string_split(split_part(record, chr(10), 1), ' '), lambda x: x <> '') AS parts FROM r),
+v AS (SELECT task, seq, record, parts[1] AS ver, parts[2:] AS given FROM p),
+f AS (SELECT *, substr(list_filter(given, lambda x: starts_with(x, 'gen='))[-1], 5) AS gen, substr(list_filter(given, lambda x: starts_with(x, 'seq='))[-1], 5) AS rs,
+  substr(list_filter(given, lambda x: starts_with(x, 'state='))[-1], 7) AS state, substr(list_filter(given, lambda x: starts_with(x, 'source='))[-1], 8) AS source,
+  substr(list_filter(given, lambda x: starts_with(x, 'event='))[-1], 7) AS event, substr(list_filter(given, lambda x: starts_with(x, 'ts='))[-1], 4) AS ts FROM v),
+g AS (SELECT *, CASE WHEN length(record) - length(replace(record, chr(10), '')) <> 1 THEN 'lines' WHEN ver IS DISTINCT FROM 'v1' THEN 'version'
+  WHEN len(list_filter(given, lambda x: NOT regexp_matches(x, '^(gen|seq|state|source|event|ts)='))) > 0 THEN 'unknown-field'
+  WHEN NOT regexp_matches(coalesce(gen, ''), '^[A-Za-z0-9._-]+$') THEN 'gen' WHEN NOT regexp_matches(coalesce(rs, ''), '^[0-9]+$') THEN 'seq'
+  WHEN NOT coalesce(state, '') IN ('busy', 'idle', 'unknown') THEN 'state' WHEN NOT regexp_matches(coalesce(source, ''), '^[A-Za-z0-9._-]+$') THEN 'source'
+  WHEN NOT regexp_matches(coalesce(event, ''), '^[A-Za-z0-9._-]+$') THEN 'event' WHEN NOT regexp_matches(coalesce(ts, ''), '^[0-9]+$') THEN 'ts' END AS fault FROM f)
+SELECT task, seq, CASE WHEN fault IS NULL THEN gen END AS gen, CASE WHEN fault IS NULL THEN rs END AS record_seq, CASE WHEN fault IS NULL THEN state END AS state,
+  CASE WHEN fault IS NULL THEN source END AS source, CASE WHEN fault IS NULL THEN event END AS event, CASE WHEN fault IS NULL THEN ts END AS ts, fault FROM g"""))
+def busy_lines(spark: SparkSession, sf: str) -> DataFrame:
+    body = view(spark, sf, "busy_records").select("task", "seq", F.expr(BUSY_BODY).alias("body"))
+    return folds.read_busy(body.select("task", "seq", F.expr(BUSY_TEXT).alias("record")))
+
+
 @query("dedupe_wakes", with_views("""
 SELECT min(seq) AS first_seq, arg_max(epoch, seq) AS epoch, max(seq) AS seq, kind, arg_max(key, seq) AS key,
        arg_max(payload, seq) AS payload

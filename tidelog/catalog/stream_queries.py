@@ -15,7 +15,7 @@ from tidelog.catalog.views import table, view, view_over, with_views
 from tidelog.functions import text as tx
 from tidelog.operators import folds
 from tidelog.sources import ledgers
-from tidelog.streaming import jobs
+from tidelog.streaming import jobs, mirror
 
 
 def stream_view(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -26,11 +26,11 @@ def stream_view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return view_over(spark, name, events=events)
 
 
-def stream_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """A derived table as a stream: written to the shared folder and read back file by file."""
+def stream_table(spark: SparkSession, df: DataFrame, name: str, files: int = 64) -> DataFrame:
+    """A derived table as a stream: written to the shared folder and read back, so many files a trigger."""
     path = jobs.shared_folder(spark, name)
     df.write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 64).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def finish(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -47,8 +47,44 @@ def through(stream: DataFrame, name: str, make: Callable[[str], jobs.BatchFn]) -
 def stream_open_decisions(spark: SparkSession, sf: str) -> DataFrame:
     path = jobs.shared_folder(spark, "open-decisions")
     lines = tx.parse_status(stream_view(spark, sf, "status_events").select("task", "seq", "line"))
-    jobs.run_batches(jobs.stream_open_decisions(lines), jobs.apply_moves(f"{path}/moves"), path, "update")
-    return jobs.open_set(spark, f"{path}/moves")
+    jobs.run_batches(jobs.stream_open_decisions(lines), jobs.apply_moves(f"{path}/open"), path, "update")
+    return jobs.open_set(spark, f"{path}/open", lines.schema["task"].dataType.simpleString())
+
+
+@query("folded_logs", with_views("""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY seq) AS rn, count(*) OVER (PARTITION BY task) AS n FROM status_events),
+e AS (SELECT task, row_number() OVER (PARTITION BY task ORDER BY seq) AS seq, verb, key, note FROM r
+  WHERE task % 4 < 2 OR (task % 4 = 2 AND k % 2 = 0) OR (task % 4 = 3 AND rn <= n // 3)),
+o AS (SELECT task, key, max(seq) AS seq, arg_max(verb, seq) AS verb, arg_max(note, seq) AS note FROM e
+  WHERE verb IN ('needs-decision', 'blocked', 'resolved', 'captain-held')
+    AND (NOT starts_with(key, 'pending-reply-') OR starts_with(note, 'pending-reply-missed:'))
+  GROUP BY task, key)
+SELECT task, key, seq, verb, note FROM o WHERE verb IN ('needs-decision', 'blocked')"""))
+def folded_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """Logs that grow, shrink and grow again, are replaced by another file, or can no longer be read, over three looks."""
+    from tidelog.operators import ordered
+
+    path = jobs.shared_folder(spark, "folded-logs")
+    events = view(spark, sf, "status_events").select("task", "seq", "line", "k")
+    first = ordered.rank(events, ["task"], "seq").withColumn("ident", F.lit("first"))
+    second = ordered.rank(events.filter("task % 4 = 2 AND k % 2 = 0"), ["task"], "seq").withColumn("ident", F.lit("second"))
+    files = first.unionByName(second).select("task", "ident", F.col("rn").alias("seq"), "line")
+    tx.parse_status(files).select("task", "ident", "seq", "verb", "key", "note").write.parquet(f"{path}/files")
+    logs = spark.read.parquet(f"{path}/files")
+    sizes = logs.groupBy("task").agg(F.count(F.when(F.col("ident") == "first", 1)).alias("n"), F.count(F.when(F.col("ident") == "second", 1)).alias("m"))
+    what = F.col("task") % 4
+    for look in (1, 2, 3):
+        ident = F.when((what == 3) & F.lit(look > 1), None).when((what == 2) & F.lit(look > 1), "second").otherwise("first")
+        size = (F.when((what == 2) & F.lit(look > 1), F.col("m")).when((what == 1) & F.lit(look == 2), F.expr("n div 6"))
+                .otherwise(F.expr(f"n * {look} div 3")))
+        sizes.select("task", F.lit(look).alias("look"), ident.alias("ident"), size.alias("size")).coalesce(1).write.mode("append").parquet(f"{path}/looks")
+    seen = spark.readStream.schema(spark.read.parquet(f"{path}/looks").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/looks")
+
+    def read(plan: DataFrame) -> DataFrame:
+        return logs.join(plan, ["task", "ident"]).filter("seq > past AND seq <= size")
+
+    jobs.run_batches(seen, jobs.fold_logs(read, f"{path}/fold"), path)
+    return jobs.folded_set(spark, f"{path}/fold", logs.schema["task"].dataType.simpleString())
 
 
 @query("drain_wakes", with_views("""
@@ -178,12 +214,18 @@ def stream_replies(spark: SparkSession, sf: str) -> DataFrame:
     return finish(jobs.stream_replies(stream_table(spark, rows, "reply-rows"), grace=120), "replies")
 
 
-@query("offer_once", with_views("SELECT DISTINCT concat('r', CAST(k AS VARCHAR), '-', CAST(task % 5 AS VARCHAR)) AS request FROM status_base"))
+OFFER_TTL = 4 * 86400
+
+
+@query("offer_once", with_views(f"""
+WITH RECURSIVE r AS (SELECT concat('r', CAST(k AS VARCHAR), '-', CAST(task % 5 AS VARCHAR)) AS request, ts FROM status_base),
+o AS (SELECT request, min(ts) AS ts FROM r GROUP BY request
+  UNION ALL SELECT request, ts FROM (SELECT o.request, min(r.ts) AS ts FROM o JOIN r ON r.request = o.request AND r.ts >= o.ts + {OFFER_TTL} GROUP BY o.request, o.ts))
+SELECT request, ts FROM o"""))
 def offer_once(spark: SparkSession, sf: str) -> DataFrame:
-    rows = stream_view(spark, sf, "status_base").select(
-        F.concat(F.lit("r"), F.col("k").cast("string"), F.lit("-"), (F.col("task") % 5).cast("string")).alias("request"),
-        F.timestamp_seconds("ts").alias("event_time"))
-    return finish(jobs.offer_once(rows, "60 days"), "offers").select("request")
+    request = F.concat(F.lit("r"), F.col("k").cast("string"), F.lit("-"), (F.col("task") % 5).cast("string"))
+    rows = stream_view(spark, sf, "status_base").select(request.alias("request"), "ts", "seq")
+    return finish(jobs.offer_once(rows, OFFER_TTL), "offers").filter("kind = 'offer'").select("request", "ts")
 
 
 @query("consume_events", f"""
@@ -200,31 +242,38 @@ def consume_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("reannounce", with_views("""
-SELECT task AS source, seq FROM status_events WHERE event_type = 'click' AND k % 3 <> 0"""))
+SELECT task AS source, seq, concat(CAST(task AS VARCHAR), '.', CAST(seq AS VARCHAR), '.result') AS path
+FROM status_events WHERE event_type = 'click' AND k % 3 <> 0"""))
 def reannounce(spark: SparkSession, sf: str) -> DataFrame:
     from tidelog.catalog.join_queries import result_tables
 
     results, handled = result_tables(spark, sf)
-    found, marks = jobs.shared_folder(spark, "results"), jobs.shared_folder(spark, "handled")
-    results.write.parquet(found)
-    handled.write.parquet(marks)
-    ticks = stream_view(spark, sf, "status_base").select("seq")
-    path = through(ticks, "announced", lambda p: jobs.reannounce(found, marks, f"{p}/out"))
-    out = spark.read.parquet(f"{path}/out")
+    rows = results.withColumn("kind", F.lit("result")).unionByName(handled.withColumn("kind", F.lit("handled")), allowMissingColumns=True)
+    shuffled = rows.repartition(6, F.xxhash64("seq", "kind"))
+    path = through(stream_table(spark, shuffled, "result-rows", files=2), "announced", lambda p: jobs.reannounce(f"{p}/out"))
+    out = spark.read.parquet(f"{path}/out/announced")
     newest = out.agg(F.max("batch_id").alias("batch_id"))
-    return out.join(newest, "batch_id").select("source", "seq")
+    return out.join(newest, "batch_id").select("source", "seq", "path")
 
 
 @query("mirror_log", with_views("""
-SELECT task AS log, min(rn) AS seq, line FROM (SELECT task, verb AS line, row_number() OVER (PARTITION BY task ORDER BY seq) AS rn FROM status_events)
-GROUP BY task, line"""))
+WITH r AS (SELECT task AS log, line, row_number() OVER w AS rn, sum(strlen(line) + 1) OVER w AS until FROM status_events
+  WINDOW w AS (PARTITION BY task ORDER BY seq)),
+s AS (SELECT log, max(until) AS total FROM r GROUP BY log)
+SELECT log, min(rn) AS seq, line FROM r JOIN s USING (log) WHERE log % 5 <> 0 OR total <= 600 OR until <= 600 GROUP BY log, line
+UNION ALL SELECT log, NULL, concat('blocked [key=mirror-continuity-', CAST(log AS VARCHAR), ']: mirror continuity broke (prefix-changed)')
+FROM s WHERE log % 5 = 0 AND total > 600"""))
 def mirror_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Logs in pieces of 200 bytes, over files and triggers in no order; every fifth log is another one from byte 600 on."""
     from tidelog.operators import ordered
 
-    lines = ordered.rank(view(spark, sf, "status_events").select(F.col("task").alias("log"), "seq", F.col("verb").alias("line")), ["log"], "seq")
-    rows = lines.select("log", F.col("rn").alias("seq"), "line")
-    path = through(stream_table(spark, rows.coalesce(1), "mirror-rows"), "mirror", lambda p: jobs.mirror_log(f"{p}/out"))
-    return spark.read.parquet(f"{path}/out/lines").select("log", "seq", "line")
+    lines = ordered.rank(view(spark, sf, "status_events").select(F.col("task").alias("log"), "seq", "line"), ["log"], "seq")
+    pieces = mirror.cut_pieces(lines.select("log", F.col("rn").alias("seq"), "line"), 200)
+    other = (F.col("log") % 5 == 0) & (F.col("at") >= 600)
+    pieces = pieces.withColumn("prefix", F.when(other, F.concat(F.lit("x"), "prefix")).otherwise(F.col("prefix")))
+    shuffled = pieces.repartition(9, F.xxhash64("log", "at"))
+    with mirror.keyed_store(spark):
+        return finish(mirror.mirror_log(stream_table(spark, shuffled, "pieces", files=3), 4096), "mirror")
 
 
 @query("catch_all_sweep", with_views("""

@@ -249,3 +249,39 @@ def epoch_seconds(ts: Column) -> Column:
     days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long")
     clock = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
     return days * 86400 + clock
+
+
+#: Version and fields of a busy record, and the form of each.
+BUSY_VERSION = "v1"
+BUSY_FIELDS = {
+    "gen": "^[A-Za-z0-9._-]+$",
+    "seq": "^[0-9]+$",
+    "state": "^(busy|idle|unknown)$",
+    "source": "^[A-Za-z0-9._-]+$",
+    "event": "^[A-Za-z0-9._-]+$",
+    "ts": "^[0-9]+$",
+}
+
+
+def parse_busy(record: Column) -> Column:
+    """A busy record, ``v1 gen=… seq=… state=… source=… event=… ts=…`` and a newline, as a struct of its fields and
+    ``fault``: null, or the first of ``lines`` (not one line), ``version``, ``unknown-field`` and the name of a field
+    that is absent or ill-formed. Blanks separate fields, of a repeated one the last counts, order is free."""
+    parts = F.filter(F.split(F.split_part(record, F.lit("\n"), F.lit(1)), " "), lambda x: x != "")
+    given = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    known = "^(" + "|".join(BUSY_FIELDS) + ")="
+
+    def value(name: str) -> Column:
+        last = F.try_element_at(F.filter(given, lambda x: F.startswith(x, F.lit(f"{name}="))), F.lit(-1))
+        return F.substring(last, len(name) + 2, 2147483647)
+
+    values = {name: value(name) for name in BUSY_FIELDS}
+    fault = (
+        F.when(record.isNull() | (F.length(record) - F.length(F.replace(record, F.lit("\n"))) != 1), "lines")
+        .when(~F.coalesce(F.get(parts, F.lit(0)), F.lit("")).eqNullSafe(BUSY_VERSION), "version")
+        .when(F.exists(given, lambda x: ~x.rlike(known)), "unknown-field")
+    )
+    for name, form in BUSY_FIELDS.items():
+        fault = fault.when(~F.coalesce(values[name], F.lit("")).rlike(form), name)
+    return F.struct(
+        *[F.when(fault.isNull(), v).alias("record_seq" if n == "seq" else n) for n, v in values.items()], fault.alias("fault"))

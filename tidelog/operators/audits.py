@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions import text as tx
+from tidelog.operators import lineage
 from tidelog.vocab import MESSAGE_KINDS
 
 # Accepted shapes of change links.
@@ -179,13 +180,21 @@ def impacted_families(paths: DataFrame, rules: Sequence[tuple[str, Sequence[str]
 def tests_referencing(names: DataFrame, tests: DataFrame) -> DataFrame:
     """Tests whose text holds a name anywhere, letter by letter: ``name, test``.
 
-    ``names``: ``name``; ``tests``: ``test, text``. Candidates share the name's first characters (three, or all of a
-    shorter name), by an equi-join with the distinct short strings of each text; containment then decides."""
-    grams = F.concat(*[
-        F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{k}}}))"), 1)) for k in (1, 2, 3)])
-    held = tests.select("test", F.explode(grams).alias("gram"))
-    wanted = names.select("name").distinct().filter(F.length("name") > 0).withColumn("gram", F.substring("name", 1, 3))
-    pairs = held.join(wanted, "gram").select("name", "test")
+    ``names``: ``name``; ``tests``: ``test, text``. Of the strings of three characters in a name (a shorter name: all of
+    it) the one that the fewest texts hold is its key; names and texts meet in an equi-join on it, and containment then
+    decides. Names of one prefix thus meet by what tells them apart. Only strings that some name has are counted."""
+    def grams(text: str, sizes: tuple[int, ...]) -> Column:
+        return F.concat(*[F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), 1)) for k in sizes])
+
+    wanted = names.select("name").distinct().filter(F.length("name") > 0)
+    keys = wanted.select("name", F.explode(F.when(F.length("name") < 3, F.array("name")).otherwise(grams("name", (3,)))).alias("gram"))
+    held = tests.select("test", F.explode(grams("text", (1, 2, 3))).alias("gram"))
+    held = lineage.cut(held.join(keys.select("gram").distinct(), "gram", "left_semi"))
+    texts = held.groupBy("gram").agg(F.count("*").alias("texts"))
+    # A string that no text holds rules its name out.
+    rarest = keys.join(texts, "gram", "left").groupBy("name").agg(
+        F.min_by("gram", F.struct("texts", "gram")).alias("gram"), F.min(F.coalesce("texts", F.lit(0))).alias("least"))
+    pairs = held.join(rarest.filter("least > 0").select("name", "gram"), "gram").select("name", "test")
     return pairs.join(tests, "test").filter(F.col("text").contains(F.col("name"))).select("name", "test")
 
 

@@ -32,6 +32,14 @@ def _last_transition(df: DataFrame, openers: Sequence[str], closers: Sequence[st
     return ends.filter(F.col("verb").isin(*openers))
 
 
+def decision_moves(df: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
+    """Lines that open or close a decision."""
+    moving = F.col("verb").isin(*OPEN_VERBS, vocab.resolved, vocab.held)
+    return df.filter(
+        F.col("key").isNotNull() & moving & tx.transition_allowed(F.col("key"), F.col("note"), vocab.reserved_prefixes)
+    )
+
+
 def open_decisions(df: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """Decisions still open per log and key; ``seq`` gives the order, most recently opened last.
     ``done`` never closes one. Works on one log or on all of them."""
@@ -76,6 +84,12 @@ def run_state(df: DataFrame) -> DataFrame:
     return runs.groupBy("task").agg(state.alias("run_state"))
 
 
+def read_busy(records: DataFrame) -> DataFrame:
+    """Busy records as text (``task, seq, record``) as rows of :func:`current_busy`, and ``fault``. Of a faulty record no
+    field counts, so it makes its task ``malformed``."""
+    return records.select("task", "seq", tx.parse_busy(F.col("record")).alias("b")).select("task", "seq", "b.*")
+
+
 def current_busy(records: DataFrame, armed: DataFrame, trust: DataFrame) -> DataFrame:
     """Verified current state per task. A record counts when it parses, carries the armed
     incarnation and comes from a source trusted for the task's producer; otherwise the state is

@@ -15,12 +15,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import text as tx
-from tidelog.operators import folds, joins, lineage
+from tidelog.operators import folds, joins, lineage, ordered
 from tidelog.sources import ledgers
 from tidelog.streaming import keyed, rules
+from tidelog.streaming.buckets import BucketLedger
 from tidelog.vocab import DEFAULT_VOCABULARY, OPEN_VERBS, Vocabulary
 
 BatchFn = Callable[[DataFrame, int], None]
+#: Buckets of a ledger where the caller names no other number.
+BUCKETS = 64
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -60,17 +63,83 @@ def stream_open_decisions(lines: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULA
         F.col("m.verb").isin(*OPEN_VERBS).alias("is_open"))
 
 
+def _open_ledger(path: str, kind: str, buckets: int = BUCKETS) -> BucketLedger:
+    return BucketLedger(path, ["task", "key"], f"task {kind}, key string, seq long, verb string, note string", buckets)
+
+
 def apply_moves(path: str) -> BatchFn:
-    """Sink of :func:`stream_open_decisions`: keeps every batch of moves."""
-    return lambda df, batch_id: write_batch(df, path, batch_id)
+    """Sink of :func:`stream_open_decisions`: the open set as a ledger, of which a batch rewrites the buckets of the keys
+    that moved. A closed key leaves the ledger."""
+
+    def run(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        ledger = _open_ledger(path, df.schema["task"].dataType.simpleString())
+        moved = lineage.cut(df)
+        buckets = ledger.touched(moved)
+        old = ledger.read(spark, buckets, batch_id).join(moved.select("task", "key"), ["task", "key"], "left_anti")
+        now = old.unionByName(moved.filter("is_open").drop("is_open"))
+        ledger.write(now, buckets, batch_id)
+
+    return run
+
+
+def open_set(spark: SparkSession, path: str, task: str = "long") -> DataFrame:
+    """Current open set that the moves left; ``task`` is the type of that column."""
+    return _open_ledger(path, task).read(spark)
+
+
+#: What the fold means. A new number makes every log that was folded under another one start over.
+FOLD_VERSION = 1
+
+
+def fold_logs(
+    read: Callable[[DataFrame], DataFrame], path: str, vocab: Vocabulary = DEFAULT_VOCABULARY, version: int = FOLD_VERSION,
+    buckets: int = BUCKETS,
+) -> BatchFn:
+    """Open sets of logs that may also shrink, be replaced, or fail to be read.
+
+    Batch rows are looks at logs: ``task, look, ident, size``, the newest ``look`` of a log counts. ``ident`` tells one
+    file from another under the same name (null: the look failed), ``size`` counts its lines. ``read`` gets ``task, ident,
+    past, size`` of the logs that have something new and gives ``task, seq, verb, key, note`` of the lines past ``past`` and
+    up to ``size``. A cursor per log holds fold version, identity and size; where version or identity differ, or the log is
+    shorter than the cursor, the log is folded from its first line and its old set dropped, else from the cursor. A log
+    whose look failed, or of which other than the wanted number of lines came, keeps set and cursor."""
+    cursor_schema = "version int, ident string, size long"
 
+    def run(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        kind = df.schema["task"].dataType.simpleString()
+        cursors = BucketLedger(f"{path}/cursors", ["task"], f"task {kind}, {cursor_schema}", buckets)
+        sets = BucketLedger(f"{path}/sets", ["task"], f"task {kind}, key string, seq long, verb string, note string", buckets)
+        newest = F.max_by(F.struct("ident", "size"), "look").alias("n")
+        looks = lineage.cut(df.groupBy("task").agg(newest).select("task", "n.ident", "n.size").filter("ident IS NOT NULL"))
+        touched = cursors.touched(looks)
+        known = cursors.read(spark, touched, batch_id)
+        old = known.select("task", F.col("version").alias("__v"), F.col("ident").alias("__i"), F.col("size").alias("__s"))
+        met = looks.join(old, "task", "left")
+        same = F.coalesce((F.col("__v") == version) & (F.col("__i") == F.col("ident")) & (F.col("__s") <= F.col("size")), F.lit(False))
+        past = F.when(same, F.col("__s")).otherwise(F.lit(0).cast("long"))
+        plan = lineage.cut(met.filter(~(same & (F.col("__s") == F.col("size")))).select("task", "ident", past.alias("past"), "size"))
+        lines = lineage.cut(read(plan.filter("past < size")).select("task", "seq", "verb", "key", "note"))
+        came = lines.groupBy("task").agg(F.count("*").alias("came"))
+        whole = lineage.cut(plan.join(came, "task", "left").filter(F.coalesce("came", F.lit(0)) == F.col("size") - F.col("past")))
+        moves = ordered.latest(folds.decision_moves(lines.join(whole.select("task"), "task", "left_semi"), vocab), ["task", "key"], "seq",
+                               ["seq", "verb", "note"])
+        moves = lineage.cut(moves)
+        before = sets.read(spark, touched, batch_id)
+        again = whole.filter("past = 0").select("task")
+        kept = before.join(again, "task", "left_anti").join(moves.select("task", "key"), ["task", "key"], "left_anti")
+        sets.write(kept.unionByName(moves.filter(F.col("verb").isin(*OPEN_VERBS)).select(*kept.columns)), touched, batch_id)
+        held = known.join(whole.select("task"), "task", "left_anti")
+        ahead = whole.select("task", F.lit(version).alias("version"), "ident", "size")
+        cursors.write(held.unionByName(ahead), touched, batch_id)
+
+    return run
 
-def open_set(spark: SparkSession, path: str) -> DataFrame:
-    """Current open set from the moves: the newest row per key, if open."""
-    moves = spark.read.parquet(path)
-    last = F.max_by(F.struct("seq", "verb", "note", "is_open"), F.col("seq")).alias("m")
-    return moves.groupBy("task", "key").agg(last).filter("m.is_open").select(
-        "task", "key", "m.seq", "m.verb", "m.note")
+
+def folded_set(spark: SparkSession, path: str, task: str = "long", buckets: int = BUCKETS) -> DataFrame:
+    """Open decisions that :func:`fold_logs` trusts now."""
+    return BucketLedger(f"{path}/sets", ["task"], f"task {task}, key string, seq long, verb string, note string", buckets).read(spark)
 
 
 # --- queue and ledgers -----------------------------------------------------------------------
@@ -90,83 +159,52 @@ def drain_wakes(sink: str, annotate: BatchFn | None = None) -> BatchFn:
     return run
 
 
-def offer_once(requests: DataFrame, ttl: str = "7 days", event_time: str = "event_time") -> DataFrame:
-    """A request id wakes once in ``ttl``, even after its inbox row is gone. Requests older than the newest one by more
-    than ``ttl`` are dropped, so ``ttl`` must cover how late a request may arrive."""
-    return requests.withWatermark(event_time, ttl).dropDuplicatesWithinWatermark(["request"])
+def offer_once(requests: DataFrame, ttl: int = 7 * 86400, delay: str = "0 seconds") -> DataFrame:
+    """A request id wakes once in ``ttl`` seconds, even after its inbox row is gone. Rows: ``request, ts, seq``. Every row
+    comes out, as ``offer``, as ``repeat`` of an offer less than ``ttl`` away, or as ``late`` where the state that could
+    tell has gone: more than ``delay`` behind the newest row and its offers forgotten."""
+    return keyed.stream(requests, "request", rules.OfferOnce(ttl), delay, hold=False)
 
 
-def consume_events(rules_of: Mapping[str, Column], out: str) -> BatchFn:
+def consume_events(rules_of: Mapping[str, Column], out: str, buckets: int = BUCKETS) -> BatchFn:
     """Terminal events: each id accepted once, refusals kept with their reason. Ids consumed by an
-    earlier batch are dropped; accepted repeats inside a batch count once, refusals all stand."""
+    earlier batch are dropped; accepted repeats inside a batch count once, refusals all stand. The ledger of consumed ids
+    is in buckets: a batch reads and rewrites those of its own ids."""
+    ledger = BucketLedger(f"{out}/ledger", ["event_id"], "event_id string", buckets)
 
     def run(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        done = read_before(spark, f"{out}/accepted", batch_id)
-        ledger = done if done is not None else df.filter(F.lit(False))
-        accepted, rejected = ledgers.split_quarantine(df, rules_of, ledger.select("event_id"))
+        touched = ledger.touched(df)
+        done = ledger.read(spark, touched, batch_id)
+        accepted, rejected = ledgers.split_quarantine(df, rules_of, done)
         # Rows are judged before repeats go, so a bad row never hides a good one of the same id.
         write_batch(rejected, f"{out}/rejected", batch_id)
         write_batch(accepted.dropDuplicates(["event_id"]), f"{out}/accepted", batch_id)
+        new = spark.read.parquet(f"{out}/accepted/batch_id={batch_id}").select("event_id")
+        ledger.write(done.unionByName(new), touched, batch_id)
 
     return run
 
 
-def reannounce(results: str, handled: str, out: str) -> BatchFn:
-    """On every trigger announce the captured results that have no handled mark; only the mark
-    ends it. The triggering rows carry no data."""
-
-    def run(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        marks = read_before(spark, handled)
-        found = spark.read.parquet(results)
-        pending = found if marks is None else joins.pending_results(found, marks)
-        write_batch(pending, out, batch_id)
-
-    return run
-
-
-def mirror_log(out: str, max_bytes: int = 65536) -> BatchFn:
-    """Mirror logs: scrubbed lines, each at most once per log; a break of continuity becomes one
-    keyed ``blocked`` line and the log stops.
+def reannounce(out: str, buckets: int = BUCKETS) -> BatchFn:
+    """On every trigger announce the captured results that have no handled mark; only the mark ends it.
 
-    Batch rows: ``log, seq, line`` of the logs' whole current content, in every batch; of a log with more new bytes than
-    ``max_bytes`` the rest comes with the next batch that shows it again."""
+    Batch rows: ``source, seq, path, kind`` (``result`` or ``handled``), in any order: a mark may come before its result.
+    The ledger holds one row per result, ``pending`` or not; a trigger rewrites the buckets of its own rows, and reads all
+    pending ones, since it announces them."""
 
     def run(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        cursor_path, line_path = f"{out}/cursor", f"{out}/lines"
-        old = read_before(spark, cursor_path, batch_id)
-        empty = df.groupBy("log").agg(F.lit(0).cast("long").alias("lines"))
-        if old is None:
-            cursors = empty.select("log", "lines", F.lit(0).cast("long").alias("bytes"),
-                                   F.lit(None).cast("string").alias("digest"), F.lit(False).alias("broken"))
-        else:
-            last = F.max_by(F.struct("lines", "bytes", "digest", "broken"), F.col("batch_id")).alias("c")
-            kept = old.groupBy("log").agg(last).select("log", "c.*")
-            fresh = empty.join(kept.select("log"), "log", "left_anti").select(
-                "log", "lines", F.lit(0).cast("long").alias("bytes"),
-                F.lit(None).cast("string").alias("digest"), F.lit(False).alias("broken"))
-            cursors = kept.unionByName(fresh)
-        live = cursors.filter(~F.col("broken"))
-        verdict = ledgers.audit_continuity(live, df, max_bytes)
-        breaks = verdict.filter(~F.col("status").isin("delta", "unchanged"))
-        alarm = breaks.select("log", F.lit(None).cast("long").alias("seq"), F.concat(
-            F.lit("blocked [key=mirror-continuity-"), F.col("log").cast("string"),
-            F.lit("]: mirror continuity broke ("), F.col("status"), F.lit(")")).alias("line"))
-        moved = verdict.filter("status = 'delta'").join(live.select("log", "lines"), "log")
-        upto = (F.col("lines") + F.col("delta_lines")).alias("upto")
-        carried = df.join(moved.select("log", F.col("lines").alias("from"), upto), "log").filter(
-            (F.col("seq") > F.col("from")) & (F.col("seq") <= F.col("upto")) & F.col("line").rlike(r"\S"))
-        clean = carried.select("log", "seq", tx.clean_text(F.col("line"), "mask").alias("line"))
-        first = clean.groupBy("log", "line").agg(F.min("seq").alias("seq"))
-        before = read_before(spark, line_path, batch_id)
-        new = first if before is None else first.join(before.select("log", "line"), ["log", "line"], "left_anti")
-        prefix = df.join(moved.select("log", upto), "log").filter(F.col("seq") <= F.col("upto"))
-        ahead = ledgers.log_digest(prefix.select("log", "seq", "line")).withColumn("broken", F.lit(False))
-        stop = breaks.join(live, "log").select("log", "lines", "bytes", "digest", F.lit(True).alias("broken"))
-        write_batch(new.select("log", "seq", "line").unionByName(alarm), line_path, batch_id)
-        write_batch(ahead.select("log", "lines", "bytes", "digest", "broken").unionByName(stop), cursor_path, batch_id)
+        source = df.schema["source"].dataType.simpleString()
+        columns = f"source {source}, seq long, path string"
+        pending = BucketLedger(f"{out}/pending", ["source", "seq"], columns, buckets)
+        ended = BucketLedger(f"{out}/ended", ["source", "seq"], f"source {source}, seq long", buckets)
+        touched = pending.touched(df)
+        marks = ended.read(spark, touched, batch_id).unionByName(df.filter("kind = 'handled'").select("source", "seq")).distinct()
+        found = pending.read(spark, touched, batch_id).unionByName(df.filter("kind = 'result'").select("source", "seq", "path"))
+        pending.write(joins.pending_results(found.dropDuplicates(["source", "seq"]), marks), touched, batch_id)
+        ended.write(marks, touched, batch_id)
+        write_batch(pending.read(spark), f"{out}/announced", batch_id)
 
     return run
 
@@ -182,28 +220,32 @@ def catch_all_sweep(
 # --- rules with timers -----------------------------------------------------------------------
 
 
-def coalesce_signals(changes: DataFrame, key: str = "home", **kw) -> DataFrame:
-    return keyed.stream(changes, key, rules.CoalesceSignals(**kw))
+# With ``delay`` rows are held until the newest one is that far ahead, and taken in order of time; without it they are taken
+# as they come, and those behind their key's place come out as ``late``.
+
+
+def coalesce_signals(changes: DataFrame, key: str = "home", delay: str | None = None, **kw) -> DataFrame:
+    return keyed.stream(changes, key, rules.CoalesceSignals(**kw), delay)
 
 
-def batch_escalations(items: DataFrame, key: str = "channel", **kw) -> DataFrame:
-    return keyed.stream(items, key, rules.BatchEscalations(**kw))
+def batch_escalations(items: DataFrame, key: str = "channel", delay: str | None = None, **kw) -> DataFrame:
+    return keyed.stream(items, key, rules.BatchEscalations(**kw), delay)
 
 
-def stream_timers(rows: DataFrame, key: str = "entity", **kw) -> DataFrame:
-    return keyed.stream(rows, key, rules.Timers(**kw))
+def stream_timers(rows: DataFrame, key: str = "entity", delay: str | None = None, **kw) -> DataFrame:
+    return keyed.stream(rows, key, rules.Timers(**kw), delay)
 
 
-def stream_alert_edges(rows: DataFrame, mode: str, key: str = "entity") -> DataFrame:
-    return keyed.stream(rows, key, rules.AlertEdges(mode))
+def stream_alert_edges(rows: DataFrame, mode: str, key: str = "entity", delay: str | None = None) -> DataFrame:
+    return keyed.stream(rows, key, rules.AlertEdges(mode), delay)
 
 
-def stream_busy_state(rows: DataFrame, key: str = "task") -> DataFrame:
-    return keyed.stream(rows, key, rules.BusyState())
+def stream_busy_state(rows: DataFrame, key: str = "task", delay: str | None = None) -> DataFrame:
+    return keyed.stream(rows, key, rules.BusyState(), delay)
 
 
-def stream_replies(rows: DataFrame, key: str = "corr", **kw) -> DataFrame:
-    return keyed.stream(rows, key, rules.Replies(**kw))
+def stream_replies(rows: DataFrame, key: str = "corr", delay: str | None = None, **kw) -> DataFrame:
+    return keyed.stream(rows, key, rules.Replies(**kw), delay)
 
 
 # --- running to the end ----------------------------------------------------------------------

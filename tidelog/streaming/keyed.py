@@ -1,11 +1,14 @@
 """Runner for rules that carry state and timers per key, on event time.
 
 Rows of one key are replayed in order of (time, position); due timers fire before the row that
-passes them, and on the watermark when no row comes. The result therefore does not depend on how
-the input falls into micro-batches, as long as a key's rows come in order. Rows before what the
-key has already seen, or before a timer it has fired, come out as ``late``; the watermark only
-fires timers and drops no row. A rule that keeps no state for a key forgets its place. A key's rows of one trigger are sorted in one task, so
-the source's per-trigger limit (``maxFilesPerTrigger`` or ``maxBytesPerTrigger``) bounds it.
+passes them, and on the watermark when no row comes. Without a delay rows are taken as they come, and
+the result does not depend on how the input falls into micro-batches as long as a key's rows come in
+order. With a delay a row waits in its key's state until the newest row of the stream is that far
+ahead, so rows that come in any order within the delay give the result of ordered ones; the last rows
+wait for newer ones. Rows before what the key has already seen, or before a timer it has fired, come
+out as ``late``; the watermark fires timers and frees waiting rows, and drops none. A rule that keeps no
+state for a key forgets its place. A key's rows of one trigger are sorted in one task, so the source's
+per-trigger limit (``maxFilesPerTrigger`` or ``maxBytesPerTrigger``) and the delay bound it.
 """
 
 from __future__ import annotations
@@ -49,6 +52,9 @@ def replay(rule: Rule, state: State, rows: list[Row], until: int) -> list[tuple]
     """Feed ordered rows, then the timers due by ``until``. Also the batch form of every rule."""
     out: list[tuple] = []
 
+    # Rules that take rows in any order judge by themselves what they can no longer know.
+    state["until"], any_order = until, getattr(rule, "any_order", False)
+
     def timers(limit: int) -> None:
         while (due := rule.due(state)) is not None and due <= limit:
             state["fired"] = due
@@ -56,10 +62,11 @@ def replay(rule: Rule, state: State, rows: list[Row], until: int) -> list[tuple]
 
     for row in rows:
         place = [row["ts"], row["seq"]]
-        if place < state.get("seen", [-1, -1]) or row["ts"] < state.get("fired", -1):
+        if not any_order and (place < state.get("seen", [-1, -1]) or row["ts"] < state.get("fired", -1)):
             out.append(("late", row["ts"], row["seq"], *[None] * (len(_fields(rule.output)) - 3)))
             continue
-        timers(row["ts"])
+        if not any_order:
+            timers(row["ts"])
         state["seen"] = place
         out.extend(rule.on_row(state, row))
     timers(until)
@@ -82,14 +89,16 @@ def _ordered(batches: Iterator[pd.DataFrame], columns: list[str]) -> list[Row]:
     return rows
 
 
-def stream(df: DataFrame, key: str, rule: Rule, delay: str = "0 seconds") -> DataFrame:
+def stream(df: DataFrame, key: str, rule: Rule, delay: str | None = None, hold: bool = True) -> DataFrame:
     """Run ``rule`` over a stream with the key column, ``ts`` (epoch seconds), ``seq`` and the
-    rule's columns. Output: the key and the rule's columns, ``kind, ts, seq`` first."""
+    rule's columns. Output: the key and the rule's columns, ``kind, ts, seq`` first. With ``hold`` rows
+    wait for ``delay``; without it the delay only holds back the timers that no row of the key fires."""
+    hold = hold and delay is not None
     key_type = df.schema[key].dataType.simpleString()
     names = _fields(rule.output)
     wanted = ["ts", "seq", *rule.columns]
     timed = df.select(key, "ts", "seq", *rule.columns).withColumn(
-        "event_time", F.timestamp_seconds("ts")).withWatermark("event_time", delay)
+        "event_time", F.timestamp_seconds("ts")).withWatermark("event_time", delay or "0 seconds")
     # Spark drops rows whose marked column is behind the watermark. The clock has been read above
     # this point, so the mark moves to a column that never is.
     mark = timed.schema["event_time"].metadata
@@ -100,12 +109,21 @@ def stream(df: DataFrame, key: str, rule: Rule, delay: str = "0 seconds") -> Dat
         state = json.loads(held.get[0]) if held.exists else rule.fresh()
         mark = held.getCurrentWatermarkMs()
         rows: list[Row] = [] if held.hasTimedOut else _ordered(batches, wanted)
-        out = replay(rule, state, rows, mark // 1000 if mark > 0 else -1)
-        if rule.keep(state):
+        until = mark // 1000 if mark > 0 else -1
+        waiting: list[Row] = []
+        if hold:
+            rows = sorted(state.pop("held", []) + rows, key=lambda r: (r["ts"], r["seq"]))
+            # Rows of the very second that the watermark has reached may still come.
+            waiting = [r for r in rows if r["ts"] >= until]
+            rows = rows[: len(rows) - len(waiting)]
+        out = replay(rule, state, rows, until - 1 if hold else until)
+        if waiting:
+            state["held"] = waiting
+        if waiting or rule.keep(state):
             held.update((json.dumps(state),))
-            due = rule.due(state)
-            if due is not None:
-                held.setTimeoutTimestamp(max(due * 1000, mark + 1))
+            due = [t for t in (rule.due(state), waiting[0]["ts"] if waiting else None) if t is not None]
+            if due:
+                held.setTimeoutTimestamp(max((min(due) + hold) * 1000, mark + 1))
         elif held.exists:
             held.remove()
         if out:

@@ -209,19 +209,23 @@ class Replies:
     Rows: ``request`` (delivered), ``busy``/``idle`` (activity), ``outcome`` of the recovery send
     (``confirmed``, ``failed``, ``unknown`` in ``text``) and ``report``. A report resolves at any
     time; once the turn completed and ``grace`` passed, one recovery goes out; a missed or failed
-    recovery escalates once; a late report closes the escalation. Nothing expires. Sends and
-    escalations are output rows, not side effects."""
+    recovery escalates once; a late report closes the escalation. Nothing expires. A report that comes
+    before its request waits ``wait`` seconds for it and resolves it as it opens; without one it comes out
+    as ``unmatched``, with the number of such reports. Sends and escalations are output rows, not side
+    effects."""
 
     grace: int = DEFAULT_THRESHOLDS.reply_grace
+    wait: int = DEFAULT_THRESHOLDS.early_reply_wait
     columns: tuple[str, ...] = ("kind", "text")
     output: str = "kind string, ts long, seq long, phase string, detail string"
 
     def keep(self, state: State) -> bool:
-        """Tokens nobody asked for leave nothing behind; a request stays until the end of time."""
-        return state["phase"] is not None
+        """A request stays until the end of time, a report without one until its deadline. Other rows of tokens that
+        nobody asked for leave nothing behind."""
+        return state["phase"] is not None or state["early"] is not None
 
     def fresh(self) -> State:
-        return {"phase": None, "delivered": None, "completed": None, "escalated": False}
+        return {"phase": None, "delivered": None, "completed": None, "escalated": False, "early": None}
 
     def _to(self, state: State, kind: str, row: Row, phase: str, detail: str | None) -> tuple:
         state["phase"] = phase
@@ -232,8 +236,17 @@ class Replies:
         if kind == "request":
             if phase is not None:
                 return []
-            state["delivered"] = row["ts"]
-            return [self._to(state, "opened", row, "awaiting_report", None)]
+            state["delivered"], early = row["ts"], state["early"]
+            out = [self._to(state, "opened", row, "awaiting_report", None)]
+            if early is not None:
+                state["early"] = None
+                out.append(self._to(state, "resolved", {"ts": row["ts"], "seq": early["seq"]}, "resolved", early["text"]))
+            return out
+        if phase is None and kind == "report":
+            # The first one is what a request will be resolved by; of further ones the number is kept.
+            early = state["early"] or {"ts": row["ts"], "seq": row["seq"], "text": row["text"], "n": 0}
+            state["early"] = early | {"n": early["n"] + 1}
+            return []
         if phase in (None, "resolved"):
             return []
         if kind == "report":
@@ -259,10 +272,48 @@ class Replies:
         return [self._to(state, "escalated", row, "escalated", why)]
 
     def due(self, state: State) -> int | None:
+        if state["early"] is not None:
+            return state["early"]["ts"] + self.wait
         if state["phase"] != "awaiting_report" or state["completed"] is None:
             return None
         return max(state["completed"], state["delivered"] + self.grace)
 
     def on_timer(self, state: State, at: int) -> list[tuple]:
+        if (early := state["early"]) is not None:
+            state["early"] = None
+            return [("unmatched", at, early["seq"], "unmatched", str(early["n"]))]
         row = {"ts": at, "seq": state["seen"][1]}
         return [self._to(state, "send", row, "recovery_sending", None)]
+
+
+@dataclass(frozen=True)
+class OfferOnce:
+    """A request is offered unless it was within ``ttl`` seconds, earlier or later: rows may come in any order. An offer is
+    remembered for two times ``ttl``, so a row that comes up to ``ttl`` behind the watermark is still judged; one further
+    behind, with no offer near it on record, is ``late``."""
+
+    ttl: int
+    columns: tuple[str, ...] = ()
+    output: str = "kind string, ts long, seq long"
+    any_order: bool = True
+
+    def fresh(self) -> State:
+        return {"offers": []}
+
+    def keep(self, state: State) -> bool:
+        return bool(state["offers"])
+
+    def on_row(self, state: State, row: Row) -> list[tuple]:
+        if any(abs(row["ts"] - at) < self.ttl for at in state["offers"]):
+            return [("repeat", row["ts"], row["seq"])]
+        if row["ts"] + self.ttl <= state["until"]:
+            return [("late", row["ts"], row["seq"])]
+        state["offers"] = sorted([*state["offers"], row["ts"]])
+        return [("offer", row["ts"], row["seq"])]
+
+    def due(self, state: State) -> int | None:
+        return state["offers"][0] + 2 * self.ttl if state["offers"] else None
+
+    def on_timer(self, state: State, at: int) -> list[tuple]:
+        state["offers"] = [o for o in state["offers"] if o + 2 * self.ttl > at]
+        return []

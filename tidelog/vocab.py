@@ -50,6 +50,7 @@ class Thresholds:
     max_defer: int = 300
     signal_grace: int = 30
     reply_grace: int = 120
+    early_reply_wait: int = 86400
     sweep_secs: int = 300
     followup_cap: int = 3
     followup_age: int = 604800
