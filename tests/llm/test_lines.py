@@ -46,10 +46,38 @@ def test_odd_rows(spark):
     assert L.dedup_lines(docs.limit(0)).collect() == []
 
 
-def test_rows_that_share_an_id_are_whole(spark):
-    docs = spark.createDataFrame([(1, "p q r\ns t"), (1, "u v\np q r"), (2, "s t\nz")], "doc_id long, text string")
-    got = sorted(r["text"] for r in L.dedup_lines(docs).collect())
-    assert sum(t.count("p q r") for t in got) >= 1 and any("z" in t for t in got) and any("u v" in t for t in got)
+def placed_by_rows(rows):
+    """Plain result for rows whose ids repeat: which of the rows that share an id comes first is free, so texts are sorted."""
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
+    got = plain.lines([(n, rows[k][1]) for n, k in enumerate(order)])
+    return sorted((str(rows[k][0]), str(got[n])) for n, k in enumerate(order))
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    rows = [(None, "p q r\nx"), (None, "y\nk l"), (None, "p q r\nx"), (3, "a b c\nd e"), (3, "a b c\nd e"), (2, "d e\nz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = L.dedup_lines(docs)
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in out.collect())
+    assert got == placed_by_rows(rows)
+    assert out.agg({"n_removed": "sum"}).first()[0] == 5
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_repeated_ids_against_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(40)]
+    base = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(12)]
+    rows = [(rng.choice([None, 1, 2, 3, 4]), "\n".join(rng.choice(base) for _ in range(rng.randint(0, 5)))) for _ in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in L.dedup_lines(docs).collect())
+    assert got == placed_by_rows(rows)
+
+
+def test_columns_of_the_same_names(spark):
+    docs = spark.createDataFrame([(1, "a\nb\na", 7, 8, "k", "m")], "doc_id long, text string, n_lines int, n_removed int, did string, h string")
+    assert L.dedup_lines(docs, counts=False).collect() == [(1, "a\nb", 7, 8, "k", "m")]
+    out = L.dedup_lines(docs)
+    assert out.columns == ["doc_id", "text", "did", "h", "n_lines", "n_removed"] and tuple(out.first()) == (1, "a\nb", "k", "m", 3, 1)
 
 
 def test_table_against_sql(spark):

@@ -57,7 +57,8 @@ def test_whole_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert check(spark, rows) > 0
     out = QUERIES["op7_suffix_dedup"](spark, SF)
-    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    assert all(len(r["text"].encode()) >= r["n_bytes"] - r["n_removed"] for r in out.collect())
     assert check(spark, rows, shard_bytes=4000) > 0
 
 

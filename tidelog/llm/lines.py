@@ -19,9 +19,9 @@ their first copy only; the table of these is bounded, as each stands for at leas
 
 All of it is DataFrame functions. Tokens are 64-bit hashes of the words.
 
-Nulls and odd cases: null text has no lines and stays null; null ids come last and are one document to the order; rows
-that share an id keep their own lines, and lines at the same place under one id are not compared; an empty
-table gives an empty result; other columns are kept.
+Nulls and odd cases: null text has no lines and stays null; null ids come last; rows that share an id, or have none, are
+documents of their own, in the order in which they are read; an empty table gives an empty result; other columns are kept,
+but for ``n_lines`` and ``n_removed`` where these are added.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.base import query, stage, table
+from tidelog.llm.base import global_rank, query, stage, table
 
 SHINGLE = 5
 #: Similarity as a fraction of whole numbers, so that bounds are exact.
@@ -46,9 +46,21 @@ def _order_id(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(_LAST))
 
 
+def with_place(docs: DataFrame) -> DataFrame:
+    """Add ``__did``, a number of its own for every document, that orders them. It is the id, unless rows share one: then
+    the rows are written once with their number as read, and placed by id and number."""
+    shared = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    if shared.isEmpty():
+        return docs.withColumn("__did", _order_id(F.col("doc_id")))
+    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()))
+    placed = global_rank(rows.select("doc_id", "__row"), [F.col("doc_id").asc_nulls_last(), F.col("__row")], "__did")
+    placed = placed.select(F.col("__row").alias("__r"), "__did")
+    return stage(rows.join(placed, F.col("__row") == F.col("__r")).drop("__row", "__r"))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``did, no, line`` of every line with words; ``did`` orders the documents."""
-    split = docs.select(_order_id(F.col("doc_id")).alias("did"), F.posexplode_outer(F.split("text", "\n")).alias("no", "line"))
+    """``did, no, line`` of every line with words; ``did`` is the document's place."""
+    split = docs.select(F.col("__did").alias("did"), F.posexplode_outer(F.split("text", "\n")).alias("no", "line"))
     return split.filter(F.length(F.btrim("line", F.lit(_BLANK_CHARS))) > 0)
 
 
@@ -164,7 +176,7 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def later_matches(docs: DataFrame) -> DataFrame:
-    """``did, no, h``: every line that equals or resembles an earlier one, with the hash of the line."""
+    """``did, no, h``: every line that equals or resembles an earlier one, with the hash of the line. ``docs`` are placed."""
     lines = lines_of(docs)
     repeats, frequent = exact_repeats(lines)
     levels = stage(rarity_levels(lines))
@@ -175,7 +187,7 @@ def later_matches(docs: DataFrame) -> DataFrame:
     posted = candidates(prefixes(single, levels), repeats)
     # The token sets of all lines that are left, from one more pass over the texts.
     wanted = posted.select("did", "no").distinct().groupBy(F.col("did").alias("w")).agg(F.collect_list("no").alias("nos"))
-    texts = docs.select(_order_id(F.col("doc_id")).alias("did"), "text")
+    texts = docs.select(F.col("__did").alias("did"), "text")
     picked = texts.join(wanted, F.col("did") == F.col("w")).withColumn("lines", F.split("text", "\n"))
     picked = picked.select("did", F.explode(F.transform("nos", lambda i: F.struct(i.alias("no"), F.get("lines", i).alias("line")))).alias("x"))
     picked = with_shingles(picked.select("did", "x.no", "x.line").filter(F.col("line").isNotNull()))
@@ -204,17 +216,15 @@ def later_matches(docs: DataFrame) -> DataFrame:
     return repeats.unionByName(settled).unionByName(_similar(pairs, sets))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The documents without their later matches; adds ``n_lines`` and ``n_removed``."""
-    gone = later_matches(docs).distinct().groupBy(F.col("did").alias("__did")).agg(F.collect_list(F.struct("no", "h")).alias("__gone"))
-    met = docs.join(gone, _order_id(docs["doc_id"]) == F.col("__did"), "left")
+def dedup_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
+    """The documents without their later matches; with ``counts`` adds ``n_lines`` and ``n_removed``."""
+    placed = with_place(docs)
+    gone = later_matches(placed).distinct().groupBy(F.col("did").alias("__of")).agg(F.collect_list(F.struct("no", "h")).alias("__gone"))
+    met = placed.join(gone, F.col("__did") == F.col("__of"), "left")
     # Each array that a lambda reads is a column of its own first, as above.
     met = met.withColumn("__lines", F.split("text", "\n"))
     every = F.sequence(F.lit(0), F.size("__lines") - 1)
-    # Rows that share an id share the list; the hash tells whose line it is.
-    own = F.transform(
-        F.filter("__gone", lambda g: F.xxhash64(F.get("__lines", g["no"])) == g["h"]), lambda g: g["no"]
-    )
+    own = F.transform("__gone", lambda g: g["no"])
     met = met.withColumn("__kept", F.array_except(every, F.coalesce(own, F.array().cast("array<int>"))))
     text = F.array_join(F.transform("__kept", lambda i: F.get("__lines", i)), "\n")
     n = F.coalesce(F.when(F.col("text").isNotNull(), F.size("__lines")), F.lit(0)).cast("long")
@@ -222,10 +232,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     new = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(text)
     # In two steps: in one, a lambda's "text" would mean the new column.
     met = met.withColumns({"__text": new, "__n": n, "__left": left})
-    return met.select(
-        *[F.col("__text").alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.col("__n").alias("n_lines"), (F.col("__n") - F.col("__left")).alias("n_removed"),
-    )
+    added = [F.col("__n").alias("n_lines"), (F.col("__n") - F.col("__left")).alias("n_removed")] if counts else []
+    kept = [c for c in docs.columns if not (counts and c in ("n_lines", "n_removed"))]
+    return met.select(*[F.col("__text").alias("text") if c == "text" else F.col(c) for c in kept], *added)
 
 
 SQL = r"""
