@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.base import query, table
-from tidelog.llm.training import fit_svm, held_out, sample_per_class
+from tidelog.llm.training import fit_svm, held_out, one_each, sample_per_class
 
 #: Fixed knowledge: closely related languages.
 FAMILIES = {
@@ -116,10 +116,12 @@ def train(rows: list[tuple[str, np.ndarray]]) -> Model:
 
 
 def learn(docs: DataFrame, *, per_class: int = PER_CLASS) -> Model:
-    """``docs`` has ``doc_id``, ``text`` and ``lang`` of the rows to learn from."""
+    """``docs`` has ``doc_id``, ``text`` and ``lang`` of the rows to learn from. An id counts once for a language. More than
+    256 languages raise ``ValueError``: the machines are fitted on the driver, from ``per_class`` rows of each."""
     # Letters are asked for again below; here a text of blanks only is left out.
     fit = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    ids = sample_per_class(fit.select("doc_id", F.col("lang").alias("label")), "label", per_class)
+    fit = fit.select("doc_id", F.col("lang").alias("label"), "text")
+    ids = sample_per_class(fit.select("doc_id", "label").distinct(), "label", per_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +130,7 @@ def learn(docs: DataFrame, *, per_class: int = PER_CLASS) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.string()), pa.array(vectors, pa.binary())],
                                              names=["label", "vector"])
 
-    rows = fit.join(F.broadcast(ids), "doc_id").select("label", "text").mapInArrow(run, "label string, vector binary")
+    rows = one_each(fit, ids, "label").select("label", "text").mapInArrow(run, "label string, vector binary")
     taken = sorted((r["label"], bytes(r["vector"])) for r in rows.collect())
     return train([(label, np.frombuffer(v, np.float32)) for label, v in taken])
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.base import query, table
-from tidelog.llm.training import fit_logistic, held_out, sample_per_class
+from tidelog.llm.training import fit_logistic, held_out, one_each, sample_per_class
 
 FOLDS, FOLD = 5, 0
 PER_CLASS = 1600
@@ -89,11 +89,11 @@ def _dictionary(texts: list[bytes]) -> bytes:
 
 def train(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
     """``labels`` has ``doc_id`` and ``quality`` (1 good, 0 bad) of the rows to learn from."""
-    known = labels.filter(F.col("quality").isin(0, 1)).select("doc_id", "quality")
+    known = labels.filter(F.col("quality").isin(0, 1)).select("doc_id", "quality").distinct()
     fit = docs.filter((F.length("text") > 0) & (F.length("text") <= max_chars)).select("doc_id", "text")
     # Joined before sampling by id alone: texts of sampled rows are the only ones that move.
-    ids = sample_per_class(known.join(fit.select("doc_id"), "doc_id"), "quality", per_class)
-    rows = fit.join(F.broadcast(ids), "doc_id").select("quality", "doc_id", F.col("text").cast("binary").alias("text"))
+    ids = sample_per_class(known.join(fit.select("doc_id"), "doc_id", "left_semi"), "quality", per_class)
+    rows = one_each(fit, ids, "quality").select("quality", "doc_id", F.col("text").cast("binary").alias("text"))
     taken = sorted(map(tuple, rows.collect()))
     texts = {q: [bytes(t) for label, _, t in taken if label == q] for q in (0, 1)}
     model = Model(_dictionary(texts[1][::2]), _dictionary(texts[0][::2]))

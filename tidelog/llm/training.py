@@ -26,6 +26,17 @@ def sample_per_class(rows: DataFrame, label: str, per_class: int, max_classes: i
     return picked
 
 
+def one_each(rows: DataFrame, ids: DataFrame, label: str) -> DataFrame:
+    """``label, doc_id, text`` of the sampled ``ids`` (``label``, ``doc_id``, no pair twice), so never more rows than these:
+    of texts that share an id the one of least hash, wherever and however often the id repeats."""
+    named = ids.select(F.col("doc_id").alias("__id"), F.col(label).alias("__label"))
+    same = F.col("doc_id") == F.col("__id")
+    if label in rows.columns:
+        same = same & (F.col(label) == F.col("__label"))
+    met = rows.join(F.broadcast(named), same).select(F.col("__label").alias(label), "doc_id", "text")
+    return met.groupBy(label, "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """Whether a row is kept from training: by the CRC-32 of its id as text. A null id is held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(True))
