@@ -217,3 +217,29 @@ def test_announced_until_handled_in_any_order(spark, tmp_path):
             fn(spark.createDataFrame(rows, schema), n)
         said = spark.read.schema("source long, seq long, path string").parquet(f"{out}/announced/batch_id={n}").collect()
         assert {r["source"] for r in said} == want[n] and all(r["path"] == f"p{r['source']}" for r in said)
+
+
+def test_a_sweep_is_silent_on_what_it_surfaced(spark, tmp_path):
+    out = str(tmp_path / "out")
+    logs = {1: ["working: a", "done: one"], 2: ["blocked: two"], 3: ["working: quiet"]}
+
+    def read(spark, now):
+        rows = [(t, i, line.split(":")[0], line) for t, ls in logs.items() for i, line in enumerate(ls)]
+        return spark.createDataFrame(rows, "task long, seq long, verb string, line string")
+
+    fn = jobs.timed_sweep(read, out, every=300, buckets=2)
+
+    def tick(batch, now):
+        fn(spark.createDataFrame([(now - 5,), (now,)], "now long"), batch)
+        try:
+            return sorted(r["line"] for r in spark.read.parquet(f"{out}/surfaced/batch_id={batch}").collect())
+        except Exception:  # noqa: BLE001 - no sweep was due
+            return None
+
+    assert tick(0, 1000) == tick(0, 1000) == ["blocked: two", "done: one"]
+    logs[2].append("failed: three")
+    assert tick(1, 1200) is None
+    assert tick(2, 1300) == tick(2, 1300) == ["failed: three"]
+    assert tick(3, 1900) == []
+    logs[2].append("blocked: two")
+    assert tick(4, 2500) == ["blocked: two"]

@@ -285,3 +285,27 @@ def catch_all_sweep(spark: SparkSession, sf: str) -> DataFrame:
     logs = view(spark, sf, "status_events")
     surfaced = folds.latest_event(logs.filter("k % 4 <> 0"), ["line"])
     return jobs.catch_all_sweep(logs, surfaced).select("task", "seq", "line")
+
+
+@query("timed_sweep", with_views("""
+WITH h AS (SELECT max(seq) // 2 AS half FROM status_events),
+a AS (SELECT task, max(seq) AS seq, arg_max(verb, seq) AS verb, arg_max(line, seq) AS line FROM status_events, h WHERE seq <= half GROUP BY task),
+b AS (SELECT task, max(seq) AS seq, arg_max(verb, seq) AS verb, arg_max(line, seq) AS line FROM status_events GROUP BY task),
+s AS (SELECT task, seq, line FROM a WHERE verb IN ('done', 'needs-decision', 'blocked', 'failed'))
+SELECT 1000 AS at, task, seq, line FROM s
+UNION ALL SELECT 1300, b.task, b.seq, b.line FROM b LEFT JOIN s ON s.task = b.task
+WHERE b.verb IN ('done', 'needs-decision', 'blocked', 'failed') AND b.line IS DISTINCT FROM s.line"""))
+def timed_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """Four ticks: a sweep of the first half of the logs, one that comes too early, one of all, and one with nothing new."""
+    logs = view(spark, sf, "status_events")
+    half = logs.agg(F.floor(F.max("seq") / 2).alias("half"))
+
+    def read(spark: SparkSession, now: int) -> DataFrame:
+        return logs.join(F.broadcast(half), F.col("seq") <= F.col("half")).drop("half") if now < 1300 else logs
+
+    path = jobs.shared_folder(spark, "sweep")
+    for now in (1000, 1299, 1300, 1700):
+        spark.range(1).select(F.lit(now).cast("long").alias("now")).coalesce(1).write.mode("append").parquet(f"{path}/ticks")
+    ticks = spark.readStream.schema("now long").option("maxFilesPerTrigger", 1).parquet(f"{path}/ticks")
+    jobs.run_batches(ticks, jobs.timed_sweep(read, f"{path}/out"), path)
+    return spark.read.parquet(f"{path}/out/surfaced").select("at", "task", "seq", "line")

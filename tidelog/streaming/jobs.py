@@ -19,7 +19,7 @@ from tidelog.operators import folds, joins, lineage, ordered
 from tidelog.sources import ledgers
 from tidelog.streaming import keyed, rules
 from tidelog.streaming.buckets import BucketLedger
-from tidelog.vocab import DEFAULT_VOCABULARY, OPEN_VERBS, Vocabulary
+from tidelog.vocab import DEFAULT_THRESHOLDS, DEFAULT_VOCABULARY, OPEN_VERBS, Vocabulary
 
 BatchFn = Callable[[DataFrame, int], None]
 #: Buckets of a ledger where the caller names no other number.
@@ -217,6 +217,34 @@ def catch_all_sweep(
     return joins.unsurfaced(last.filter(tx.is_relevant(F.col("verb"), F.col("line"), vocab)), surfaced)
 
 
+def timed_sweep(
+    read: Callable[[SparkSession, int], DataFrame], out: str, every: int = DEFAULT_THRESHOLDS.sweep_secs,
+    vocab: Vocabulary = DEFAULT_VOCABULARY, buckets: int = BUCKETS,
+) -> BatchFn:
+    """The catch-all sweep as a job: batch rows are ticks with ``now`` in seconds. When ``every`` seconds have passed since
+    the last sweep, the logs are read (``read(spark, now)``: ``task, seq, verb, line``) and the relevant last lines that no
+    sweep has surfaced yet are written below ``out`` as ``at, task, seq, line``. The stamp of the last sweep and the line
+    last surfaced per task are ledgers, so a repeated batch surfaces the same lines, and the next one is silent on them."""
+    stamp = BucketLedger(f"{out}/stamp", ["id"], "id int, at long", 1)
+
+    def run(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        now = df.agg(F.max("now")).first()[0]
+        last = stamp.read(spark, before=batch_id).first()
+        if now is None or (last is not None and now - last["at"] < every):
+            return
+        logs = read(spark, now)
+        seen = BucketLedger(f"{out}/seen", ["task"], f"task {logs.schema['task'].dataType.simpleString()}, line string", buckets)
+        found = lineage.cut(catch_all_sweep(logs, seen.read(spark, before=batch_id), vocab).select("task", "seq", "line"))
+        write_batch(found.select(F.lit(now).cast("long").alias("at"), "*"), f"{out}/surfaced", batch_id)
+        touched = seen.touched(found)
+        kept = seen.read(spark, touched, batch_id).join(found.select("task"), "task", "left_anti")
+        seen.write(kept.unionByName(found.select("task", "line")), touched, batch_id)
+        stamp.write(spark.createDataFrame([(0, now)], "id int, at long"), [0], batch_id)
+
+    return run
+
+
 # --- rules with timers -----------------------------------------------------------------------
 
 
