@@ -79,6 +79,18 @@ def fit_budget(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.fit_budget(items, ["task"], "seq", "size", 1000, reserve=100).select("task", "seq")
 
 
+@query("budget_omissions", with_views("""
+WITH RECURSIVE items AS (SELECT task, seq, length(note) + 1 + k AS size,
+    row_number() OVER (PARTITION BY task ORDER BY seq) AS i FROM status_events),
+walk AS (SELECT task, 0 AS i, CAST(0 AS BIGINT) AS used, false AS taken FROM (SELECT DISTINCT task FROM items)
+  UNION ALL SELECT w.task, w.i + 1, CASE WHEN w.used + n.size <= 400 THEN w.used + n.size ELSE w.used END, w.used + n.size <= 400
+  FROM walk w JOIN items n ON n.task = w.task AND n.i = w.i + 1)
+SELECT task, count(*) FILTER (WHERE taken) AS shown, count(*) FILTER (WHERE NOT taken) AS omitted FROM walk WHERE i > 0 GROUP BY task"""))
+def budget_omissions(spark: SparkSession, sf: str) -> DataFrame:
+    items = view(spark, sf, "status_events").select("task", "seq", (F.length("note") + 1 + F.col("k")).alias("size"))
+    return ranking.omitted(items, ranking.fit_budget(items, ["task"], "seq", "size", 400), ["task"])
+
+
 @query("bounded_tail", with_views("""
 WITH t AS (SELECT task, seq, line, strlen(line) + 1 AS size FROM status_events),
 r AS (SELECT *, row_number() OVER w AS rn, sum(size) OVER w AS from_end, sum(size) OVER (PARTITION BY task) AS bytes

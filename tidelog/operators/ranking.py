@@ -109,6 +109,14 @@ def fit_budget(
     return df.join(taken, [*keys, order], "left_semi")
 
 
+def omitted(df: DataFrame, shown: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per group, how many of its rows are ``shown`` and how many are ``omitted``. One map-side-combined aggregate over
+    both; a group that shows nothing has its row as well."""
+    marked = df.select(*keys, F.lit(0).alias("__shown")).unionByName(shown.select(*keys, F.lit(1).alias("__shown")))
+    counts = marked.groupBy(*keys).agg(F.sum("__shown").alias("shown"), F.count("*").alias("__all"))
+    return counts.select(*keys, "shown", (F.col("__all") - 2 * F.col("shown")).alias("omitted"))
+
+
 def bounded_tail(
     df: DataFrame, keys: Sequence[str], order: str, line: str, max_lines: int, max_bytes: int
 ) -> tuple[DataFrame, DataFrame]:
