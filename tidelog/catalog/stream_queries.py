@@ -101,7 +101,14 @@ def drain_wakes(spark: SparkSession, sf: str) -> DataFrame:
         F.min("first_seq").alias("first_seq"), top).select("first_seq", *[f"top.{c}" for c in cols])
 
 
-@query("coalesce_signals")
+# A window opens at the first change after the one before it has closed, and is said once the stream has passed its end.
+@query("coalesce_signals", with_views("""
+WITH RECURSIVE w AS (SELECT task AS home, min(ts) AS opened FROM status_events GROUP BY task
+  UNION ALL SELECT home, opened FROM (SELECT w.home, min(e.ts) AS opened FROM w JOIN status_events e ON e.task = w.home AND e.ts >= w.opened + 36000
+    GROUP BY w.home, w.opened))
+SELECT w.home, 'signal' AS kind, w.opened + 36000 AS ts, max(e.seq) AS seq, e.key AS name, arg_max(e.note, e.seq) AS content
+FROM w JOIN status_events e ON e.task = w.home AND e.ts >= w.opened AND e.ts < w.opened + 36000
+WHERE w.opened + 36000 < (SELECT max(ts) FROM status_events) GROUP BY w.home, w.opened, e.key"""))
 def coalesce_signals(spark: SparkSession, sf: str) -> DataFrame:
     rows = stream_view(spark, sf, "status_events").select(
         F.col("task").alias("home"), "ts", "seq", F.col("key").alias("name"), F.col("note").alias("content"))
