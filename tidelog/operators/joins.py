@@ -248,9 +248,10 @@ def sync_diff(primary: DataFrame, replica: DataFrame, rules: DataFrame) -> DataF
     """What a sync from primary to replica does per ``(target, item)``; the primary wins.
 
     ``primary``: ``item, digest``; ``replica``: ``target, item, digest``; ``rules``: ``target,
-    item, session_scoped, allowed`` lists every inheritable item of every target."""
-    p = primary.select("item", F.col("digest").alias("p"))
-    r = replica.select("target", "item", F.col("digest").alias("r"))
+    item, session_scoped, allowed`` lists every inheritable item of every target. Each side may be as long as an
+    inventory is, whatever Spark guesses of its size, so the joins sort and none is gathered on the driver."""
+    p = primary.select("item", F.col("digest").alias("p")).hint("merge")
+    r = replica.select("target", "item", F.col("digest").alias("r")).hint("merge")
     joined = rules.join(p, "item", "left").join(r, ["target", "item"], "left")
     has_p, has_r = F.col("p").isNotNull(), F.col("r").isNotNull()
     action = (
