@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidelog.functions import briefs
 
@@ -58,18 +59,49 @@ def spread(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     return documents.repartition(cores, key)
 
 
+#: Bytes of text, and rows, that a task gives on at a time.
+_BYTES, _ROWS = 1 << 20, 4096
+
+
+def _bounded(rows: Iterator[tuple], size: Callable[[tuple], int], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as batches that end at ``_BYTES`` or ``_ROWS``."""
+    held: list[tuple] = []
+    total = 0
+    for row in rows:
+        held.append(row)
+        total += size(row)
+        if total >= _BYTES or len(held) >= _ROWS:
+            yield _batch(held, schema)
+            held, total = [], 0
+    if held:
+        yield _batch(held, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """``doc_id, text`` of one row at a time: a batch of long texts stays in Arrow's memory, once."""
+    for batch in batches:
+        for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+            yield doc.as_py(), text.as_py()
+
+
 def narrow_scope(documents: DataFrame) -> DataFrame:
     """``doc_id, clauses``: the clauses of each document that describe the work. The state a parser
-    carries through a document makes this a Python job; documents are independent."""
+    carries through a document makes this a Python job; documents are independent, and a task holds the clauses
+    of a bounded number of them."""
+    kind = documents.schema["doc_id"].dataType
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("clauses", pa.list_(pa.string()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "clauses": [
-                briefs.narrow(t) if t is not None else [] for t in pdf["text"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ((doc, briefs.narrow(text) if text is not None else []) for doc, text in _texts(batches))
+        yield from _bounded(found, lambda row: sum(map(len, row[1])), schema)
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
     texts = spread(documents.select("doc_id", "text"))
-    return texts.mapInPandas(run, f"doc_id {kind}, clauses array<string>")
+    return texts.mapInArrow(run, f"doc_id {kind.simpleString()}, clauses array<string>")
 
 
 def scope_clauses(documents: DataFrame) -> DataFrame:
@@ -130,14 +162,18 @@ def chunk_texts(documents: DataFrame, limit: int, cap: int) -> DataFrame:
     """``doc_id, k, n, lost, chunk``: numbered chunks of at most ``limit`` characters; ``lost`` counts
     the chunks that ``cap`` leaves out."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                pieces, lost = briefs.cut(text or "", limit, cap)
-                rows += [(doc, k, len(pieces), lost, p) for k, p in enumerate(pieces, 1)]
-            yield pd.DataFrame(rows, columns=["doc_id", "k", "n", "lost", "chunk"])
-
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return spread(documents.select("doc_id", "text")).mapInPandas(
-        run, f"doc_id {kind}, k long, n long, lost long, chunk string")
+    kind = documents.schema["doc_id"].dataType
+    schema = pa.schema([
+        ("doc_id", to_arrow_type(kind)), ("k", pa.int64()), ("n", pa.int64()), ("lost", pa.int64()), ("chunk", pa.string())])
+
+    def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for doc, text in _texts(batches):
+            pieces, lost = briefs.cut(text or "", limit, cap)
+            for k, piece in enumerate(pieces, 1):
+                yield doc, k, len(pieces), lost, piece
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _bounded(pieces_of(batches), lambda row: len(row[4]), schema)
+
+    return spread(documents.select("doc_id", "text")).mapInArrow(
+        run, f"doc_id {kind.simpleString()}, k long, n long, lost long, chunk string")
