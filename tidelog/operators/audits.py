@@ -189,7 +189,9 @@ def tests_referencing(names: DataFrame, tests: DataFrame) -> DataFrame:
     wanted = names.select("name").distinct().filter(F.length("name") > 0)
     keys = wanted.select("name", F.explode(F.when(F.length("name") < 3, F.array("name")).otherwise(grams("name", (3,)))).alias("gram"))
     held = tests.select("test", F.explode(grams("text", (1, 2, 3))).alias("gram"))
-    held = lineage.cut(held.join(keys.select("gram").distinct(), "gram", "left_semi"))
+    # Written first, the strings of the names have a known size: few, and they meet the texts where these are read; the
+    # strings of the texts move only where those of the names are too many for that.
+    held = lineage.cut(held.join(lineage.written(keys.select("gram").distinct()), "gram", "left_semi"))
     texts = held.groupBy("gram").agg(F.count("*").alias("texts"))
     # A string that no text holds rules its name out.
     rarest = keys.join(texts, "gram", "left").groupBy("name").agg(
