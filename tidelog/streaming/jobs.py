@@ -24,6 +24,8 @@ from tidelog.vocab import DEFAULT_THRESHOLDS, DEFAULT_VOCABULARY, OPEN_VERBS, Vo
 BatchFn = Callable[[DataFrame, int], None]
 #: Buckets of a ledger where the caller names no other number.
 BUCKETS = 64
+#: Buckets of the states of reply ledgers: 100 million tokens are some 100,000 a bucket.
+REPLY_BUCKETS = 1024
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -272,8 +274,11 @@ def stream_busy_state(rows: DataFrame, key: str = "task", delay: str | None = No
     return keyed.stream(rows, key, rules.BusyState(), delay)
 
 
-def stream_replies(rows: DataFrame, key: str = "corr", delay: str | None = None, **kw) -> DataFrame:
-    return keyed.stream(rows, key, rules.Replies(**kw), delay)
+def stream_replies(
+    rows: DataFrame, key: str = "corr", delay: str | None = None, buckets: int | None = REPLY_BUCKETS, **kw,
+) -> DataFrame:
+    """Tokens are very many and have a few rows each, so their states are kept by bucket."""
+    return keyed.stream(rows, key, rules.Replies(**kw), delay, buckets=buckets)
 
 
 # --- running to the end ----------------------------------------------------------------------
