@@ -31,8 +31,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more: that of least id (nulls
-    last), then of least text hash, then of least hash of all columns; of rows equal in all columns, any one."""
+    """One row of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more, as SimHash fingerprints
+    find it, and MinHash bands where these are too far apart: that of least id (nulls last), then of least text hash, then of least hash of all columns; of rows equal in all columns, any one."""
     linked = near.group_documents(docs)
     counted = linked.groupBy("group", "doc_id", "mark", "row").agg(F.count("*").alias("n"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "row", "n")

@@ -1,7 +1,10 @@
-"""Near copies by MinHash bands and exact Jaccard similarity of five-word shingles.
+"""Near copies by SimHash fingerprints, MinHash bands and exact Jaccard similarity of five-word shingles.
 
 A document is the set of its shingles (``SHINGLE`` words, ASCII letters in lower case; fewer words than that are one
-shingle). Documents of equal sets (by 128 bits of hash) are one node. A node has ``BANDS`` band hashes of ``ROWS`` minima
+shingle). Documents of equal sets (by 128 bits of hash) are one node. Nodes are linked by the method of
+:mod:`tidelog.llm.simhash`: the fingerprint is the majority over the set's shingles, equal fingerprints and those within its
+radius are found by its covering tables, and a link counts if the exact similarity is ``SIMILAR`` or more. At 0.8 most
+fingerprints differ in more bits than tables can cover, so what fingerprints leave apart meets by bands: a node has ``BANDS`` band hashes of ``ROWS`` minima
 each; two sets of similarity ``s`` share a band but for a chance of ``(1 - s ** ROWS) ** BANDS``, 3 in a million at 0.8.
 Nothing that shares a band is linked unless its exact similarity is ``SIMILAR`` or more.
 
@@ -26,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm import simhash
 from tidelog.llm.base import stage
 from tidelog.llm.graph import components
 
@@ -99,22 +103,37 @@ def row_hash(docs: DataFrame) -> Column:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, mark, row, high, low, bands`` of every row: hashes of its text and of all its columns, its set and its
-    bands."""
+    """``doc_id, mark, row, high, low, fp, bands`` of every row: hashes of its text and of all its columns, its set, its
+    fingerprint and its bands."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py()) for t in batch.column(3)]
             named = np.array([node_of(s) for s in sets], np.int64).reshape(-1, 2)
+            prints = np.array([simhash.simhash_of(s) for s in sets], np.uint64).view(np.int64)
             bands = [band_hashes(s).view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(named[:, 0]), pa.array(named[:, 1]), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "mark", "row", "high", "low", "bands"],
+                [*batch.columns[:3], pa.array(named[:, 0]), pa.array(named[:, 1]), pa.array(prints),
+                 pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", "mark", "row", "high", "low", "fp", "bands"],
             )
 
     marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), row_hash(docs).alias("row"), F.col("text").cast("binary"))
-    return marked.mapInArrow(run, f"doc_id {kind}, mark long, row long, high long, low long, bands array<long>")
+    return marked.mapInArrow(run, f"doc_id {kind}, mark long, row long, high long, low long, fp long, bands array<long>")
+
+
+def print_pairs(nodes: DataFrame) -> DataFrame:
+    """``a, b`` of nodes (``node, fp``) that fingerprints link: each node with the one that stands for its fingerprint, and
+    those of fingerprints that :func:`tidelog.llm.simhash.near_links` links."""
+    firsts = stage(nodes.groupBy(F.col("fp").alias("print")).agg(F.min("node").alias("first")))
+    equal = nodes.join(firsts, F.col("fp") == F.col("print")).filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    links = stage(simhash.near_links(firsts.select(F.col("print").alias("fp"))).distinct())
+    left = firsts.select(F.col("print").alias("x"), F.col("first").alias("one"))
+    right = firsts.select(F.col("print").alias("y"), F.col("first").alias("two"))
+    near = links.join(left, F.col("a") == F.col("x")).join(right, F.col("b") == F.col("y")).select(
+        F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"))
+    return stage(equal.unionByName(near).distinct())
 
 
 def shingle_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -234,15 +253,17 @@ def group_documents(docs: DataFrame) -> DataFrame:
     rows = stage(sketches(docs))
     # Sets are numbered as they are written: a number is one set's for good.
     nodes = stage(rows.dropDuplicates(["high", "low"]).select(
-        "high", "low", "row", "mark", "bands", F.monotonically_increasing_id().alias("node")))
+        "high", "low", "row", "mark", "fp", "bands", F.monotonically_increasing_id().alias("node")))
+    printed = print_pairs(nodes.select("node", "fp"))
     members = stage(nodes.select("node", F.explode("bands").alias("band")))
     leaders = [F.min_by("node", F.xxhash64(F.lit(k), "node")).alias(f"l{k}") for k in range(LEADERS)]
     buckets = members.groupBy(F.col("band").alias("__band")).agg(F.count("*").alias("n"), *leaders).filter("n > 1")
     shared = stage(members.join(buckets, F.col("band") == F.col("__band")).drop("__band", "n"))
-    met = shared.select(F.col("node").alias("__node")).distinct()
+    met = shared.select(F.col("node").alias("__node")).unionByName(printed.select(
+        F.explode(F.array("a", "b")).alias("__node"))).distinct()
     sets = shingle_sets(nodes.join(met, F.col("node") == F.col("__node"), "left_semi"), docs)
     led = shared.select("node", F.explode(F.array(*[f"l{k}" for k in range(LEADERS)])).alias("lead")).filter("node <> lead")
-    tried = stage(led.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
+    tried = stage(led.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).unionByName(printed).distinct())
     links = similar_pairs(tried, sets)
     partners = PARTNERS
     while True:

@@ -51,11 +51,28 @@ def simhash(data: bytes | None, shingle: int = SHINGLE) -> int:
         spans = zip(starts[at:until].tolist(), ends[at + width - 1 : until + width - 1].tolist(), strict=True)
         digest = xxhash.xxh64_intdigest
         hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in spans), np.uint64, until - at)
-        bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, BITS)
-        counts += bits.sum(axis=0, dtype=np.int32)
+        counts += set_bits(hashes)
+    return majority(counts, total)
+
+
+def set_bits(hashes: np.ndarray) -> np.ndarray:
+    """In how many hashes each bit is set."""
+    bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, BITS)
+    return bits.sum(axis=0, dtype=np.int32)
+
+
+def majority(counts: np.ndarray, total: int) -> int:
     return int(np.packbits(counts * 2 > total, bitorder="little").view(np.uint64)[0])
 
 
+def simhash_of(hashes: np.ndarray) -> int:
+    """Fingerprint of shingles that are hashed already; zero without any."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        counts += set_bits(hashes[at : at + _CHUNK])
+    return majority(counts, len(hashes))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, mark, fp``: the bits as a signed long, and a hash that tells texts of equal ids apart."""
     kind = dict(docs.dtypes)["doc_id"]
