@@ -30,3 +30,15 @@ def test_lines_are_numbered_within_their_log(spark, tmp_path):
     assert set(numbers) == set(range(50)) - {3} | {None}
     assert numbers[7] == [1, 2, 3, 4, 5] and all(v == [1, 2, 3, 4] for k, v in numbers.items() if k != 7)
     assert {r["line"] for r in rows if r["task"] == 9} == {f"needs-decision [key=k0]: click {9 + 50 * i}" for i in range(4)}
+
+
+def test_metadata_patterns_run_only_where_their_key_is(spark):
+    from tidelog.functions import text as tx
+
+    rows = [("a (hold: x)",), ("a (hold-kind: y)",), ("no key",), ("hold: outside",), (None,), ("a (merged 2024-01-02)",)]
+    df = spark.createDataFrame(rows, "t string")
+    hold, merged = tx.extract_meta(F.col("t"), "hold"), tx.extract_meta_word(F.col("t"), "merged")
+    found = df.select("t", hold.alias("h"), tx.extract_meta(F.col("t"), "hold-kind").alias("k"), merged.alias("m"))
+    assert "Contains" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r)[1:] for r in found.collect()] == [
+        ("x", None, None), (None, "y", None), (None, None, None), (None, None, None), (None, None, None), (None, None, "2024-01-02")]

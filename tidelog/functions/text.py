@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -169,12 +170,17 @@ def capture(col: Column, pattern: str, group: int = 1) -> Column:
 
 def extract_meta(col: Column, key: str) -> Column:
     """``(key: value)`` or ``, key: value`` inside row text; the last occurrence wins."""
-    return capture(col, rf"^.*(?:\(|,\s*){key}:\s*([^,)]*)")
+    return _where_held(col, key, capture(col, rf"^.*(?:\(|,\s*){key}:\s*([^,)]*)"))
 
 
 def extract_meta_word(col: Column, key: str) -> Column:
     """``(key value)`` inside row text; the last occurrence wins."""
-    return capture(col, rf"^.*(?:\(|,\s*){key}\s+([^,)]*)")
+    return _where_held(col, key, capture(col, rf"^.*(?:\(|,\s*){key}\s+([^,)]*)"))
+
+
+def _where_held(col: Column, key: str, found: Column) -> Column:
+    """Most texts lack most keys: a plain search is cheaper than the pattern, which goes back over the whole text."""
+    return F.when(col.contains(key), found) if re.fullmatch(r"[A-Za-z0-9_-]+", key) else found
 
 
 def check_rollup(checks: Column) -> Column:
