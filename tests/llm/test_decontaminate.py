@@ -93,3 +93,23 @@ def test_alignment_at_the_ends():
     assert D.align(item, D.points("xxabcdefgh"), -6, 6) == 2
     assert D.align(item, D.points(""), -3, 3) >= 10
     assert isinstance(D.align(item, np.empty(0, np.uint32), -3, 3), int)
+
+
+def test_alignments_are_few(monkeypatch):
+    """An item that stands in the text as it is needs none, an edited one a single one for all bands that touch."""
+    calls, plain_align = [], D.align
+    monkeypatch.setattr(D, "align", lambda *args: calls.append(args) or plain_align(*args))
+    rng = random.Random(11)
+    item = "".join(rng.choice("abcdefghijkl ") for _ in range(150))
+    index = D.Index([(0, D.points(item))])
+    assert index.find("x" * 40 + item + "y" * 40) == {0: 0} and not calls
+    assert index.find("x" * 40 + item[:70] + "ZZ".lower() + item[70:] + "y" * 40) == {0: 2} and len(calls) == 1
+
+
+def test_alignment_against_plain_edits():
+    rng = random.Random(13)
+    for size in (1, 2, 31, 63, 64, 65, 130):
+        for _ in range(12):
+            item = "".join(rng.choice("abcé") for _ in range(size))
+            text = "".join(rng.choice("abcé") for _ in range(rng.randint(0, 40))) + edit(rng, item + "a", 3)
+            assert D.align(D.points(item), D.points(text), 0, len(text)) == plain.edits(item, text)

@@ -3,7 +3,8 @@
 Texts and items are compared lower-cased, with runs of blanks as one space. An item of ``n`` characters may be matched
 with up to ``rate * n`` edits; a region with ``e`` edits shares at least ``n + 1 - q * (e + 1)`` q-grams with the item,
 on diagonals that lie at most ``e`` apart. Hits are counted in bands of ``2 * (e + 1)`` diagonals, which overlap by
-half, so one band holds them all. Bands that reach the bound are aligned, within the band, and kept if the edits fit.
+half, so one band holds them all. The text of bands that reach the bound is aligned with the item, and kept if the edits
+fit.
 
 The benchmark is turned into a gram index that goes to every task. Its size is checked: a larger benchmark is cut into
 blocks by a hash of the item, and the documents are read once per block. Documents are processed whole, long ones in
@@ -65,26 +66,30 @@ def _power(n: int) -> np.uint64:
 
 
 def align(item: np.ndarray, text: np.ndarray, first: int, last: int) -> int:
-    """Least edits of the item against any part of the text whose diagonals lie in ``first .. last``."""
-    width = last - first + 1
-    far = len(item) + 1
-    shift = np.arange(width)
-    padded = np.full(len(item) + width, -1, np.int64)
-    begin, end = max(0, first), min(len(text), first + len(padded))
-    if end > begin:
-        padded[begin - first : end - first] = text[begin:end]
-    # A start is anywhere in the text; diagonals that begin outside of it are closed.
-    inside = (shift + first >= 0) & (shift + first <= len(text))
-    row = np.where(inside, 0, far)
-    room = np.arange(first, first + len(padded))
-    for i, code in enumerate(item):
-        new = row + (padded[i : i + width] != code)
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
-        new = np.minimum.accumulate(new - shift) + shift
-        at = room[i : i + width] + 1
-        new[(at < 0) | (at > len(text))] = far
-        row = np.minimum(new, far)
-    return int(row.min())
+    """Least edits of the item against any part of the text that diagonals ``first .. last`` reach. The differences down
+    a column of the table of edits are the bits of two numbers (Myers), so a character of the text is a few operations."""
+    size = len(item)
+    places: dict[int, int] = {}
+    for i, code in enumerate(item.tolist()):
+        places[code] = places.get(code, 0) | 1 << i
+    full, top = (1 << size) - 1, 1 << size >> 1
+    more, less, edits = full, 0, size
+    best = edits
+    for code in text[max(0, first) : max(0, last + size)].tolist():
+        same = places.get(code, 0)
+        across = (((same & more) + more) ^ more) | same
+        up, down = less | full & ~(across | more), more & across
+        if up & top:
+            edits += 1
+        elif down & top:
+            edits -= 1
+            if edits < best:
+                best = edits
+                if not best:
+                    break
+        up, down, same = up << 1 & full, down << 1 & full, same | less
+        more, less = down | full & ~(same | up), up & same
+    return best
 
 
 @dataclass
@@ -151,12 +156,34 @@ class Index:
         keys = np.concatenate([item * span + band - base, item * span + band - 1 - base])
         keys, counts = np.unique(keys, return_counts=True)
         full = counts >= self.needed[keys // span]
-        for key in keys[full]:
-            i, b = int(key // span), int(key % span) + base
+        # An alignment within the budget lies in a full band, wherever it is found, so the bands of an item whose texts
+        # touch are aligned as one, and the least edits are those of each by itself.
+        stretches: dict[int, list[list[int]]] = {}
+        for key in keys[full].tolist():
+            i, b = key // span, key % span + base
             budget = int(self.budget[i])
-            edits = align(self.items[i][1], codes, b * (budget + 1) - budget, (b + 2) * (budget + 1) + budget)
-            if edits <= budget:
-                yield i, edits
+            low, high = b * (budget + 1) - budget, (b + 2) * (budget + 1) + budget
+            of_item = stretches.setdefault(i, [])
+            if of_item and low <= of_item[-1][1] + int(self.sizes[i]):
+                of_item[-1][1] = high
+            else:
+                of_item.append([low, high])
+        for i, of_item in stretches.items():
+            item = self.items[i][1]
+            if _holds(codes, item):
+                yield i, 0
+                continue
+            for low, high in of_item:
+                if (edits := align(item, codes, low, high)) <= self.budget[i]:
+                    yield i, edits
+
+
+def _holds(text: np.ndarray, part: np.ndarray) -> bool:
+    raw, wanted = text.tobytes(), part.tobytes()
+    at = raw.find(wanted)
+    while at % 4 and at >= 0:  # not at the start of a character
+        at = raw.find(wanted, at + 1)
+    return at >= 0
 
 
 def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, **options) -> Iterator[Index]:
