@@ -87,6 +87,73 @@ def test_a_line_beyond_the_bound(piece, lines):
     assert cursor.broken
 
 
+class Counted(dict):
+    """A map state as a dict that counts its calls."""
+
+    calls = 0
+
+    def _call(self, result=None):
+        self.calls += 1
+        return result
+
+    def containsKey(self, key):  # noqa: N802
+        return self._call(key in self)
+
+    def getValue(self, key):  # noqa: N802
+        return self._call(self[key])
+
+    def updateValue(self, key, value):  # noqa: N802
+        self._call(self.update({key: value}))
+
+    def removeKey(self, key):  # noqa: N802
+        self._call(self.pop(key))
+
+
+def test_early_pieces_share_calls_of_the_store():
+    """Fifty pieces that wait, over two triggers, and come due in a third: a few calls, not some for each piece."""
+    store = Counted()
+    for half in (0, 1):
+        waiting = mirror.Waiting(store, 0)
+        for at in range(200 * (1 + half), 10_200, 400):
+            waiting.put(at, b"x" * 200, None, None)
+        waiting.save()
+    assert len(store) == 1
+    waiting, taken, pieces = mirror.Waiting(store, 0), 200, 0
+    while ready := waiting.due(taken):
+        pieces, taken = pieces + len(ready), ready[-1][0] + len(ready[-1][1])
+    waiting.save()
+    assert (pieces, taken) == (50, 10_200) and not store and store.calls <= 8
+
+
+@pytest.mark.parametrize("held", [1, 2, 16])
+def test_waiting_pieces_against_a_plain_list(monkeypatch, held):
+    monkeypatch.setattr(mirror, "_STRETCH", 64)
+    monkeypatch.setattr(mirror, "_HELD", held)
+    rng = random.Random(held)
+    for _ in range(40):
+        store, plain, taken = Counted(), {}, 0
+        for trigger in range(8):
+            waiting = mirror.Waiting(store, taken, trigger > 0)
+            for _ in range(rng.randrange(12)):
+                piece = (taken + rng.randrange(1, 400), b"y" * rng.randrange(300), None, rng.choice([None, None, "gone"]))
+                waiting.put(*piece)
+                name = (piece[0], piece[3] is not None)
+                if name not in plain or len(plain[name][1]) < len(piece[1]):
+                    plain[name] = piece
+            if rng.random() < 0.6:
+                taken += rng.randrange(1, 200)
+                while True:
+                    names = [n for n in ((taken, False), (taken, True)) if n in plain][:1]
+                    want = [plain.pop(n) for n in names or sorted(n for n in plain if n[0] < taken)]
+                    got = waiting.due(taken)
+                    assert got == want
+                    if not got:
+                        break
+                    taken = max([taken, *(at + len(p) for at, p, *_ in got)])
+            waiting.save()
+        assert sum(len(mirror.pickle.loads(v[0])) for v in store.values()) == len(plain)
+
+
 # --- cursors of the open set -----------------------------------------------------------------
 
 
