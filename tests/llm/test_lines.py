@@ -86,3 +86,41 @@ def test_table_against_sql(spark):
     want = sorted(con.execute(ORACLES["op10_line_dedup"]).fetchall())
     out = QUERIES["op10_line_dedup"](spark, SF).select("doc_id", "n_lines", "n_removed", "text")
     assert sorted(tuple(r) for r in out.collect()) == want
+
+
+def families(seed, n=30):
+    """Lines that vary a few long ones, and others that share their beginnings only."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    base = [[rng.choice(words) for _ in range(rng.randint(25, 60))] for _ in range(4)]
+    rows = []
+    for i in range(n):
+        text = []
+        for _ in range(4):
+            line = list(rng.choice(base))
+            if rng.random() < 0.4:
+                line = line[: rng.randint(6, 20)] + [rng.choice(words) for _ in range(rng.randint(5, 30))]
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                line[rng.randrange(len(line))] = rng.choice(words)
+            text.append(" ".join(line))
+        rows.append((i, "\n".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("crowd", [1, 3, 12])
+def test_crowded_tokens_against_all_pairs(spark, monkeypatch, crowd):
+    monkeypatch.setattr(L, "CROWD", crowd)
+    used = []
+    levels = L.rarity_levels
+    monkeypatch.setattr(L, "rarity_levels", lambda sets: used.append(1) or levels(sets))
+    rows = families(crowd)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r["doc_id"]: r["text"] for r in L.dedup_lines(docs).collect()} == plain.lines(rows)
+    assert used
+
+
+def test_texts_without_crowded_tokens_are_not_counted(spark, monkeypatch):
+    monkeypatch.setattr(L, "rarity_levels", None)
+    rows = families(7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in L.dedup_lines(docs).collect()} == plain.lines(rows)

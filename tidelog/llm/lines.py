@@ -5,15 +5,18 @@ document id, or a smaller place in the same document. Lines without words stay.
 
 Equal lines are found by hash aggregates. For the others:
 
-1. Rarity: tokens are counted in ``BUCKETS`` hash buckets over the whole corpus (a table of fixed size); a token's
-   order is the logarithmic level of its bucket, then its hash, so what many lines share comes last.
-2. Prefix filter: lines of ``n`` tokens with similarity ``t`` share one of their ``n - ceil(t * n) + 1`` rarest. Only
-   these are dealt, and only tokens that two lines have in their prefixes are kept.
-3. Length and positional filters: sizes within the similarity of each other, and enough tokens left behind the shared
+1. Prefix filter: lines of ``n`` tokens with similarity ``t`` share one of their ``n - ceil(t * n) + 1`` first ones, in
+   any order that holds for all lines. The order is that of the hashes, so one pass over the texts is enough. Only
+   prefixes are dealt, and only where two lines of similar sizes have a token in them.
+2. Length and positional filters: sizes within the similarity of each other, and enough tokens left behind the shared
    one to reach the needed overlap.
-4. Verification by the Jaccard similarity of the token sets.
+3. Verification by the Jaccard similarity of the token sets.
+4. Crowded tokens, which more than ``CROWD`` lines have in their prefixes: lines with one are compared anew, in an
+   order by rarity. Their tokens are counted in ``BUCKETS`` hash buckets (a table of fixed size), and a token's place is
+   the logarithmic level of its bucket, then its hash, so what many lines share comes last. If the first token that a
+   similar pair shares is not crowded, step 2 keeps the pair; if it is, both lines come here.
 
-A token's lines are first compared with two of them alone, the earliest and the one in which the token is rarest, which
+A token's lines are first compared with two of them alone, the earliest and the one in which the token comes first, which
 settles families of near copies without their pairs; only lines that this leaves open meet the other earlier ones. Lines with very many equal copies take part with
 their first copy only; the table of these is bounded, as each stands for at least a ten-thousandth of all lines.
 
@@ -37,6 +40,8 @@ SHINGLE = 5
 #: Similarity as a fraction of whole numbers, so that bounds are exact.
 SIMILAR = (4, 5)
 BUCKETS = 1 << 16
+#: Most lines with a token in their prefixes that are compared by the order of the hashes.
+CROWD = 64
 FREQUENT_SHARE = 10_000
 _BLANK_CHARS = " \t\n\x0b\f\r"
 _LAST = (1 << 63) - 1
@@ -87,13 +92,12 @@ def _bucket(token: Column) -> Column:
     return token.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def rarity_levels(lines: DataFrame) -> DataFrame:
-    """One row with the rarity level of every bucket, in the top bits of a long: a table of fixed size."""
-    # Outer, as a plain explode adds a filter on the array's size, for which all of it is computed once more. No line
-    # is without shingles.
-    tokens = with_shingles(lines).select(F.explode_outer("shingles").alias("s")).select(token_of(F.col("s")).alias("t"))
+def rarity_levels(sets: DataFrame) -> DataFrame:
+    """One row with the rarity level of every bucket, in the top bits of a long: a table of fixed size. ``sets`` are as
+    ``_similar`` reads them."""
+    tokens = sets.select(F.explode(F.slice("body", F.lit(2), F.size("body") - 1)).alias("t"))
     counts = tokens.groupBy(_bucket(F.col("t")).alias("b")).count()
-    every = lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
+    every = sets.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
     level = F.least(F.lit(127), F.floor(4 * F.log2(1 + F.coalesce("count", F.lit(0))))).cast("long")
     rows = F.sort_array(F.collect_list(F.struct("b", F.shiftleft(level, 55).alias("level"))))
     return every.join(counts, "b", "left").agg(F.transform(rows, lambda x: x["level"]).alias("levels"))
@@ -105,18 +109,28 @@ def _needed(n: Column) -> Column:
     return F.expr(f"({top} * n + {bottom - 1}) div {bottom}")
 
 
-def prefixes(lines: DataFrame, levels: DataFrame) -> DataFrame:
-    """``code, did, no, n, pos``: the rarest tokens of every line, with their place in its order."""
-    marked = with_shingles(lines).withColumn("levels", levels.scalar())
+def _first_codes(coded: DataFrame) -> DataFrame:
+    """``did, no, n, pos, code`` of the first of the sorted ``codes`` of every line, with their place."""
+    sized = coded.withColumn("n", F.size("codes"))
+    own = F.slice("codes", 1, F.col("n") - _needed(F.col("n")) + 1)
+    return sized.select("did", "no", "n", F.posexplode(own).alias("pos", "code"))
+
+
+def prefixes(lines: DataFrame) -> DataFrame:
+    """The prefix of every line by the order of the hashes."""
+    tokens = F.array_distinct(F.transform("shingles", token_of))
+    return _first_codes(with_shingles(lines).select("did", "no", F.sort_array(tokens).alias("codes")))
+
+
+def rare_prefixes(sets: DataFrame, levels: DataFrame) -> DataFrame:
+    """The prefix of every line by rarity."""
+    marked = sets.withColumn("levels", levels.scalar())
 
     def code(t: Column) -> Column:
         return F.get("levels", _bucket(t)).bitwiseOR(F.shiftrightunsigned(t, 9))
 
-    tokens = F.array_distinct(F.transform("shingles", token_of))
-    coded = marked.select("did", "no", F.sort_array(F.transform(tokens, code)).alias("codes"))
-    sized = coded.withColumn("n", F.size("codes"))
-    own = F.slice("codes", 1, F.col("n") - _needed(F.col("n")) + 1)
-    return sized.select("did", "no", "n", F.posexplode(own).alias("pos", "code"))
+    tokens = F.slice("body", F.lit(2), F.size("body") - 1)
+    return _first_codes(marked.select("did", "no", F.sort_array(F.transform(tokens, code)).alias("codes")))
 
 
 def exact_repeats(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -135,18 +149,31 @@ def exact_repeats(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stage(later), frequent.select("g1", "g2", "did0", "no0")
 
 
-def candidates(postings: DataFrame, repeats: DataFrame) -> DataFrame:
-    """Rows of ``postings`` whose token is in another line's prefix too, without exact repeats, and with two lines of the
-    token to try before others: the ``first`` one, and the ``plain`` one, in which the token is rarest. Among variants
-    of one line that is the unchanged line, as every change puts rarer tokens before the shared ones."""
+def _with_partner(postings: DataFrame) -> DataFrame:
+    """Rows whose token is in the prefix of another line of similar size: the next in size is one if any is."""
+    top, bottom = SIMILAR
+    by_size = Window.partitionBy("code").orderBy("n")
+    sided = postings.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
+    return sided.filter((F.col("less") * bottom >= F.col("n") * top) | (F.col("n") * bottom >= F.col("more") * top)).drop("less", "more")
+
+
+def candidates(postings: DataFrame, repeats: DataFrame | None = None) -> DataFrame:
+    """Rows of ``postings`` with a partner, without exact repeats, with the number of ``lines`` of their token, and with
+    two of these to try before others: the ``first`` one, and the ``plain`` one, in which the token comes first. By rarity
+    that is, among variants of one line, the unchanged line, as every change puts rarer tokens before the shared ones."""
+    met = _with_partner(postings)
+    if repeats is not None:
+        gone = repeats.select(F.col("did").alias("d"), F.col("no").alias("o"))
+        met = _with_partner(stage(met.join(gone, (F.col("did") == F.col("d")) & (F.col("no") == F.col("o")), "left_anti")))
     whole = Window.partitionBy("code")
-    met = postings.withColumn("lines", F.count("*").over(whole)).filter("lines > 1")
-    gone = repeats.select(F.col("did").alias("d"), F.col("no").alias("o"))
-    met = stage(met.join(gone, (F.col("did") == F.col("d")) & (F.col("no") == F.col("o")), "left_anti").drop("lines"))
-    first = F.min(F.struct("did", "no", "n", "pos")).over(whole)
-    plain = F.min(F.struct("pos", "did", "no", "n")).over(whole)
-    marked = met.withColumns({"lines": F.count("*").over(whole), "first": first, "plain": plain})
-    return stage(marked.filter("lines > 1").drop("lines"))
+    line = F.struct("did", "no", "n", "pos")
+    marked = met.withColumns({
+        "lines": F.count("*").over(whole), "first": F.min(line).over(whole), "last": F.max(line).over(whole),
+        "plain": F.min(F.struct("pos", "did", "no", "n")).over(whole),
+    })
+    # Where there are only two lines, they are all that the token can bring together.
+    fits = _may_match(F.col("first.n"), F.col("first.pos"), F.col("last.n"), F.col("last.pos"))
+    return stage(marked.filter((F.col("lines") > 2) | fits).drop("last"))
 
 
 def _may_match(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column:
@@ -175,27 +202,17 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.filter(alike).select(F.col("b_did").alias("did"), F.col("b_no").alias("no"), F.col("b_body")[0].alias("h")).distinct()
 
 
-def later_matches(docs: DataFrame) -> DataFrame:
-    """``did, no, h``: every line that equals or resembles an earlier one, with the hash of the line. ``docs`` are placed."""
-    lines = lines_of(docs)
-    repeats, frequent = exact_repeats(lines)
-    levels = stage(rarity_levels(lines))
-    hashed = lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
-    single = hashed.join(F.broadcast(frequent), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left").filter(
-        F.col("did0").isNull() | ((F.col("did") == F.col("did0")) & (F.col("no") == F.col("no0")))
-    ).select("did", "no", "line")
-    posted = candidates(prefixes(single, levels), repeats)
-    # The token sets of all lines that are left, from one more pass over the texts.
-    wanted = posted.select("did", "no").distinct().groupBy(F.col("did").alias("w")).agg(F.collect_list("no").alias("nos"))
-    texts = docs.select(F.col("__did").alias("did"), "text")
-    picked = texts.join(wanted, F.col("did") == F.col("w")).withColumn("lines", F.split("text", "\n"))
-    picked = picked.select("did", F.explode(F.transform("nos", lambda i: F.struct(i.alias("no"), F.get("lines", i).alias("line")))).alias("x"))
-    picked = with_shingles(picked.select("did", "x.no", "x.line").filter(F.col("line").isNotNull()))
-    body = F.concat(F.array(F.xxhash64("line")), F.array_distinct(F.transform("shingles", token_of)))
-    sets = stage(picked.select("did", "no", body.alias("body")))
+def _is_line(name: str) -> Column:
+    return (F.col("did") == F.col(f"{name}.did")) & (F.col("no") == F.col(f"{name}.no"))
+
 
-    def is_line(name: str) -> Column:
-        return (F.col("did") == F.col(f"{name}.did")) & (F.col("no") == F.col(f"{name}.no"))
+def _without(rows: DataFrame, done: DataFrame) -> DataFrame:
+    gone = done.select(F.col("did").alias("d"), F.col("no").alias("o"))
+    return rows.join(gone, (F.col("did") == F.col("d")) & (F.col("no") == F.col("o")), "left_anti")
+
+
+def _leader_pairs(posted: DataFrame) -> DataFrame:
+    """Every line with the two lines of each of its tokens that are tried first, where these are earlier."""
 
     def with_line(name: str) -> DataFrame:
         before = (F.col(f"{name}.did") < F.col("did")) | ((F.col(f"{name}.did") == F.col("did")) & (F.col(f"{name}.no") < F.col("no")))
@@ -203,17 +220,53 @@ def later_matches(docs: DataFrame) -> DataFrame:
         return posted.filter(before & fits).select(
             F.col(f"{name}.did").alias("a_did"), F.col(f"{name}.no").alias("a_no"), F.col("did").alias("b_did"), F.col("no").alias("b_no"))
 
-    leaders = with_line("first").unionByName(with_line("plain")).distinct()
-    settled = stage(_similar(leaders, sets))
-    done = settled.select(F.col("did").alias("d"), F.col("no").alias("o")).distinct()
-    rest = posted.join(done, (F.col("did") == F.col("d")) & (F.col("no") == F.col("o")), "left_anti")
-    a = posted.filter(~is_line("first") & ~is_line("plain")).select(
+    return with_line("first").unionByName(with_line("plain")).distinct()
+
+
+def _other_pairs(rest: DataFrame, posted: DataFrame) -> DataFrame:
+    """The lines of ``rest`` with all other earlier lines of their tokens."""
+    a = posted.filter(~_is_line("first") & ~_is_line("plain")).select(
         F.col("code").alias("c"), F.col("did").alias("a_did"), F.col("no").alias("a_no"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos")
     )
     earlier = (F.col("a_did") < F.col("did")) | ((F.col("a_did") == F.col("did")) & (F.col("a_no") < F.col("no")))
     pairs = rest.join(a, (F.col("code") == F.col("c")) & earlier & _may_match(F.col("a_n"), F.col("a_pos"), F.col("n"), F.col("pos")))
-    pairs = pairs.select("a_did", "a_no", F.col("did").alias("b_did"), F.col("no").alias("b_no")).distinct()
-    return repeats.unionByName(settled).unionByName(_similar(pairs, sets))
+    return pairs.select("a_did", "a_no", F.col("did").alias("b_did"), F.col("no").alias("b_no")).distinct()
+
+
+def _crowded_matches(own: DataFrame, done: DataFrame) -> DataFrame:
+    """Matches among the lines of ``own``, of those that are not ``done``, by the order of rarity."""
+    posted = candidates(rare_prefixes(own, stage(rarity_levels(own))))
+    settled = stage(_similar(_leader_pairs(_without(posted, done)), own))
+    rest = _without(_without(posted, done), settled)
+    return settled.unionByName(_similar(_other_pairs(rest, posted), own))
+
+
+def later_matches(docs: DataFrame) -> DataFrame:
+    """``did, no, h``: every line that equals or resembles an earlier one, with the hash of the line. ``docs`` are placed."""
+    lines = lines_of(docs)
+    repeats, frequent = exact_repeats(lines)
+    hashed = lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+    single = hashed.join(F.broadcast(frequent), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left").filter(
+        F.col("did0").isNull() | ((F.col("did") == F.col("did0")) & (F.col("no") == F.col("no0")))
+    ).select("did", "no", "line")
+    posted = candidates(prefixes(single), repeats)
+    # The token sets of all lines that are left, from one more pass over the texts.
+    wanted = posted.groupBy("did", "no").agg(F.max("lines").alias("most"))
+    wanted = wanted.groupBy(F.col("did").alias("w")).agg(F.collect_list(F.struct("no", "most")).alias("nos"))
+    texts = docs.select(F.col("__did").alias("did"), "text")
+    picked = texts.join(wanted, F.col("did") == F.col("w")).withColumn("lines", F.split("text", "\n"))
+    line = F.transform("nos", lambda i: F.struct(i["no"].alias("no"), i["most"].alias("most"), F.get("lines", i["no"]).alias("line")))
+    picked = picked.select("did", F.explode(line).alias("x")).select("did", "x.no", "x.most", "x.line").filter(F.col("line").isNotNull())
+    body = F.concat(F.array(F.xxhash64("line")), F.array_distinct(F.transform("shingles", token_of)))
+    sets = stage(with_shingles(picked).select("did", "no", "most", body.alias("body")))
+
+    settled = stage(_similar(_leader_pairs(posted), sets))
+    # Of a token's two lines, one is the first; a crowded token's first line has no earlier one there.
+    others = posted.filter(f"lines > 2 AND lines <= {CROWD}")
+    pairs = _other_pairs(_without(others, settled), others)
+    found = repeats.unionByName(settled).unionByName(_similar(pairs, sets.filter("most > 2")))
+    still = _without(posted.filter((F.col("lines") > CROWD) & ~_is_line("first")), settled)
+    return found if still.isEmpty() else found.unionByName(_crowded_matches(sets.filter(F.col("most") > CROWD), settled))
 
 
 def dedup_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
