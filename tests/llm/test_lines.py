@@ -124,3 +124,32 @@ def test_texts_without_crowded_tokens_are_not_counted(spark, monkeypatch):
     rows = families(7)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in L.dedup_lines(docs).collect()} == plain.lines(rows)
+
+
+def test_repeated_lines_give_no_tokens(spark, monkeypatch):
+    rows = families(9, 8)
+    rows += [(100 * k + i, text) for k in range(1, 5) for i, text in rows]
+    seen = []
+    whole = L.prefixes
+    monkeypatch.setattr(L, "prefixes", lambda lines: seen.append(lines.select("line").collect()) or whole(lines))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["text"] for r in L.dedup_lines(docs).collect()} == plain.lines(rows)
+    assert len(seen) == 1 and sorted(r["line"] for r in seen[0]) == sorted({x for _, text in rows for x in text.split("\n")})
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+
+@pytest.mark.parametrize("ids", [1, 2])
+def test_no_shuffle_files_are_left(spark, ids):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    docs = spark.createDataFrame([(i // ids, text) for i, text in families(11)], "doc_id long, text string").repartition(4)
+    docs.count()
+    there = shuffle_files(spark)
+    out = L.dedup_lines(docs)
+    assert not shuffle_files(spark) - there
+    assert spark.conf.get(key, None) == before
+    assert out.count() == out.count() == 30

@@ -3,7 +3,7 @@
 A line is the set of its five-word shingles (a shorter line: of its whole word sequence). Earlier means a smaller
 document id, or a smaller place in the same document. Lines without words stay.
 
-Equal lines are found by hash aggregates. For the others:
+Equal lines are found by hash aggregates, and only the first of them takes part in what follows. For the others:
 
 1. Prefix filter: lines of ``n`` tokens with similarity ``t`` share one of their ``n - ceil(t * n) + 1`` first ones, in
    any order that holds for all lines. The order is that of the hashes, so one pass over the texts is enough. Only
@@ -17,8 +17,11 @@ Equal lines are found by hash aggregates. For the others:
    similar pair shares is not crowded, step 2 keeps the pair; if it is, both lines come here.
 
 A token's lines are first compared with two of them alone, the earliest and the one in which the token comes first, which
-settles families of near copies without their pairs; only lines that this leaves open meet the other earlier ones. Lines with very many equal copies take part with
-their first copy only; the table of these is bounded, as each stands for at least a ten-thousandth of all lines.
+settles families of near copies without their pairs; only lines that this leaves open meet the other earlier ones.
+
+Disk: the matches are a table before the texts are cut, and every step deletes its shuffle files when it ends, so that the
+texts are in one shuffle at a time. Texts are joined by sorting: lists of lines take little room in a file and would be
+broadcast by that size.
 
 All of it is DataFrame functions. Tokens are 64-bit hashes of the words.
 
@@ -34,7 +37,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.base import global_rank, query, stage, table
+from tidelog.llm.base import global_rank, query, shuffles_released, stage, table
 
 SHINGLE = 5
 #: Similarity as a fraction of whole numbers, so that bounds are exact.
@@ -42,7 +45,6 @@ SIMILAR = (4, 5)
 BUCKETS = 1 << 16
 #: Most lines with a token in their prefixes that are compared by the order of the hashes.
 CROWD = 64
-FREQUENT_SHARE = 10_000
 _BLANK_CHARS = " \t\n\x0b\f\r"
 _LAST = (1 << 63) - 1
 
@@ -63,10 +65,26 @@ def with_place(docs: DataFrame) -> DataFrame:
     return stage(rows.join(placed, F.col("__row") == F.col("__r")).drop("__row", "__r"))
 
 
+def _has_words(line: str) -> Column:
+    return F.length(F.btrim(line, F.lit(_BLANK_CHARS))) > 0
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """``did, no, line`` of every line with words; ``did`` is the document's place."""
     split = docs.select(F.col("__did").alias("did"), F.posexplode_outer(F.split("text", "\n")).alias("no", "line"))
-    return split.filter(F.length(F.btrim("line", F.lit(_BLANK_CHARS))) > 0)
+    return split.filter(_has_words("line"))
+
+
+def lines_without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``lines_of`` without the lines of ``gone`` (``did, no``), which meet their documents before these are split."""
+    own = gone.groupBy(F.col("did").alias("of")).agg(F.collect_list("no").alias("nos"))
+    texts = docs.filter(F.col("text").isNotNull()).select(F.col("__did").alias("did"), "text")
+    # Each array that a lambda reads is a column of its own first.
+    split = texts.join(own.hint("merge"), F.col("did") == F.col("of"), "left").withColumn("lines", F.split("text", "\n"))
+    every = F.sequence(F.lit(0), F.size("lines") - 1)
+    left = split.withColumn("left", F.array_except(every, F.coalesce("nos", F.array().cast("array<int>"))))
+    line = F.transform("left", lambda i: F.struct(i.alias("no"), F.get("lines", i).alias("line")))
+    return left.select("did", F.explode(line).alias("x")).select("did", "x.no", "x.line").filter(_has_words("line"))
 
 
 def with_shingles(lines: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -133,20 +151,17 @@ def rare_prefixes(sets: DataFrame, levels: DataFrame) -> DataFrame:
     return _first_codes(marked.select("did", "no", F.sort_array(F.transform(tokens, code)).alias("codes")))
 
 
-def exact_repeats(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lines equal to an earlier one (``did, no, h``), and the first copies of very frequent lines (``h1, h2, did, no``)."""
+def exact_repeats(lines: DataFrame) -> DataFrame:
+    """Lines equal to an earlier one (``did, no, h``)."""
     hashed = stage(lines.select("did", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")))
     groups = hashed.groupBy("h1", "h2").agg(F.min(F.struct("did", "no")).alias("first"), F.count("*").alias("copies"))
     groups = stage(groups.filter("copies > 1").select(
-        F.col("h1").alias("g1"), F.col("h2").alias("g2"), "copies", F.col("first.did").alias("did0"), F.col("first.no").alias("no0")
+        F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("first.did").alias("did0"), F.col("first.no").alias("no0")
     ))
     later = hashed.join(groups, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).filter(
         (F.col("did") != F.col("did0")) | (F.col("no") != F.col("no0"))
-    ).select("did", "no", F.col("h1").alias("h"))
-    total = groups.agg(F.sum("copies")).first()[0] or 0
-    # At most FREQUENT_SHARE rows: each has that share of the copies counted.
-    frequent = groups.filter(F.col("copies") * FREQUENT_SHARE >= total).filter("copies > 8")
-    return stage(later), frequent.select("g1", "g2", "did0", "no0")
+    )
+    return stage(later.select("did", "no", F.col("h1").alias("h")))
 
 
 def _with_partner(postings: DataFrame) -> DataFrame:
@@ -157,17 +172,13 @@ def _with_partner(postings: DataFrame) -> DataFrame:
     return sided.filter((F.col("less") * bottom >= F.col("n") * top) | (F.col("n") * bottom >= F.col("more") * top)).drop("less", "more")
 
 
-def candidates(postings: DataFrame, repeats: DataFrame | None = None) -> DataFrame:
-    """Rows of ``postings`` with a partner, without exact repeats, with the number of ``lines`` of their token, and with
-    two of these to try before others: the ``first`` one, and the ``plain`` one, in which the token comes first. By rarity
-    that is, among variants of one line, the unchanged line, as every change puts rarer tokens before the shared ones."""
-    met = _with_partner(postings)
-    if repeats is not None:
-        gone = repeats.select(F.col("did").alias("d"), F.col("no").alias("o"))
-        met = _with_partner(stage(met.join(gone, (F.col("did") == F.col("d")) & (F.col("no") == F.col("o")), "left_anti")))
+def candidates(postings: DataFrame) -> DataFrame:
+    """Rows of ``postings`` with a partner, with the number of ``lines`` of their token, and with two of these to try
+    before others: the ``first`` one, and the ``plain`` one, in which the token comes first. By rarity that is, among
+    variants of one line, the unchanged line, as every change puts rarer tokens before the shared ones."""
     whole = Window.partitionBy("code")
     line = F.struct("did", "no", "n", "pos")
-    marked = met.withColumns({
+    marked = _with_partner(postings).withColumns({
         "lines": F.count("*").over(whole), "first": F.min(line).over(whole), "last": F.max(line).over(whole),
         "plain": F.min(F.struct("pos", "did", "no", "n")).over(whole),
     })
@@ -238,23 +249,18 @@ def _crowded_matches(own: DataFrame, done: DataFrame) -> DataFrame:
     posted = candidates(rare_prefixes(own, stage(rarity_levels(own))))
     settled = stage(_similar(_leader_pairs(_without(posted, done)), own))
     rest = _without(_without(posted, done), settled)
-    return settled.unionByName(_similar(_other_pairs(rest, posted), own))
+    return settled.unionByName(stage(_similar(_other_pairs(rest, posted), own)))
 
 
 def later_matches(docs: DataFrame) -> DataFrame:
     """``did, no, h``: every line that equals or resembles an earlier one, with the hash of the line. ``docs`` are placed."""
-    lines = lines_of(docs)
-    repeats, frequent = exact_repeats(lines)
-    hashed = lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
-    single = hashed.join(F.broadcast(frequent), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left").filter(
-        F.col("did0").isNull() | ((F.col("did") == F.col("did0")) & (F.col("no") == F.col("no0")))
-    ).select("did", "no", "line")
-    posted = candidates(prefixes(single), repeats)
+    repeats = exact_repeats(lines_of(docs))
+    posted = candidates(prefixes(lines_without(docs, repeats)))
     # The token sets of all lines that are left, from one more pass over the texts.
     wanted = posted.groupBy("did", "no").agg(F.max("lines").alias("most"))
     wanted = wanted.groupBy(F.col("did").alias("w")).agg(F.collect_list(F.struct("no", "most")).alias("nos"))
     texts = docs.select(F.col("__did").alias("did"), "text")
-    picked = texts.join(wanted, F.col("did") == F.col("w")).withColumn("lines", F.split("text", "\n"))
+    picked = texts.join(wanted.hint("merge"), F.col("did") == F.col("w")).withColumn("lines", F.split("text", "\n"))
     line = F.transform("nos", lambda i: F.struct(i["no"].alias("no"), i["most"].alias("most"), F.get("lines", i["no"]).alias("line")))
     picked = picked.select("did", F.explode(line).alias("x")).select("did", "x.no", "x.most", "x.line").filter(F.col("line").isNotNull())
     body = F.concat(F.array(F.xxhash64("line")), F.array_distinct(F.transform("shingles", token_of)))
@@ -264,21 +270,22 @@ def later_matches(docs: DataFrame) -> DataFrame:
     # Of a token's two lines, one is the first; a crowded token's first line has no earlier one there.
     others = posted.filter(f"lines > 2 AND lines <= {CROWD}")
     pairs = _other_pairs(_without(others, settled), others)
-    found = repeats.unionByName(settled).unionByName(_similar(pairs, sets.filter("most > 2")))
+    found = repeats.unionByName(settled).unionByName(stage(_similar(pairs, sets.filter("most > 2"))))
     still = _without(posted.filter((F.col("lines") > CROWD) & ~_is_line("first")), settled)
     return found if still.isEmpty() else found.unionByName(_crowded_matches(sets.filter(F.col("most") > CROWD), settled))
 
 
 def dedup_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
     """The documents without their later matches; with ``counts`` adds ``n_lines`` and ``n_removed``."""
-    placed = with_place(docs)
-    gone = later_matches(placed).distinct().groupBy(F.col("did").alias("__of")).agg(F.collect_list(F.struct("no", "h")).alias("__gone"))
-    met = placed.join(gone, F.col("__did") == F.col("__of"), "left")
+    with shuffles_released(docs.sparkSession):
+        placed = with_place(docs)
+        found = later_matches(placed).select("did", "no").distinct()
+        gone = stage(found.groupBy(F.col("did").alias("__of")).agg(F.collect_list("no").alias("__gone")))
+    met = placed.join(gone.hint("merge"), F.col("__did") == F.col("__of"), "left")
     # Each array that a lambda reads is a column of its own first, as above.
     met = met.withColumn("__lines", F.split("text", "\n"))
     every = F.sequence(F.lit(0), F.size("__lines") - 1)
-    own = F.transform("__gone", lambda g: g["no"])
-    met = met.withColumn("__kept", F.array_except(every, F.coalesce(own, F.array().cast("array<int>"))))
+    met = met.withColumn("__kept", F.array_except(every, F.coalesce("__gone", F.array().cast("array<int>"))))
     text = F.array_join(F.transform("__kept", lambda i: F.get("__lines", i)), "\n")
     n = F.coalesce(F.when(F.col("text").isNotNull(), F.size("__lines")), F.lit(0)).cast("long")
     left = F.coalesce(F.when(F.col("text").isNotNull(), F.size("__kept")), F.lit(0)).cast("long")
