@@ -200,8 +200,9 @@ def _may_match(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (``a_did, a_no, b_did, b_no``) whose token sets are similar; gives the later lines, once each. Both sides
-    read the same columns of ``sets`` (a line's hash, then its tokens, in one array), so they share one exchange."""
+    """Pairs (``a_did, a_no, b_did, b_no``) whose token sets are similar; gives the later lines, once for
+    each pair, so that a line with many pairs can be split among tasks. Both sides read the same columns of ``sets`` (a
+    line's hash, then its tokens, in one array), so they share one exchange."""
     top, bottom = SIMILAR
     a = sets.select(F.col("did").alias("a_d"), F.col("no").alias("a_o"), F.col("body").alias("a_body"))
     b = sets.select(F.col("did").alias("b_d"), F.col("no").alias("b_o"), F.col("body").alias("b_body"))
@@ -210,7 +211,7 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     n_a, n_b = F.size("a_body") - 1, F.size("b_body") - 1
     shared = F.size(F.array_intersect(F.slice("a_body", F.lit(2), n_a), F.slice("b_body", F.lit(2), n_b)))
     alike = shared * (top + bottom) >= (n_a + n_b) * top
-    return met.filter(alike).select(F.col("b_did").alias("did"), F.col("b_no").alias("no"), F.col("b_body")[0].alias("h")).distinct()
+    return met.filter(alike).select(F.col("b_did").alias("did"), F.col("b_no").alias("no"), F.col("b_body")[0].alias("h"))
 
 
 def _is_line(name: str) -> Column:
